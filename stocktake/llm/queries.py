@@ -19,6 +19,10 @@ def _is(value: str):
     return lambda x: x == value
 
 
+def _of(kind: str):
+    return lambda s: s["kind"] == kind
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stocktake.llm.language_id import fit, identify
 
@@ -28,6 +32,21 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stocktake.llm.pii import BASE, KINDS, find, fit
+
+    docs = table(spark, sf_dir, "documents")
+    found = find(docs, fit(docs))
+
+    def joined(*kinds: str):
+        ordered = F.concat(*(F.array_sort(F.transform(F.filter("spans", _of(k)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))) for k in kinds))
+        return F.when(F.size("spans") > 0, F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")).otherwise("")
+
+    base = [k for k, _ in BASE]
+    counts = [F.size(F.filter("spans", _of(k))).cast("long").alias(f"n_{k}") for k in base]
+    return found.select("doc_id", *counts, F.sha2(joined(*base).cast("binary"), 256).alias("base_sha256"), joined(*KINDS).alias("spans"))
+
+
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stocktake.llm.nearest import nearest
 
