@@ -47,6 +47,17 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(*base).cast("binary"), 256).alias("base_sha256"), joined(*KINDS).alias("spans"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, contaminated, items, cover`` for every document."""
+    from stocktake.llm.decontamination import contaminated
+
+    docs = table(spark, sf_dir, "documents")
+    bad = contaminated(docs, table(spark, sf_dir, "benchmark"))
+    every = docs.select("doc_id").join(bad.withColumnRenamed("doc_id", "bad_id"), F.col("doc_id").eqNullSafe(F.col("bad_id")), "left")
+    items = F.array_join(F.coalesce("items", F.array().cast("array<bigint>")).cast("array<string>"), ",")
+    return every.select("doc_id", F.col("items").isNotNull().alias("contaminated"), items.alias("items"), F.coalesce("cover", F.lit(0.0)).alias("cover"))
+
+
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stocktake.llm.nearest import nearest
 
