@@ -14,7 +14,7 @@ may be lost in a copy, windows are also made with names kept as words.
 A document is contaminated if consistent matches cover at least half of an
 item's tokens.  Items of four to seven tokens are one window of their own
 length; shorter ones are never matched.  A window must hold at least four
-plain words, or be all plain.
+plain words, or three in an item of four, or be all plain.
 
 Matching windows are found on the document's side before the join: the hashes
 of the benchmark's windows are broadcast while they number at most
@@ -55,7 +55,8 @@ UNITS = (
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg ton tons tonne tonnes pound pounds ounce ounces ml l litre litres liter liters gallon gallons "
     "second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees mph kmh watt watts volt volts joule joules"
 ).split()
-NUMBER, UNIT, NAME = (int(x) for x in mix(np.array([101, 102, 103], np.uint64)))
+#: What stands for a number, a unit and a name; the first is unused.
+_CODES = mix(np.array([100, 101, 102, 103], np.uint64))
 
 #: Everything but letters and digits of ASCII, and bytes of other characters, separates words.
 _SEPARATE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -110,100 +111,99 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return kind, hashes, per_text, named & (kind == 0)
 
 
-def sequences(texts: list[str], names: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each text: its number, the token hashes, whether each is a slot, and the hash of what stands there."""
+def sequence(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Typed tokens of all texts, one after another: kind, hash of the word, hash of the value, number of the text."""
     kind, hashes, per_text, named = tokens(texts)
-    kind = np.where(named, 3, kind) if names else kind
+    kind = np.where(named, 3, kind).astype(np.int8)
     owner = np.repeat(np.arange(len(per_text)), per_text)
+    if not len(kind):
+        return kind, hashes, hashes, owner
     # A run of numbers is one token; its value is that of the run.
     head = np.ones(len(kind), bool)
     head[1:] = ~((kind[1:] == 1) & (kind[:-1] == 1) & (owner[1:] == owner[:-1]))
-    run = np.cumsum(head) - 1
     starts = np.flatnonzero(head)
-    value = np.add.reduceat(mix(hashes + (np.arange(len(hashes)) - starts[run]).astype(np.uint64)), starts) if len(hashes) else hashes
-    kind, owner, plain = kind[head], owner[head], hashes[head]
-    code = np.array([0, NUMBER, UNIT, NAME], np.uint64)
-    token = np.where(kind == 0, plain, code[kind])
-    cuts = np.searchsorted(owner, np.arange(len(per_text) + 1))
-    for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        yield i, token[a:b], kind[a:b] > 0, value[a:b]
-
-
-def template_windows(token: np.ndarray, slot: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of a text's windows that say enough."""
-    n = len(token) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = mix(token[:n])
-    for k in range(1, width):
-        h = mix(h * np.uint64(3) + token[k : k + n])
-    filled = np.concatenate(([0], np.cumsum(slot)))
-    slots = filled[width:] - filled[:-width]
-    good = (slots == 0) | (width - slots >= PLAIN)
-    at = np.flatnonzero(good)
-    return at, mix(h[at] + np.uint64(width))
+    value = np.add.reduceat(mix(hashes + (np.arange(len(hashes)) - starts[np.cumsum(head) - 1]).astype(np.uint64)), starts)
+    return kind[head], hashes[head], value, owner[head]
+
 
+_WINDOWS = pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("reading", pa.int32()), ("at", pa.int32()), ("width", pa.int32()), ("slots", pa.list_(pa.int64()))])
+_WINDOWS_DDL = "id long, hash long, reading int, at int, width int, slots array<long>"
 
-_WINDOWS = pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("reading", pa.int32()), ("at", pa.int32()), ("slots", pa.list_(pa.int64()))])
-_WINDOWS_DDL = "id long, hash long, reading int, at int, slots array<long>"
 
+def windows_of(ids: list, texts: list[str], width: int, only: np.ndarray | None, whole: bool = False) -> Iterator[pa.RecordBatch]:
+    """Windows of ``width`` tokens of some texts; ``only``: those of these hashes; ``whole``: of texts of just so many tokens.
 
-def windows_of(ids: list, texts: list[str], widths: list[int], only: np.ndarray | None, whole: bool) -> Iterator[pa.RecordBatch]:
-    """Windows of some texts in both readings; ``only``: those of these hashes; ``whole``: shorter texts in one."""
-    out: list[list] = [[] for _ in _WINDOWS]
+    Reading 0 keeps names as words; reading 1 has them as slots, and only the
+    windows that hold one.
+    """
+    kind, word, value, owner = sequence(texts)
+    n = len(kind) - width + 1
+    if n <= 0:
+        return
+    inside = owner[:n] == owner[width - 1 :]
+    begin = np.searchsorted(owner, np.arange(len(texts) + 1))
+    if whole:
+        inside &= np.diff(begin)[owner[:n]] == width
+    names = np.concatenate(([0], np.cumsum(kind == 3)))
     for reading in (0, 1):
-        for i, token, slot, value in sequences(texts, reading == 1):
-            if reading == 1 and not slot.any():
-                continue  # as in the other reading
-            if whole:
-                own = [WIDTH] if len(token) >= WIDTH else [len(token)] if len(token) >= SHORTEST else []
-            else:
-                own = widths
-            for width in own:
-                at, h = template_windows(token, slot, width)
-                if only is not None:
-                    hit = _among(h, only)
-                    at, h = at[hit], h[hit]
-                for a, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
-                    inner = slot[a : a + width]
-                    for column, v in zip(out, (ids[i], x, reading, a, value[a : a + width][inner].view(np.int64).tolist()), strict=True):
-                        column.append(v)
-            if len(out[0]) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _WINDOWS, strict=True)], schema=_WINDOWS)
-                out = [[] for _ in _WINDOWS]
-    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _WINDOWS, strict=True)], schema=_WINDOWS)
-
-
-def template_table(texts: DataFrame, widths: list[int] | None, only: np.ndarray | None = None) -> DataFrame:
-    """Windows of all rows (``doc_id``, ``text``); ``widths`` is None for the benchmark's side."""
+        slot = kind > 0 if reading else (kind == 1) | (kind == 2)
+        token = np.where(slot, _CODES[kind], word)
+        h = mix(token[:n])
+        for k in range(1, width):
+            h = mix(h * np.uint64(3) + token[k : k + n])
+        h = mix(h + np.uint64(width))
+        before = np.concatenate(([0], np.cumsum(slot)))
+        slots = before[width:] - before[:-width]
+        good = inside & ((slots == 0) | (width - slots >= min(PLAIN, width - 1)))
+        if reading:
+            good &= names[width:] > names[:-width]
+        at = np.flatnonzero(good)
+        if only is not None:
+            at = at[_among(h[at], only)]
+        values = value[slot].view(np.int64)
+        for a in range(0, len(at), 50_000):
+            part = at[a : a + 50_000]
+            sizes = slots[part]
+            ends = np.cumsum(sizes)
+            flat = np.arange(ends[-1]) + np.repeat(before[part] - (ends - sizes), sizes)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(values[flat]))
+            texts_of = owner[part]
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in texts_of], pa.int64()), pa.array(h[part].view(np.int64)), pa.array(np.full(len(part), reading, np.int32)), pa.array((part - begin[texts_of]).astype(np.int32)), pa.array(np.full(len(part), width, np.int32)), lists], schema=_WINDOWS)
+
+
+def template_table(texts: DataFrame, widths: list[int], only: np.ndarray | None = None, benchmark: bool = False) -> DataFrame:
+    """Windows of all rows (``doc_id``, ``text``); of a benchmark, those under ``WIDTH`` are whole items."""
     held = None if only is None else texts.sparkSession.sparkContext.broadcast(only)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, every = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for a, b in groups(every, 2_000_000):
-                yield from windows_of(ids[a:b], every[a:b], widths or [], None if held is None else held.value, widths is None)
+                for width in widths:
+                    yield from windows_of(ids[a:b], every[a:b], width, None if held is None else held.value, benchmark and width < WIDTH)
 
     return texts.mapInArrow(run, _WINDOWS_DDL)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least_cover: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``doc_id, item_id, cover``: the items that a document contains, and the share of their tokens."""
-    items = with_checkpoints(template_table(narrow(benchmark, item_id_col, item_text_col), None).withColumnRenamed("id", "item_id"))
-    n_windows = items.count()
+    widths = [WIDTH, *range(SHORTEST, WIDTH)]
+    items = with_checkpoints(template_table(narrow(benchmark, item_id_col, item_text_col), widths, benchmark=True).withColumnRenamed("id", "item_id"))
+    counts = {r[0]: r[1] for r in items.groupBy("width").count().collect()}
+    n_windows = sum(counts.values())
     small = n_windows <= BROADCAST_WINDOWS
     only = np.unique(np.array([r[0] for r in items.select("hash").distinct().collect()], np.int64).view(np.uint64)) if small else None
-    found = template_table(narrow(docs, id_col, text_col), [WIDTH, *range(SHORTEST, WIDTH)], only)
-    side = items.withColumnRenamed("at", "item_at").withColumnRenamed("slots", "item_slots").drop("reading")
+    found = template_table(narrow(docs, id_col, text_col), sorted(counts), only)
+    side = items.withColumnRenamed("at", "item_at").withColumnRenamed("slots", "item_slots").drop("width", "reading")
     pairs = found.join(F.broadcast(side) if small else side, "hash").where(F.size("slots") == F.size("item_slots"))
     line = ["id", "item_id", "reading", (F.col("at") - F.col("item_at")).alias("line")]
     # Both sets are bounded by the length of the item: along a line each place of it occurs once.
-    lines = pairs.select(*line, "item_at", F.arrays_zip(F.col("item_slots").alias("of_item"), F.col("slots").alias("of_doc")).alias("against"))
-    slots = lines.groupBy("id", "item_id", "reading", "line").agg(F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set("against"))).alias("against"))
+    lines = pairs.select(*line, "item_at", "width", F.arrays_zip(F.col("item_slots").alias("of_item"), F.col("slots").alias("of_doc")).alias("against"))
+    slots = lines.groupBy("id", "item_id", "reading", "line").agg(F.collect_set(F.struct(F.col("item_at").alias("at"), "width")).alias("places"), F.array_distinct(F.flatten(F.collect_set("against"))).alias("against"))
     consistent = F.size("against") == F.size(F.array_distinct(F.transform("against", lambda x: x["of_item"])))
     good = slots.where(consistent).groupBy("id", "item_id").agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"))
-    lengths = items.groupBy("item_id").agg((F.max("at") + WIDTH).alias("tokens"))
-    token_places = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + WIDTH - 1))))
+    lengths = items.groupBy("item_id").agg(F.max(F.col("at") + F.col("width")).alias("tokens"))
+    token_places = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p["at"], p["at"] + p["width"] - 1))))
     covered = good.join(lengths, "item_id").withColumn("cover", F.size(token_places) / F.col("tokens"))
     return covered.where(F.col("cover") >= least_cover).select(F.col("id").alias("doc_id"), "item_id", "cover")
 

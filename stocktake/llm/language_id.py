@@ -202,3 +202,16 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return map_texts(rows, "doc_id long, lang_pred string, score double, rejected boolean", schema, start)
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the model doesn't reject."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = held.value
+        for batch in batches:
+            names, scores = own.predict([t or "" for t in batch.column(text_col).to_pylist()])
+            yield batch.filter(pa.array([n != UNKNOWN and s >= own.threshold for n, s in zip(names, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
