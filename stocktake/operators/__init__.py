@@ -1,0 +1 @@
+"""Operators on inventories, from DataFrames to DataFrames."""

@@ -1,0 +1 @@
+"""The registered queries and the inventory that they run on."""

@@ -1,0 +1 @@
+"""Empty on purpose: inventories are compared in batches, and nothing here has event time or state."""
