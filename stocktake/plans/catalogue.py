@@ -122,10 +122,10 @@ def latest_version(v):
     return inventory.latest_version(fx.versions(v))
 
 
-@query("inspect_paths", fx.with_ctes(fx.V, fx.FOLDERS, fx.ENTRIES, fx.CACHE, fx.OBJECTS) + "SELECT path, c.state AS local_state, c.hash AS local_hash, e.hash AS remote_hash, e.state_version AS remote_version, CAST(substr(e.state_version, 2) AS BIGINT) + 1 AS sequence, o.size AS object_size FROM cache c FULL JOIN entries e USING (path) LEFT JOIN objects o ON o.hash = e.hash WHERE path LIKE 'fr/%' AND path NOT LIKE 'fr/%/%/%' AND path LIKE 'fr/%/%'")
+@query("inspect_paths", fx.with_ctes(fx.V, fx.FOLDERS, fx.ENTRIES, fx.CACHE, fx.OBJECTS) + "SELECT path, c.state AS local_state, c.hash AS local_hash, e.hash AS remote_hash, e.state_version AS remote_version, coalesce(CAST(substr(e.state_version, 2) AS BIGINT) + 1, -1) AS sequence, coalesce(o.size, -1) AS object_size FROM cache c FULL JOIN entries e USING (path) LEFT JOIN objects o ON o.hash = e.hash WHERE path LIKE 'fr/%' AND path NOT LIKE 'fr/%/%/%' AND path LIKE 'fr/%/%'")
 def inspect_paths(v):
     rows = inventory.inspect(fx.cache(v), fx.entries(v), fx.versions(v), fx.objects(v), "fr/*/*")
-    return rows.select("path", F.col("local.state").alias("local_state"), F.col("local.hash").alias("local_hash"), F.col("remote.hash").alias("remote_hash"), F.col("remote.state_version").alias("remote_version"), F.col("remote.sequence").alias("sequence"), F.col("remote.size").alias("object_size"))
+    return rows.select("path", F.col("local.state").alias("local_state"), F.col("local.hash").alias("local_hash"), F.col("remote.hash").alias("remote_hash"), F.col("remote.state_version").alias("remote_version"), F.coalesce("remote.sequence", F.lit(-1)).cast("long").alias("sequence"), F.coalesce("remote.size", F.lit(-1)).cast("long").alias("object_size"))
 
 
 @query("deletion_history", fx.with_ctes(fx.V, fx.DELETIONS) + "SELECT id, path, hash, introduced_in_version, deleted_in_version, row_number() OVER (PARTITION BY path ORDER BY id) AS nth FROM deletions WHERE path LIKE 'de/%'")
@@ -194,9 +194,9 @@ _outcomes = _scan + f"""SELECT path, CASE
 FROM listing f FULL JOIN cache c USING (path)"""
 
 
-@query("scan_changes", f"SELECT path, outcome, CASE WHEN outcome IN ('ignored', 'dropped') THEN NULL WHEN outcome IN ('unchanged', 'gone') THEN old_state ELSE outcome END AS state, CASE WHEN outcome IN ('created', 'modified') THEN new_hash WHEN outcome = 'unchanged' OR outcome = 'gone' THEN old_hash END AS hash, CASE WHEN outcome IN ('created', 'modified') OR outcome = 'unchanged' AND NOT (new_mtime = old_mtime AND representation <> 'both') THEN new_mtime WHEN outcome IN ('unchanged', 'gone') THEN old_mtime END AS mtime, CASE WHEN outcome NOT IN ('ignored', 'dropped') THEN coalesce(parent, 'v6') END AS parent_state_version FROM ({_outcomes})")
+@query("scan_changes", f"SELECT path, outcome, CASE WHEN outcome IN ('ignored', 'dropped') THEN NULL WHEN outcome IN ('unchanged', 'gone') THEN old_state ELSE outcome END AS state, CASE WHEN outcome IN ('created', 'modified') THEN new_hash WHEN outcome = 'unchanged' OR outcome = 'gone' THEN old_hash END AS hash, coalesce(CASE WHEN outcome IN ('created', 'modified') OR outcome = 'unchanged' AND NOT (new_mtime = old_mtime AND representation <> 'both') THEN new_mtime WHEN outcome IN ('unchanged', 'gone') THEN old_mtime END, -1) AS mtime, CASE WHEN outcome NOT IN ('ignored', 'dropped') THEN coalesce(parent, 'v6') END AS parent_state_version FROM ({_outcomes})")
 def scan_changes(v):
-    return changes.scan_changes(fx.listing(v), fx.cache(v), "v6", fx.IGNORE).select("path", "outcome", "state", "hash", "mtime", "parent_state_version")
+    return changes.scan_changes(fx.listing(v), fx.cache(v), "v6", fx.IGNORE).select("path", "outcome", "state", "hash", F.coalesce("mtime", F.lit(-1)).cast("long").alias("mtime"), "parent_state_version")
 
 
 @query("scan_summary", "SELECT " + ", ".join(f"count(*) FILTER (outcome = '{s}') AS {s}" for s in ("created", "modified", "deleted", "unchanged", "ignored", "dropped")) + f" FROM ({_outcomes})")
