@@ -20,7 +20,8 @@ is returned.  All tasks together have tested every pair of the group.
 Texts that are null or without words are empty: 0 shingles, linked with
 nothing.  With fewer words than a shingle has, the whole sequence is the one
 shingle.  Rows that repeat an identifier and a text get the same result each;
-a null identifier is nobody's representative unless its group has no other.
+rows with a null identifier belong to the class of their set, and a class without
+any identifier takes no part in links and has a null component.
 An empty table gives an empty result; other columns are ignored.
 """
 
