@@ -106,3 +106,10 @@ def staged_collisions(staged: DataFrame, durable: DataFrame) -> DataFrame:
 
 def applicable(staged: DataFrame, collisions: DataFrame) -> DataFrame:
     return staged.join(collisions.select("path"), "path", "left_anti")
+
+
+def scan_estimate(listing: DataFrame, cache: DataFrame) -> DataFrame:
+    """One row: paths on either side, and the files and bytes that have to be read."""
+    f = listing.alias("fs").join(cache.alias("c"), F.col("fs.path") == F.col("c.path"), "full_outer")
+    read = F.coalesce(needs_hash(), F.lit(False))
+    return f.agg(F.count(F.lit(1)).alias("paths"), F.count_if(read).alias("files"), F.coalesce(F.sum(F.when(read, F.col("fs.size"))), F.lit(0)).alias("bytes"))

@@ -142,3 +142,18 @@ def work_estimate(plan: DataFrame, sizes: DataFrame, step: str) -> DataFrame:
 
 def step_summary(plan: DataFrame) -> DataFrame:
     return plan.groupBy("step").agg(F.count(F.lit(1)).alias("files"))
+
+
+def verify_summary(verdicts: DataFrame, extra: DataFrame) -> DataFrame:
+    """One row of counts; files that no object names don't count against ``ok``."""
+    kinds = ("missing", "wrong_size", "checksum_mismatch")
+    damaged = verdicts.agg(*(F.count_if(F.col("verdict") == k).alias(k) for k in kinds))
+    found = damaged.crossJoin(extra.agg(F.count(F.lit(1)).alias("extra")))  # one row each
+    return found.withColumn("ok", F.col("missing") + F.col("wrong_size") + F.col("checksum_mismatch") == 0)
+
+
+def temporary_summary(listing: DataFrame) -> DataFrame:
+    """Stale unfinished files and their bytes; the quick check is ``ok`` without any."""
+    from stocktake.sources.listing import temporary
+
+    return temporary(listing).agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).withColumn("ok", F.col("files") == 0)

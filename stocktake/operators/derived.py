@@ -115,3 +115,8 @@ def orphans(derived: DataFrame, sources: DataFrame, policy_globs: list[str], ign
     if scope is not None:
         live = live.where(globs.matches("path", scope))
     return derived.join(live.select(F.col("path").alias("original_path")), "original_path", "left_anti")
+
+
+def summary(steps: DataFrame) -> DataFrame:
+    """Derived files in each step of one or more plans."""
+    return steps.groupBy("step").agg(F.count(F.lit(1)).alias("files"))

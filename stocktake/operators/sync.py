@@ -108,3 +108,12 @@ def ignored_but_synced(delta: DataFrame, ignore: list[str]) -> DataFrame:
 def claims(rows: DataFrame) -> DataFrame:
     """``row_number`` over each content by path: 1 is the one that uploads."""
     return rows.withColumn("claim", F.row_number().over(Window.partitionBy("hash").orderBy("path")).cast("long"))
+
+
+def remote_summary(delta: DataFrame) -> DataFrame:
+    """One row: remote changes of each kind."""
+    return delta.agg(*(F.count_if(F.col("change") == k).alias(k) for k in ("created", "modified", "deleted")))
+
+
+def nothing_to_sync(dirty: DataFrame, delta: DataFrame) -> bool:
+    return dirty.isEmpty() and delta.isEmpty()

@@ -440,6 +440,24 @@ def needs_hash(v):
     return fx.listing(v).alias("fs").join(fx.cache(v).alias("c"), F.col("fs.path") == F.col("c.path"), "left").select("fs.path", changes.needs_hash().alias("needed"))
 
 
+@query("scan_estimate", _scan + "SELECT count(*) AS paths, count(*) FILTER (need) AS files, CAST(coalesce(sum(CASE WHEN need THEN size END), 0) AS BIGINT) AS bytes FROM (SELECT coalesce(f.type = 'file' AND f.representation <> 'stub' AND NOT (coalesce(f.mtime = c.mtime, false) AND f.representation <> 'both'), false) AS need, f.size FROM listing f FULL JOIN cache c USING (path))")
+def scan_estimate(v):
+    return changes.scan_estimate(fx.listing(v), fx.cache(v))
+
+
+@query("remote_summary", "SELECT " + ", ".join(f"count(*) FILTER (change = '{k}') AS {k}" for k in ("created", "modified", "deleted")) + f" FROM ({_delta})")
+def remote_summary(v):
+    cache = fx.cache(v)
+    return sync.remote_summary(sync.remote_delta(cache, fx.entries(v), inventory.dirty(cache)))
+
+
+@query("verify_summary", _mirror + ", t AS (SELECT CASE WHEN m.hash IS NULL THEN 'missing' WHEN m.size <> (50 + o.size + CAST(ceil(o.size / 4194304.0) AS BIGINT) * 16) THEN 'wrong_size' WHEN m.checksum <> o.ciphertext_checksum THEN 'checksum_mismatch' ELSE 'ok' END AS verdict FROM objects o LEFT JOIN mirror m ON o.hash = m.hash) SELECT count(*) FILTER (verdict = 'missing') AS missing, count(*) FILTER (verdict = 'wrong_size') AS wrong_size, count(*) FILTER (verdict = 'checksum_mismatch') AS checksum_mismatch, (SELECT count(*) FROM mirror WHERE hash NOT IN (SELECT hash FROM objects)) AS extra, count(*) FILTER (verdict <> 'ok') = 0 AS ok FROM t")
+def verify_summary(v):
+    objects = fx.objects(v)
+    mirror = fx.mirror(objects)
+    return checks.verify_summary(checks.mirror_verify(objects, mirror), checks.mirror_extra(mirror, objects))
+
+
 # ---- derived files ----------------------------------------------------------------------------
 
 _derived = fx.with_ctes(fx.V, r"""files AS (SELECT doc_id, path AS original, CASE WHEN doc_id % 3 = 0 THEN md5(hash) ELSE hash END AS has, CASE doc_id % 5 WHEN 0 THEN 'p2-small-ss100-fmtimage_png-pl6' WHEN 1 THEN 'p2-big-iw800-ih600-fmtimage_jpeg-q80' WHEN 2 THEN 'p1-small-ss64' WHEN 3 THEN 'p2-other-ss1' ELSE 'odd' END AS full_params, CASE WHEN doc_id % 5 = 1 THEN 'jpg' ELSE 'png' END AS ext, unnest(CASE WHEN doc_id % 7 = 0 THEN [0, 1] ELSE [0] END) AS copy, hash AS source_hash FROM v WHERE doc_id % 6 <> 5),
@@ -464,12 +482,15 @@ def derived_resolve(v):
     return derived.resolve(_sources(v), _generate(v))
 
 
-@query("derived_plan", _derived + f""", wanted AS ({_resolved}), src AS (SELECT path AS original, CASE WHEN doc_id % 17 <> 3 THEN hash END AS h FROM v WHERE doc_id % 8 <> 7 AND doc_id % 19 <> 4),
+_derived_plan = _derived + f""", wanted AS ({_resolved}), src AS (SELECT path AS original, CASE WHEN doc_id % 17 <> 3 THEN hash END AS h FROM v WHERE doc_id % 8 <> 7 AND doc_id % 19 <> 4),
 held AS (SELECT p.original, p.policy, p.path, w.path IS NOT NULL AS asked, coalesce(p.has = s.h AND p.params = w.params AND p.ext = w.ext, false) AS exact FROM parsed p JOIN src s ON s.original = p.original LEFT JOIN wanted w ON w.path = p.original AND w.policy = p.policy WHERE s.h IS NOT NULL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY original, policy ORDER BY exact DESC, path) AS nth FROM held)
 SELECT original AS original_path, policy, path, CASE WHEN NOT asked OR nth > 1 THEN 'delete' WHEN exact THEN 'up_to_date' ELSE 'regenerate' END AS step FROM ranked
 UNION ALL SELECT s.original, w.policy, regexp_extract(s.original, '^(.*)/[^/]*$', 1) || '/_thumbnail/' || regexp_extract(s.original, '([^/]*)$', 1) || '.' || w.params || '.' || s.h || '.' || w.ext, 'generate' FROM src s JOIN wanted w ON w.path = s.original WHERE s.h IS NOT NULL AND NOT EXISTS (SELECT 1 FROM parsed p WHERE p.original = s.original AND p.policy = w.policy)
-UNION ALL SELECT original, NULL, NULL, 'missing_cache_entry' FROM src WHERE h IS NULL""")
+UNION ALL SELECT original, NULL, NULL, 'missing_cache_entry' FROM src WHERE h IS NULL"""
+
+
+@query("derived_plan", _derived_plan)
 def derived_plan(v):
     sources = _sources(v)
     return derived.reconcile(sources, derived.resolve(sources, _generate(v)), derived.parse_names(fx.derived(v)))
@@ -488,6 +509,12 @@ def derived_orphans(v):
     return derived.orphans(derived.parse_names(fx.derived(v)), _sources(v), ["{en,fr}/**"], fx.IGNORE).select("path")
 
 
+@query("derived_summary", f"SELECT step, count(*) AS files FROM ({_derived_plan}) GROUP BY step")
+def derived_summary(v):
+    sources = _sources(v)
+    return derived.summary(derived.reconcile(sources, derived.resolve(sources, _generate(v)), derived.parse_names(fx.derived(v))))
+
+
 # ---- scalars ----------------------------------------------------------------------------------
 
 _dims = "SELECT doc_id, doc_id % 97 + 1 AS w, doc_id % 41 + 1 AS h FROM documents"

@@ -36,7 +36,7 @@ def settled(listing: DataFrame, exclude: str | None = None) -> DataFrame:
 
 def stubs(spark: SparkSession, root: str) -> DataFrame:
     """``path, algorithm, hash`` of the one-line stub files under a folder; the digest is null if malformed."""
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.stub").option("wholetext", "true").text(root).select(F.col("_metadata.file_path").alias("path"), F.trim(F.regexp_replace("value", r"\s+\z", "")).alias("line"))
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.stub").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.trim(F.regexp_replace("value", r"\s+\z", "")).alias("line"))
     tag = scalars.parse_tagged_hash("line")
     return lines.select("path", tag["algorithm"].alias("algorithm"), F.when(scalars.is_valid_hash(tag["digest"]), tag["digest"]).alias("hash"))
 

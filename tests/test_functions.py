@@ -57,3 +57,12 @@ def test_stamp_and_backoff():
     assert re.fullmatch(r"\d{8}T\d{9}Z-[0-9a-f]{8}", scalars.version_stamp())
     assert [scalars.backoff_ms(n, 1.0) for n in (1, 2, 7, 20)] == [500, 1000, 30000, 30000]
     assert scalars.backoff_ms(1, 0.0) == 250
+
+
+def test_media(spark):
+    from stocktake.functions import media
+
+    video = '{"streams": [{"width": 640, "height": 480, "duration": "N/A", "side_data_list": [{}, {"rotation": -90}], "tags": {"rotate": "180"}}], "format": {"format_name": "mov,mp4", "duration": "2.5"}}'
+    rows = spark.createDataFrame([("PNG|10|20\nrest", None), ("MPEG|1|1", video), ("PNG|x|1", "{}"), (None, "nonsense")], "i string, v string")
+    got = [tuple(r[0]) for r in rows.select(media.probed("i", "v")).collect()]
+    assert got == [("image", "image/png", 10, 20, None), ("video", "video/mp4", 480, 640, 2.5), ("unreadable", None, None, None, None), ("unreadable", None, None, None, None)]

@@ -59,3 +59,39 @@ def test_listing(spark, tmp_path):
     stubs = {r.path.rpartition("/")[2]: r.hash for r in listing.stubs(spark, str(root)).collect()}
     assert stubs == {"b.txt.stub": "0" * 64, "c.txt.stub": None}
     assert not listing.is_empty(found)
+
+
+def test_documents(spark, tmp_path):
+    from stocktake.sources import documents
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "lock.json").write_text('{"pid": 7, "acquiredAt": "now",\n "hostname": "h"}')
+    got = documents.read(spark, str(tmp_path / "a"), documents.LOCK, ("pid", "hostname")).first()
+    assert (got.pid, got.valid) == (7, True)
+    (tmp_path / "a" / "lock.json").write_text("broken")
+    assert not documents.read(spark, str(tmp_path / "a"), documents.LOCK, ("pid",)).first().valid
+    error = ValueError()
+    error.__cause__ = ConnectionResetError()
+    assert documents.is_transient(error) and not documents.is_transient(ValueError()) and not documents.is_transient(None)
+
+
+def test_upgrades(spark):
+    from stocktake.sources import upgrades
+
+    base = {
+        "entries": spark.createDataFrame([("p", "h", "v1")], "path string, hash string, state_version string"),
+        "objects": spark.createDataFrame([("h",)], "hash string"),
+        "versions": spark.createDataFrame([("v1",)], "version_stamp string"),
+    }
+    known = {"2": lambda r: {"objects": r["objects"].selectExpr("hash", "1 AS size")}, "1": lambda r: {}}
+    after, applied = upgrades.upgrade(base, known, ["1"])
+    assert applied == ["1", "2"] and after["objects"].columns == ["hash", "size"] and upgrades.pending(known, applied) == []
+    with pytest.raises(ValueError):
+        upgrades.upgrade(base, {"3": lambda r: {"objects": r["objects"].limit(0)}}, [])
+
+
+def test_temporary_summary(spark):
+    from stocktake.operators.checks import temporary_summary
+
+    rows = spark.createDataFrame([("a", 5), (".x-tmp-" + "0" * 32, 7)], "path string, size long")
+    assert tuple(temporary_summary(rows).first()) == (1, 7, False)
