@@ -261,5 +261,5 @@ def test_scores(spark, odd):
     rows = spark.createDataFrame([(1, "x y"), (1, "x y"), (2, "x")], "doc_id long, text string")
     assert sorted((r.doc_id, r.n_tokens, r.n_known) for r in ct.score(rows, F.col("doc_id") == 2).collect()) == [(1, 3, 2), (1, 3, 2), (2, 2, 2)]
     nothing = ct.score(rows, F.lit(False)).collect()
-    assert {(r.n_known, r.train_tokens) for r in nothing} == {(0, 0)}
+    assert {(r.n_known, r.train_tokens, r.base_score) for r in nothing} == {(0, 0, 0.0)}
     assert ct.score(rows.limit(0)).count() == 0
