@@ -14,6 +14,16 @@ def with_checkpoints(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def joinable(grouped: DataFrame) -> DataFrame:
+    """A grouped table for a join on its key.
+
+    Joined as it is, it would fix the partitioning of the other side, and all
+    rows of a frequent key would go to one task.  After a rebalance both sides
+    are exchanged for the join, and adaptive execution splits such a key.
+    """
+    return grouped.hint("rebalance")
+
+
 def _sum(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
@@ -23,15 +33,15 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps alternate until the edges are stars.  Each
     step takes minima by key and joins them back, so that no neighbourhood is
-    ever gathered in one place.
+    ever gathered in one place; ``joinable`` lets Spark split a hub's rows.
     """
     e = with_checkpoints(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     before = _sum(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
+        least = joinable(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a")))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = joinable(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.withColumnRenamed("m", "b"))
         e = with_checkpoints(small.distinct())
         after = _sum(e)

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stocktake.llm._graph import with_checkpoints
+from stocktake.llm._graph import joinable, with_checkpoints
 from stocktake.llm._lcp_merge import common, front_code, merge
 from stocktake.llm._rows import by_group, groups, narrow
 from stocktake.llm._winnow import GRAM, LENGTH, prefix_sums, sample, spans
@@ -223,11 +223,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``doc_id, n_bytes, n_removed, spans, kept``: removed spans ``(start, end)`` in bytes, and the bytes that are left."""
     rows = narrow(docs, id_col, text_col).withColumn("row", F.xxhash64("doc_id", "text"))
     texts = rows.select("row", "text")
-    often = blocks(texts, grams_only=True).groupBy("gram").count().where("count > 1").select("gram")
+    often = joinable(blocks(texts, grams_only=True).groupBy("gram").count().where("count > 1").select("gram"))
     places = with_checkpoints(blocks(texts, grams_only=False).join(often, "gram", "left_semi"))
     variants = places.groupBy("gram", "block").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "first", "left", "n")).alias("at"))
     variants = with_checkpoints(variants.select("gram", "block", "times", "at.*"))
-    open_grams = variants.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.min("times").alias("least")).where("kinds > 1 and least = 1").select("gram")
+    open_grams = joinable(variants.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.min("times").alias("least")).where("kinds > 1 and least = 1").select("gram"))
     wanted = variants.join(open_grams, "gram", "left_semi")
     n_wanted = wanted.count()
     parts = max(8, -(-n_wanted // SHARE))
