@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Edges of a partition.
+EDGES = 100_000
+
+
 def with_checkpoints(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the shared folder that the session names."""
     spark = df.sparkSession
@@ -37,13 +41,16 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e = with_checkpoints(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     before = _sum(e)
+    # Partitions follow the number of edges, else each step would write mostly empty files.
+    parts = before[0] // EDGES + 1
+    e = e.coalesce(parts)
     while before[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.withColumnRenamed("m", "b"))
-        e = with_checkpoints(small.distinct())
+        e = with_checkpoints(small.distinct().coalesce(parts))
         after = _sum(e)
         if after == before:
             break

@@ -96,7 +96,7 @@ def candidate_groups(classes: DataFrame) -> DataFrame:
     by_key = classes.select(F.explode("keys").alias("key"), "node")
     # Nearly all keys have one class only; the others' smallest class becomes the centre of a star.
     centres = by_key.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b <> top").select("key", "b")
-    return components(by_key.withColumnRenamed("node", "a").join(centres, "key").where("a <> b").select("a", "b").distinct())
+    return components(by_key.withColumnRenamed("node", "a").join(centres, "key").select("a", "b"))
 
 
 def links(sets: list[np.ndarray], sides: np.ndarray, share: int) -> list[tuple[int, int]]:
