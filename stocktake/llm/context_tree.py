@@ -2,18 +2,23 @@
 
 A text is its UTF-8 bytes and an end symbol.  Each byte is coded as eight
 binary decisions, and each decision is predicted in the context of the bytes
-before it.  Contexts of depth 0 to 3 form a tree; a node estimates its bit by
-Krichevsky-Trofimov counts, and the weighting mixes all depths: a node's
-probability of the training text is half its own estimate and half the product
-of its children's.  The mixture weights that follow from this give the
-prediction of new bits along a path.
-
-Context bytes are taken as classes (letters without case, digits, kinds of
-punctuation, parts of multi-byte characters): 63 for the last byte and 32 for
-the two before.  So a leaf and the coded byte are a number of 24 bits, whatever
-the size of the corpus: counts are gathered from all training texts, at most
-2**24 sums reach the driver, and the table of log-probabilities that is
-broadcast has exactly 2**24 single-precision entries (64 MiB).
+before it.  Contexts form a tree of nested levels; a node
+estimates its bit by Krichevsky-Trofimov counts, and the weighting mixes all
+levels: a node's probability of the training text is half its own estimate and
+half the product of its children's.  The mixture weights that follow from this
+give the prediction of new bits along a path.
+
+The upper levels take the last 0 to 3 bytes as classes (63 for the last byte,
+32 for the two before), the lower ones the last 3, 4, 5, 6 and 7 bytes as they
+are.  Seven bytes and the coded one are a key of 64 bits, without hashing.
+
+The counts of the keys are a table that grows with the corpus.  Documents are
+dealt to chunks; a chunk's distinct keys go as packed arrays to the bucket of
+their three classes, so that a bucket has whole subtrees.  Buckets add up the
+keys of all chunks and weight their subtrees; only sums for the levels of 0 to
+2 bytes (at most 2**19 of each kind) reach the driver.  Then each bucket answers
+the keys of each chunk, and a chunk scores its documents by these answers.  A
+task holds the distinct training keys of one bucket, or those of one chunk.
 
 Beside the model there is a base score from word counts.  Words are resolved
 in two ways that together are exact: words that make up at least one
@@ -28,6 +33,7 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -39,6 +45,7 @@ from pyspark.sql import functions as F
 
 from stocktake.llm._graph import with_checkpoints
 from stocktake.llm._rows import groups, narrow
+from stocktake.llm._shingles import mix
 
 #: At most so many words are broadcast.
 FREQUENT = 500_000
@@ -46,6 +53,10 @@ FREQUENT = 500_000
 END = 0xFF
 #: Bytes that are indexed at once.
 BLOCK = 1_000_000
+#: Bytes of the longest context: with the coded byte they are a key.
+DEEP = 7
+#: Bytes of text in a chunk, and of all text for a bucket; buckets at least.
+CHUNK, SHARE, BUCKETS = 1 << 26, 1 << 26, 256
 
 
 def _classes(fine: bool) -> np.ndarray:
@@ -169,13 +180,201 @@ def probability_table(index: np.ndarray, count: np.ndarray) -> np.ndarray:
     return table
 
 
+def keys_of(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The key of each byte and end of some texts (the last byte comes first, the coded one last), and where each text's begin."""
+    gap = bytes([END]) * DEEP
+    data = bytes([END]) + gap + b"".join(r + gap for r in raw)
+    n = len(data) - DEEP - 1
+    before = np.ndarray(n, "<u8", data, strides=(1,))
+    key = (before & ~np.uint64(255)) | np.frombuffer(data, np.uint8)[DEEP + 1 :]
+    sizes = np.array([len(r) for r in raw], np.int64)
+    starts = np.concatenate(([0], np.cumsum(sizes + DEEP)[:-1]))
+    keep = np.ones(n, bool)
+    for k in range(1, DEEP):
+        keep[starts + sizes + k] = False
+    return key[keep], starts - (DEEP - 1) * np.arange(len(raw))
+
+
+def class_of(context: np.ndarray) -> np.ndarray:
+    """Three bytes -> their classes, in 16 bits."""
+    c = context.astype(np.int64)
+    return ((_FIRST[c >> 16] << 10) | (_BEFORE[c >> 8 & 255] << 5) | _BEFORE[c & 255]).astype(np.uint64)
+
+
+def shorter(context: np.ndarray, level: int) -> np.ndarray:
+    """Contexts one level up; level 0 has ``DEEP`` bytes, the last but one 3, the last 3 classes."""
+    return context >> np.uint64(8) if level < DEEP - 3 else class_of(context)
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and their sums."""
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+
+_HALF = log_gamma(np.arange(4096) + 0.5)
+_WHOLE = log_gamma(np.arange(8192) + 1.0) + math.log(math.pi)
+
+
+def kt_small(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """As ``kt``, from tables where counts are small."""
+    small = (n0 < 4096) & (n1 < 4096)
+    if small.all():
+        return _HALF[n0] + _HALF[n1] - _WHOLE[n0 + n1]
+    out = np.empty(n0.shape)
+    out[small] = _HALF[n0[small]] + _HALF[n1[small]] - _WHOLE[n0[small] + n1[small]]
+    out[~small] = kt(n0[~small], n1[~small])
+    return out
+
+
+def mixed(own: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``weighted``."""
+    part = np.exp(-np.abs(own - below))
+    both = np.maximum(own, below) + np.log1p(part) - math.log(2)
+    return both, np.where(own > below, 1, part) / (1 + part)
+
+
+class Subtrees:
+    """All nodes at and below the levels of three classes, from the sorted distinct keys of a bucket."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        self.levels = [(keys, n)]
+        for level in range(DEEP - 2):
+            keys, n = self.levels[-1]
+            self.levels.append(summed((shorter(keys >> np.uint64(8), level) << np.uint64(8)) | (keys & np.uint64(255)), n))
+
+    def bit(self, k: int) -> list[tuple[np.ndarray, ...]]:
+        """For the ``k``-th bit, deepest level first: nodes, probability of a one, weight of it, place of the node above, weighted log-probability."""
+        out: list[tuple[np.ndarray, ...]] = []
+        up, log = np.zeros(0, np.int64), np.zeros(0)
+        nodes = self.nodes(0, k)
+        for level in range(len(self.levels)):
+            keys, n = self.levels[level]
+            first = np.searchsorted(keys, nodes << np.uint64(8 - k)) if len(nodes) else np.zeros(0, np.int64)
+            one = n * (keys >> np.uint64(7 - k) & np.uint64(1)).astype(np.int64)
+            total, ones = (np.add.reduceat(x, first) if len(first) else n for x in (n, one))
+            own = kt_small(total - ones, ones)
+            both, weight = mixed(own, np.bincount(up, log, len(nodes))) if level else (own, np.ones(len(own)))
+            above = self.nodes(level + 1, k) if level + 1 < len(self.levels) else nodes
+            to = np.searchsorted(above, self.parent(nodes, level, k)) if level + 1 < len(self.levels) else np.zeros(0, np.int64)
+            out.append((nodes, (ones + 0.5) / (total + 1), weight, to, both))
+            nodes, up, log = above, to, both
+        return out
+
+    def nodes(self, level: int, k: int) -> np.ndarray:
+        node = self.levels[level][0] >> np.uint64(8 - k)
+        return node[np.concatenate(([True], node[1:] != node[:-1]))] if len(node) else node
+
+    def parent(self, nodes: np.ndarray, level: int, k: int) -> np.ndarray:
+        return (shorter(nodes >> np.uint64(k), level) << np.uint64(k)) | (nodes & np.uint64((1 << k) - 1))
+
+    def top(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For the levels above: context of two classes and byte, their counts; context and node (as in a heap), their log-probabilities."""
+        keys, n = self.levels[-1]
+        cells, count = summed((keys >> np.uint64(13) << np.uint64(8)) | (keys & np.uint64(255)), n)
+        at, log = [], []
+        for k in range(8):
+            nodes, *_, both = self.bit(k)[-1]
+            at.append((nodes >> np.uint64(k + 5) << np.uint64(8)) | (nodes & np.uint64((1 << k) - 1)) + np.uint64(1 << k))
+            log.append(both)
+        places, which = np.unique(np.concatenate(at), return_inverse=True)
+        return cells.astype(np.int64), count, places.astype(np.int64), np.bincount(which, np.concatenate(log), len(places))
+
+    def answer(self, asked: list[np.ndarray], above: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+        """log10 probability of the coded byte for each of some arrays of sorted keys."""
+        keys = self.levels[0][0]
+        known = np.zeros(len(keys))
+        new = [a[~_in(a, keys)] for a in asked]
+        missing = np.unique(np.concatenate(new)) if new else keys[:0]
+        unknown = np.zeros(len(missing))
+        for k in range(8):
+            levels = self.bit(k)
+            last = len(levels) - 1
+            a = b = None
+            context = missing >> np.uint64(8)
+            prefix = missing >> np.uint64(8 - k) & np.uint64((1 << k) - 1)
+            contexts = [context]
+            for level in range(last):
+                contexts.append(shorter(contexts[-1], level))
+            heap = (contexts[-1].astype(np.int64) >> 5 << 8) + (1 << k) + prefix.astype(np.int64)
+            guess = above[0][heap] + above[1][heap] / 2
+            for level in range(last, -1, -1):
+                nodes, p, weight, to, _ = levels[level]
+                if level == last:
+                    heap = (nodes >> np.uint64(k + 5)).astype(np.int64) * 256 + (1 << k) + (nodes & np.uint64((1 << k) - 1)).astype(np.int64)
+                    a, b = above[0][heap], above[1][heap]
+                else:
+                    a, b = a[to], b[to]
+                a, b = a + b * weight * p, b * (1 - weight)
+                if len(nodes) and len(missing):
+                    node = (contexts[level] << np.uint64(k)) | prefix
+                    place = np.minimum(np.searchsorted(nodes, node), len(nodes) - 1)
+                    seen = nodes[place] == node
+                    guess[seen] = (a + b / 2)[place[seen]]
+            one = (missing >> np.uint64(7 - k) & np.uint64(1)) > 0
+            unknown += np.log10(np.where(one, guess, 1 - guess))
+            place = np.searchsorted(levels[0][0], keys >> np.uint64(8 - k))
+            one = (keys >> np.uint64(7 - k) & np.uint64(1)) > 0
+            p = a[place] if len(keys) else known
+            known += np.log10(np.where(one, p, 1 - p))
+        out = []
+        for want in asked:
+            value = np.empty(len(want), np.float32)
+            seen = _in(want, keys)
+            value[seen] = known[np.searchsorted(keys, want[seen])]
+            value[~seen] = unknown[np.searchsorted(missing, want[~seen])]
+            out.append(value)
+        return out
+
+
+def _in(some: np.ndarray, table: np.ndarray) -> np.ndarray:
+    if not len(table):
+        return np.zeros(len(some), bool)
+    return table[np.minimum(np.searchsorted(table, some), len(table) - 1)] == some
+
+
+def upper_levels(count: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the levels of 0 to 2 bytes give: the probability of a one is the first plus the second times that of the level below.
+
+    ``count`` is by two classes and byte, ``below`` by two classes and node.
+    """
+    two = count.reshape(64, 32, 256)
+    first, sums = two.sum(axis=1), below.reshape(64, 32, 256)
+    base, share = np.zeros((64, 32, 256)), np.ones((64, 32, 256))
+    for k in range(8):
+        at = slice(1 << k, 2 << k)
+        n = [bits(x, k) for x in (two, first, first.sum(axis=0))]
+        w2, own2 = weighted(kt(*n[0]), sums[:, :, at])
+        w1, own1 = weighted(kt(*n[1]), w2.sum(axis=1))
+        own0 = weighted(kt(*n[2]), w1.sum(axis=0))[1]
+        p2, p1, p0 = ((n1 + 0.5) / (n0 + n1 + 1) for n0, n1 in n)
+        base[:, :, at] = own0 * p0 + (1 - own0) * (own1 * p1)[:, None, :] + ((1 - own0) * (1 - own1))[:, None, :] * own2 * p2
+        share[:, :, at] = ((1 - own0) * (1 - own1))[:, None, :] * (1 - own2)
+    return base.reshape(-1), share.reshape(-1)
+
+
+def pack(keys: np.ndarray) -> bytes:
+    """Sorted keys as compressed differences."""
+    step = np.diff(keys, prepend=np.uint64(0))
+    return pa.compress(np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True) if len(keys) else b""
+
+
+def unpack(raw: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.uint64)
+    planes = np.frombuffer(pa.decompress(raw, decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, n).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def words(raw: bytes) -> list[bytes]:
     """Words of a text: A-Z lower-cased, split at ASCII white space."""
     return raw.lower().split()
 
 
-def gather(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Counts over all texts of ``docs``: ``word, n`` (the end is the word null) and ``symbol, n``."""
+def gather(docs: DataFrame) -> DataFrame:
+    """Counts over all texts of ``docs``: ``word, n`` (the end is the word null)."""
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
@@ -193,23 +392,173 @@ def gather(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                     held.clear()
         yield flush([*((w.decode(), n) for w, n in held.items()), (None, ends)])
 
-    def count_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(1 << 24, np.uint32)  # a task reads less than 4 GB
+    return docs.select("text").mapInArrow(count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+_PACKED = "bucket int, chunk int, size long, keys binary, numbers binary"
+
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["bucket", "chunk", "size", "keys", "numbers"])
+
+
+def chunk_keys(texts: DataFrame, buckets: int) -> DataFrame:
+    """The distinct keys of each chunk (``chunk, learned, text``) by bucket, and how often training texts have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held, size = None, [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            keys, n = summed(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+            to = (mix(class_of(keys >> np.uint64(40))) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            cut = np.searchsorted(to[order], np.arange(buckets + 1))
+            for a in range(0, buckets, 64):
+                parts = [(i, order[cut[i] : cut[i + 1]]) for i in range(a, min(a + 64, buckets)) if cut[i] < cut[i + 1]]
+                yield _packed([(i, chunk, len(p), pack(keys[p]), pa.compress(n[p].astype(np.uint32).tobytes(), codec="zstd", asbytes=True)) for i, p in parts])
+
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in groups(texts, BLOCK):
-                found, times = np.unique(symbols([t.encode() for t in texts[a:b]])[0], return_counts=True)
-                held[found] += times.astype(np.uint32)
-        found = np.flatnonzero(held)
-        for a in range(0, len(found), 100_000):
-            part = found[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(held[part].astype(np.int64))], names=["symbol", "n"])
-
-    text = docs.select("text")
-    return (
-        text.mapInArrow(count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"),
-        text.mapInArrow(count_symbols, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n")),
-    )
+            numbers, learned, every = (batch.column(c).to_pylist() for c in ("chunk", "learned", "text"))
+            cuts = [0, *(i for i in range(1, len(numbers)) if numbers[i] != numbers[i - 1]), len(numbers)]
+            for u, v in zip(cuts, cuts[1:], strict=False):
+                if u < v and numbers[u] != chunk:
+                    if held:
+                        yield from flush()
+                    chunk, held, size = numbers[u], [], 0
+                for a, b in groups(every[u:v], BLOCK):
+                    for use in (0, 1):
+                        raw = [t.encode() for t, x in zip(every[u + a : u + b], learned[u + a : u + b], strict=True) if x == use]
+                        if raw:
+                            keys, n = np.unique(keys_of(raw)[0], return_counts=True)
+                            held.append((keys, n * use))
+                            size += len(keys)
+                    if len(held) > 1 and size > 6_000_000:
+                        held = [summed(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))]
+                        size = 0
+        if held:
+            yield from flush()
+
+    return texts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, _PACKED)
+
+
+def bucket_sums(packed: DataFrame) -> DataFrame:
+    """The training counts of each bucket (``chunk`` is null), and what the levels above need."""
+    ddl = _PACKED + ", cells binary, counts binary, places binary, logs binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held, size = None, [], 0
+
+        def one() -> tuple[np.ndarray, np.ndarray]:
+            return summed(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+
+        def flush() -> pa.RecordBatch:
+            keys, n = one()
+            head = _packed([(bucket, None, len(keys), pack(keys), n.tobytes())])
+            more = [pa.array([x.tobytes()], pa.binary()) for x in Subtrees(keys, n).top()]
+            return pa.RecordBatch.from_arrays([*head.columns, *more], names=[*head.schema.names, "cells", "counts", "places", "logs"])
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["bucket"] != bucket:
+                    if held:
+                        yield flush()
+                    bucket, held, size = r["bucket"], [], 0
+                n = np.frombuffer(pa.decompress(r["numbers"], decompressed_size=4 * r["size"], codec="zstd", asbytes=True), np.uint32).astype(np.int64)
+                held.append((unpack(r["keys"], r["size"])[n > 0], n[n > 0]))
+                size += len(held[-1][0])
+                if size > 1_000_000:
+                    held, size = [one()], 0
+        if held:
+            yield flush()
+
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, ddl)
+
+
+def answers(packed: DataFrame, sums: DataFrame, above: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``chunk, size, keys, numbers``: the log10 probabilities of the keys of each chunk."""
+    upper = packed.sparkSession.sparkContext.broadcast(above)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, held, size = None, [], 0
+
+        def flush() -> pa.RecordBatch:
+            found = model.answer([unpack(r["keys"], r["size"]) for r in held], upper.value)
+            return _packed([(r["bucket"], r["chunk"], r["size"], r["keys"], x.tobytes()) for r, x in zip(held, found, strict=True)])
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["chunk"] is None:
+                    if held:
+                        yield flush()
+                    held, size = [], 0
+                    model = Subtrees(unpack(r["keys"], r["size"]), np.frombuffer(r["numbers"], np.int64))
+                    continue
+                held.append(r)
+                size += r["size"]
+                if size > 4_000_000:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    every = packed.unionByName(sums.select(*packed.columns))
+    return every.repartition("bucket").sortWithinPartitions("bucket", F.col("chunk").asc_nulls_first()).mapInArrow(run, _PACKED)
+
+
+def document_scores(texts: DataFrame, answered: DataFrame) -> DataFrame:
+    """``doc_id, key, score`` from the answers to each text's chunk."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("score", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, packs, known = None, [], None
+        for batch in batches:
+            every, numbers = batch.column("text").to_pylist(), batch.column("chunk").to_pylist()
+            kinds = [(c, t is None) for c, t in zip(numbers, every, strict=True)]
+            cuts = [0, *(i for i in range(1, len(kinds)) if kinds[i] != kinds[i - 1]), len(kinds)]
+            for u, v in zip(cuts, cuts[1:], strict=False):
+                if u < v and numbers[u] != chunk:
+                    chunk, packs, known = numbers[u], [], None
+                if u < v and every[u] is None:
+                    packs += [(unpack(r["keys"], r["size"]), np.frombuffer(r["numbers"], np.float32)) for r in batch.slice(u, v - u).select(["size", "keys", "numbers"]).to_pylist()]
+                    continue
+                if known is None:
+                    table, values = (np.concatenate(x) for x in zip(*packs, strict=True))
+                    packs = []
+                    order = np.argsort(table)
+                    known = table[order], values[order]
+                for a, b in groups(every[u:v], BLOCK):
+                    index, starts = keys_of([t.encode() for t in every[u + a : u + b]])
+                    order = np.argsort(index)
+                    each = np.empty(len(index))
+                    each[order] = known[1][np.searchsorted(known[0], index[order])]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(u + a, b - a) for c in ("doc_id", "key")), pa.array(np.add.reduceat(each, starts))], schema=schema)
+
+    # The answers to a chunk come before its texts.
+    both = texts.unionByName(answered.select("chunk", "size", "keys", "numbers"), allowMissingColumns=True)
+    return both.repartition("chunk").sortWithinPartitions("chunk", F.col("text").isNotNull()).mapInArrow(run, "doc_id long, key long, score double")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A checkpoint after which the files of the shuffles that led to it can go."""
+    out = with_checkpoints(df)
+    del df
+    gc.collect()
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
+def tree_scores(keyed: DataFrame, is_learned: Column) -> DataFrame:
+    """``doc_id, key, score`` for every row (``doc_id, key, text``) by the tree of those that are learned."""
+    n_bytes = keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    texts = keyed.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_bytes // CHUNK + 1)).cast("int"))
+    packed = settled(chunk_keys(texts.select("chunk", is_learned.cast("int").alias("learned"), "text"), max(BUCKETS, n_bytes // SHARE)))
+    sums = settled(bucket_sums(packed))
+    count, below = np.zeros(1 << 19), np.zeros(1 << 19)
+    for cells, n, places, logs in sums.select("cells", "counts", "places", "logs").toLocalIterator():
+        count[np.frombuffer(cells, np.int64)] += np.frombuffer(n, np.int64)
+        below[np.frombuffer(places, np.int64)] += np.frombuffer(logs, np.float64)
+    return settled(document_scores(texts, answers(packed, sums, upper_levels(count, below))))
 
 
 def score(docs: DataFrame, training: Column | None = None, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
@@ -220,36 +569,33 @@ def score(docs: DataFrame, training: Column | None = None, id_col: str = "doc_id
     """
     spark = docs.sparkSession
     rows = narrow(docs, id_col, text_col)
-    learned = rows.where(F.lit(True) if training is None else training)
-    by_word, by_symbol = gather(learned)
+    is_learned = F.lit(True) if training is None else F.coalesce(training, F.lit(False))
     # The distinct words are wanted three times; they are written once where all executors see them.
-    by_word = with_checkpoints(by_word)
+    by_word = with_checkpoints(gather(rows.where(is_learned)))
     total, distinct = by_word.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     has_end = total > 0
     counts = by_word.where(F.col("word").isNotNull())
     often = F.col("n") * frequent >= total
     top = counts.where(often).toArrow()
     common = dict(zip((w.encode() for w in top["word"].to_pylist()), top["n"].to_pylist(), strict=True))
-    seen = by_symbol.toArrow()
-    table = probability_table(seen["symbol"].to_numpy(), seen["n"].to_numpy())
+    keyed = rows.withColumn("key", F.xxhash64("text"))
+    scores = tree_scores(keyed, is_learned)
     ends = by_word.where(F.col("word").isNull()).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    held_table, held_common = spark.sparkContext.broadcast(table), spark.sparkContext.broadcast(common)
+    held_common = spark.sparkContext.broadcast(common)
     scale = total + distinct + 1
     end_score, end_known = math.log10((ends + 1) / scale), int(has_end and ends > 0)
 
-    fields = [("word", pa.string()), ("n", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]
+    fields = [("word", pa.string()), ("n", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), ("known", pa.int64()), ("base", pa.float64())]
     schema = pa.schema(fields)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, often_seen = held_table.value, held_common.value.get
+        often_seen = held_common.value.get
         for batch in batches:
             ids, keys, every = (batch.column(c).to_pylist() for c in ("doc_id", "key", "text"))
             for a, b in groups(every, BLOCK):
                 raw = [t.encode() for t in every[a:b]]
-                index, starts = symbols(raw)
-                scores = np.add.reduceat(model[index].astype(np.float64), starts)
                 out: list[list] = [[] for _ in fields]
-                for doc_id, key, r, s in zip(ids[a:b], keys[a:b], raw, scores.tolist(), strict=True):
+                for doc_id, key, r in zip(ids[a:b], keys[a:b], raw, strict=True):
                     found = Counter(words(r))
                     known, base = end_known, end_score
                     for w, n in found.items():
@@ -264,14 +610,13 @@ def score(docs: DataFrame, training: Column | None = None, id_col: str = "doc_id
                     for column in out[4:]:
                         column += [None] * rare
                     # The row of the document itself; its word holds a space, so it meets no count.
-                    for column, x in zip(out, (f" {doc_id} {key}", 0, doc_id, key, found.total() + 1, len(r), known, base, s), strict=True):
+                    for column, x in zip(out, (f" {doc_id} {key}", 0, doc_id, key, found.total() + 1, len(r), known, base), strict=True):
                         column.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
-    keyed = rows.withColumn("key", F.xxhash64("text"))
-    parts = keyed.mapInArrow(work, "word string, n long, doc_id long, key long, n_tokens long, n_bytes long, known long, base double, score double")
+    parts = keyed.drop("chunk").mapInArrow(work, "word string, n long, doc_id long, key long, n_tokens long, n_bytes long, known long, base double")
     rest = counts.where(~often).select("word", F.col("n").alias("c"))
-    joined = parts.join(rest, "word", "left").withColumn("own", F.col("n_tokens").isNotNull())
+    joined = parts.join(rest, "word", "left").unionByName(scores, allowMissingColumns=True).withColumn("own", F.col("n_tokens").isNotNull())
     base = F.when(~F.col("own"), F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(scale))))
     per_doc = joined.groupBy("doc_id", "key").agg(
         F.sum(F.col("own").cast("long")).alias("copies"),

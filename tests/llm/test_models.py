@@ -263,3 +263,71 @@ def test_scores(spark, odd):
     nothing = ct.score(rows, F.lit(False)).collect()
     assert {(r.n_known, r.train_tokens, r.base_score) for r in nothing} == {(0, 0, 0.0)}
     assert ct.score(rows.limit(0)).count() == 0
+
+
+def brute_deep(train, text):
+    """The weighting over all levels by its definition, node by node."""
+    def path(x):
+        classes = int(ct.class_of(np.array([x >> 40], np.uint64))[0])
+        return [(), (classes >> 10,), (classes >> 5,), (0, classes), *((d, x >> (64 - 8 * d)) for d in range(3, ct.DEEP + 1))]
+
+    counts, kids = collections.Counter(), collections.defaultdict(set)
+    for t in train:
+        for x in ct.keys_of([t])[0].tolist():
+            for k in range(8):
+                for level, c in enumerate(path(x)):
+                    counts[level, c, k, (x & 255) >> (8 - k), x >> (7 - k) & 1] += 1
+                    if level:
+                        kids[level - 1, path(x)[level - 1], k, (x & 255) >> (8 - k)].add((level, c))
+
+    def estimate(a, b):
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    last = ct.DEEP + 1
+
+    @lru_cache(None)
+    def log(level, c, k, prefix):
+        own = estimate(counts[level, c, k, prefix, 0], counts[level, c, k, prefix, 1])
+        return own if level == last else np.logaddexp(own, sum(log(*x, k, prefix) for x in kids[level, c, k, prefix])) - math.log(2)
+
+    total = 0.0
+    for x in ct.keys_of([text])[0].tolist():
+        for k in range(8):
+            prefix, bit, p = (x & 255) >> (8 - k), x >> (7 - k) & 1, None
+            for level, c in reversed(list(enumerate(path(x)))):
+                n = counts[level, c, k, prefix, 0], counts[level, c, k, prefix, 1]
+                own = (n[bit] + 0.5) / (sum(n) + 1)
+                w = math.exp(estimate(*n) - math.log(2) - log(level, c, k, prefix)) if level < last else 1
+                p = own if level == last else w * own + (1 - w) * p
+            total += math.log10(p)
+    return total
+
+
+def test_deep_contexts(spark, monkeypatch):
+    """Contexts of real bytes beyond three, in several chunks and buckets, against the definition."""
+    texts = ["the cat sat on the mat", "the cat Sat on the hat", "día höre 12. код 345; 12! мир", "", "the cat sat on the mat", "unseen цвет 99? on the mat", "x1 = 17; y2 = 28"] * 2
+    docs = table(spark, texts)
+    monkeypatch.setattr(ct, "CHUNK", 40)
+    monkeypatch.setattr(ct, "BUCKETS", 5)
+    got = {r.doc_id: r.score for r in ct.score(docs, F.col("doc_id") < 5).collect()}
+    train = [t.encode() for t in texts[:5]]
+    for i, t in enumerate(texts):
+        assert abs(got[i] - brute_deep(train, t.encode())) < 1e-4, t
+
+
+def test_deep_contexts_tell_digits_and_case_apart(spark):
+    """Three classes say the same of both; only the bytes before tell what follows."""
+    train = ["code 1234567a", "code 7654321b", "Abcdefg+", "aBCDEFG-"] * 30
+    tests = ["code 1234567a", "code 1234567b", "Abcdefg+", "Abcdefg-"]
+    got = {r.doc_id: r.score for r in ct.score(table(spark, train + tests), F.col("doc_id") < len(train)).collect()}
+    right, wrong, plus, minus = (got[len(train) + i] for i in range(4))
+    assert right > wrong + 0.5 and plus > minus + 0.5
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.binary(max_size=9).map(lambda b: bytes(x % 250 for x in b)), min_size=1, max_size=5))
+def test_keys_of_a_batch(raw):
+    index, starts = ct.keys_of(raw)
+    assert [x.tolist() for x in np.split(index, starts[1:])] == [ct.keys_of([r])[0].tolist() for r in raw]
+    assert len(index) == sum(map(len, raw)) + len(raw)
+    assert ((ct.class_of(index >> np.uint64(40)) << np.uint64(8)) | (index & np.uint64(255))).tolist() == ct.symbols(raw)[0].tolist()
