@@ -12,9 +12,11 @@ caught and a chance agreement of templates is not.  Because a capital letter
 may be lost in a copy, windows are also made with names kept as words.
 
 A document is contaminated if consistent matches cover at least half of an
-item's tokens.  Items of four to seven tokens are one window of their own
-length; shorter ones are never matched.  A window must hold at least four
-plain words, or three in an item of four, or be all plain.
+item's tokens, or ``RUN`` of them in a row.  Items of three to seven tokens are
+one window of their own length; shorter ones are never matched.  A template
+must hold at least four plain words, or three in an item of four, or be all
+plain.  Other windows, and items of three tokens, match only with the same
+numbers and units, so that copies of them are found and chance templates not.
 
 Matching windows are found on the document's side before the join: the hashes
 of the benchmark's windows are broadcast while they number at most
@@ -40,9 +42,11 @@ from stocktake.llm._rows import groups, narrow
 from stocktake.llm._shingles import mix, word_hashes
 
 WIDTH = 8
-SHORTEST = 4
-#: Plain words that a window needs, unless all its tokens are plain.
+SHORTEST = 3
+#: Plain words that a template needs, unless all its tokens are plain.
 PLAIN = 4
+#: Covered tokens in a row that are enough, whatever their share of a long item.
+RUN = 50
 #: 16 MB of hashes.
 BROADCAST_WINDOWS = 2_000_000
 
@@ -134,7 +138,8 @@ def windows_of(ids: list, texts: list[str], width: int, only: np.ndarray | None,
     """Windows of ``width`` tokens of some texts; ``only``: those of these hashes; ``whole``: of texts of just so many tokens.
 
     Reading 0 keeps names as words; reading 1 has them as slots, and only the
-    windows that hold one.
+    windows that hold one; reading 2 has no slots, and only the windows that
+    are no templates in reading 0.
     """
     kind, word, value, owner = sequence(texts)
     n = len(kind) - width + 1
@@ -145,18 +150,24 @@ def windows_of(ids: list, texts: list[str], width: int, only: np.ndarray | None,
     if whole:
         inside &= np.diff(begin)[owner[:n]] == width
     names = np.concatenate(([0], np.cumsum(kind == 3)))
-    for reading in (0, 1):
-        slot = kind > 0 if reading else (kind == 1) | (kind == 2)
-        token = np.where(slot, _CODES[kind], word)
+    for reading in (0, 1, 2):
+        slot = kind > 0 if reading == 1 else (kind == 1) | (kind == 2)
+        token = value if reading == 2 else np.where(slot, _CODES[kind], word)
         h = mix(token[:n])
         for k in range(1, width):
             h = mix(h * np.uint64(3) + token[k : k + n])
-        h = mix(h + np.uint64(width))
+        h = mix(h + np.uint64(width + 100 * (reading == 2)))
         before = np.concatenate(([0], np.cumsum(slot)))
         slots = before[width:] - before[:-width]
-        good = inside & ((slots == 0) | (width - slots >= min(PLAIN, width - 1)))
-        if reading:
+        good = (slots == 0) | (width - slots >= min(PLAIN, width - 1))
+        if width == SHORTEST:
+            good[:] = False
+        if reading == 1:
             good &= names[width:] > names[:-width]
+        elif reading == 2:
+            good = ~good
+            slot, slots, before = np.zeros(len(kind), bool), np.zeros_like(slots), np.zeros_like(before)
+        good &= inside
         at = np.flatnonzero(good)
         if only is not None:
             at = at[_among(h[at], only)]
@@ -185,7 +196,7 @@ def template_table(texts: DataFrame, widths: list[int], only: np.ndarray | None
     return texts.mapInArrow(run, _WINDOWS_DDL)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, least_cover: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, least_cover: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", least_run: int = RUN) -> DataFrame:
     """``doc_id, item_id, cover``: the items that a document contains, and the share of their tokens."""
     widths = [WIDTH, *range(SHORTEST, WIDTH)]
     items = with_checkpoints(template_table(narrow(benchmark, item_id_col, item_text_col), widths, benchmark=True).withColumnRenamed("id", "item_id"))
@@ -204,8 +215,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_cover: float = 0.5, id_co
     good = slots.where(consistent).groupBy("id", "item_id").agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"))
     lengths = items.groupBy("item_id").agg(F.max(F.col("at") + F.col("width")).alias("tokens"))
     token_places = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p["at"], p["at"] + p["width"] - 1))))
-    covered = good.join(lengths, "item_id").withColumn("cover", F.size(token_places) / F.col("tokens"))
-    return covered.where(F.col("cover") >= least_cover).select(F.col("id").alias("doc_id"), "item_id", "cover")
+    covered = good.join(lengths, "item_id").withColumn("at", F.array_sort(token_places)).withColumn("cover", F.size("at") / F.col("tokens"))
+    # A token starts a run of ``least_run`` if the one ``least_run - 1`` places on is just so much greater.
+    in_a_row = F.exists(F.transform("at", lambda x, i: F.coalesce(F.get("at", i + (least_run - 1)) - x == least_run - 1, F.lit(False))), lambda hit: hit)
+    return covered.where((F.col("cover") >= least_cover) | in_a_row).select(F.col("id").alias("doc_id"), "item_id", "cover")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -154,6 +154,22 @@ def test_leaks_without_broadcast(spark, monkeypatch):
     assert want and sorted((r.doc_id, tuple(r["items"])) for r in contaminated(docs, items).collect()) == want
 
 
+def test_short_and_numeric_items(spark):
+    """Items with too few plain words for a template match their copies, and only with equal values."""
+    items = ["What is 12 + 7?", "What is 15 percent of 240?", "Convert 5 miles to 8 km", "Add 3 km, 4 miles, 5 feet, 6 inches, 7 yards, 8 cm and 9 mm", "red blue green"]
+    changed = ["What is 12 + 8?", "What is 15 percent of 250?", "Convert 6 miles to 8 km", "Add 2 km, 3 miles, 4 feet, 5 inches, 6 yards, 7 cm and 8 mm", "red blue grey"]
+    docs = table(spark, [f"some text before. {x} and some after" for x in items + changed])
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.cover) for r in leaks(docs, benchmark).collect()) == [(i, i, 1.0) for i in range(5)]
+
+
+def test_long_run_of_a_longer_item(spark):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
+    docs = table(spark, [" ".join(words[20:70]), " ".join(words[20:69]), " ".join(words[:30] + ["x"] + words[60:90])])
+    benchmark = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    assert [(r.doc_id, r.cover) for r in leaks(docs, benchmark).collect()] == [(0, 0.25)]
+
+
 # ---- neighbours -------------------------------------------------------------------------------
 
 
