@@ -12,7 +12,7 @@ from stocktake.operators.inventory import distinct_hashes
 STATUSES = ("immediate", "needs-restore-request", "restore-ongoing", "restore-ready", "restore-expired-needs-reissue")
 ACTIONS = ("already-correct", "immediate-copy", "needs-restore-request", "restore-ongoing", "finalize-copy")
 
-#: From so many policies on, path classes are joined instead of folded.
+#: Of more policies than these, path classes are joined instead of folded.
 FOLDED = 64
 
 
@@ -42,11 +42,11 @@ def path_class_joined(paths: DataFrame, policies: DataFrame) -> DataFrame:
 
 
 def load(policies: DataFrame) -> tuple[list[tuple[str, str]], str]:
-    """A small policy table on the driver: (glob, class) in order, and the default class."""
+    """A policy table on the driver, whole: (glob, class) in order, and the default class."""
     default = policies.where("is_default").select("target_class").collect()
     if len(default) != 1:
         raise ValueError(f"{len(default)} default storage policies")
-    return [(r["glob"], r["target_class"]) for r in by_priority(policies).limit(10_000).collect()], default[0][0]
+    return [(r["glob"], r["target_class"]) for r in by_priority(policies).collect()], default[0][0]
 
 
 def hash_class(entries: DataFrame, policies: list[tuple[str, str]], default: str, scope: str | None = None) -> DataFrame:
@@ -57,7 +57,12 @@ def hash_class(entries: DataFrame, policies: list[tuple[str, str]], default: str
     files = entries.where(F.col("hash").isNotNull())
     if scope is not None:
         files = files.join(distinct_hashes(files, scope), "hash", "left_semi")
-    cold = files.select("hash", scalars.coldness(path_class(policies, default)).alias("cold"))
+    if len(policies) > FOLDED:
+        rules = [(i, globs.glob_to_regex(glob), target, False) for i, (glob, target) in enumerate(policies)] + [(len(policies), None, default, True)]
+        table = entries.sparkSession.createDataFrame(rules, "id long, regex string, target_class string, is_default boolean").withColumn("priority", F.col("id"))
+        files = files.join(path_class_joined(files.select("path").distinct(), table), "path")
+    target = F.col("target_class") if len(policies) > FOLDED else path_class(policies, default)
+    cold = files.select("hash", scalars.coldness(target).alias("cold"))
     warmest = cold.groupBy("hash").agg(F.min("cold").alias("cold"), (F.min("cold") != F.max("cold")).alias("conflicted"), F.count(F.lit(1)).alias("n_paths"))
     return warmest.select("hash", scalars.class_of("cold").alias("target_class"), "conflicted", "n_paths")
 

@@ -238,3 +238,16 @@ def test_inspect(spark):
     assert left.isEmpty() and (history.first().id, history.first().introduced_in_version) == (7, "v1")
     live = table(spark, [("A",), ("a",), ("aA",)], "path string")
     assert {r.path: r.other for r in inventory.collision_partner(live, live).collect()} == {"A": "a", "a": "A"}
+
+
+def test_many_storage_policies(spark):
+    """No policy is dropped, and beyond ``FOLDED`` classes are joined with the same result."""
+    many = spark.range(10_050).selectExpr("id", "concat('d/', id, '/*') AS glob", "'GLACIER' AS target_class", "CAST(id AS int) AS priority", "false AS is_default")
+    rules, default = storage.load(many.unionByName(table(spark, [(-1, None, "STANDARD", None, True)], "id long, glob string, target_class string, priority int, is_default boolean")))
+    assert len(rules) == 10_050 and rules[-1] == ("d/10049/*", "GLACIER")
+    entries = table(spark, [entry("d/9/a", "h9"), entry("d/99/a", "h99"), entry("e/1", "h1"), entry("d/99/b", "h1"), entry("d/5/x", "h5")], ENTRY)
+    few = [*rules[:storage.FOLDED], ("d/99/*", "GLACIER"), ("d/**", "DEEP_ARCHIVE")]
+    got = {r["hash"]: (r.target_class, r.conflicted, r.n_paths) for r in storage.hash_class(entries, few, default).collect()}
+    assert got == {"h9": ("GLACIER", False, 1), "h99": ("GLACIER", False, 1), "h1": ("STANDARD", True, 2), "h5": ("GLACIER", False, 1)}
+    plan = storage.hash_class(entries, few, default)._jdf.queryExecution().toString()
+    assert "RLIKE" in plan and "Join" in plan
