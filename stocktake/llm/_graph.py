@@ -11,10 +11,13 @@ EDGES = 100_000
 
 
 def with_checkpoints(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder that the session names."""
+    """Cut the lineage with a checkpoint in the shared folder that the session names; without one this raises an error."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
 
 

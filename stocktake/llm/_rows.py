@@ -4,6 +4,9 @@
 narrows the input to an identifier and a text under private names (so that
 extra or clashing columns of the caller cannot interfere), streams Arrow
 batches, and hands the function plain lists.
+
+Batches are bounded by bytes as well as by rows: ``stream`` sets Spark's own
+limit for Arrow batches in the session, unless a lower one is set there.
 """
 
 from __future__ import annotations
@@ -17,7 +20,25 @@ from pyspark.sql import functions as F
 
 #: Rows of a batch are handed on in groups of at most this many characters, so
 #: that a batch of long texts needs no more memory than one of short texts.
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 500_000
+#: Bytes of an Arrow batch; a single longer row stands alone.
+BATCH_BYTES = 4_000_000
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def stream(frame: DataFrame, run: Callable, ddl: str) -> DataFrame:
+    """``mapInArrow`` with batches of at most ``BATCH_BYTES``."""
+    conf = frame.sparkSession.conf
+    held = conf.get(_LIMIT).removesuffix("b")
+    if not held.isdigit() or int(held) > BATCH_BYTES:
+        conf.set(_LIMIT, str(BATCH_BYTES))
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        # The worker process lives on; what it has freed goes back to the system.
+        pa.default_memory_pool().release_unused()
+
+    return frame.mapInArrow(released, ddl)
 
 
 def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -55,7 +76,7 @@ def map_texts(frame: DataFrame, schema: str, arrow_schema: pa.Schema, start: Cal
                 columns = work([c[a:b] for c in rest], texts[a:b])
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow_schema, strict=True)], schema=arrow_schema)
 
-    return frame.mapInArrow(run, schema)
+    return stream(frame, run, schema)
 
 
 def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

@@ -3,6 +3,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -61,6 +62,8 @@ def copies(seed=2):
 
 def test_near_duplicates(spark, odd, monkeypatch):
     monkeypatch.setattr(nd, "BLOCK_SHINGLES", 2_000)  # groups are cut into several blocks
+    monkeypatch.setattr(nd, "KEY_BLOCK", 5)
+    monkeypatch.setattr(nd, "PIVOTS", 8)
     texts = [*copies(), *odd]
     for share in (85, 80):
         label, sizes = brute_components(texts, share)
@@ -148,3 +151,42 @@ def test_copies_keep_their_rows(spark):
     text = "".join(random.Random(1).choice("abcdef") for _ in range(900))
     rows = spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id long, text string")
     assert [(r.n_bytes, r.n_removed) for r in remove_repeats(rows).where(F.col("n_bytes") > 0).collect()] == [(900, 900)] * 3
+
+
+def test_templated_documents_are_no_group(spark):
+    """At a similarity of about 0.4 most share keys by chance, but hardly a signature is within the distance."""
+    rnd = random.Random(9)
+    frame = [["t%d" % rnd.randrange(10**6) for _ in range(60)] for _ in range(2)]
+    texts = [" ".join([*frame[0], *("r%d" % rnd.randrange(10**9) for _ in range(80)), *frame[1]]) for _ in range(2000)]
+    texts += [texts[5] + " end", texts[7]]
+    docs = table(spark, texts)
+    classes = nd.shingled(docs.select("doc_id", "text"), 5).groupBy("node").agg(F.first("signature").alias("signature")).withColumn("handle", F.xxhash64("node"))
+    sizes = [r["count"] for r in components(nd.candidate_pairs(classes)).groupBy("root").count().collect()]
+    assert sum(sizes) < 100 and max(sizes) < 10
+    got = near_duplicates(docs)
+    assert sorted((r.doc_id, r.component_id) for r in got.where("not kept").collect()) == [(2000, 5), (2001, 7)]
+
+
+def test_forest_connects_what_is_within_the_distance():
+    rnd = random.Random(3)
+    base = [rnd.randrange(256) for _ in range(65)]
+    rows = [[rnd.randrange(256) if rnd.random() < share else b for b in base] for share in [0.1] * 30 + [0.3] * 30 + [0.9] * 10]
+    low = np.array(rows, np.uint8)
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if (low[i] != low[j]).sum() <= nd.MOST]
+
+    def parts(edges):
+        label = list(range(len(rows)))
+        for a, b in edges:
+            label = [min(label[a], label[b]) if x in (label[a], label[b]) else x for x in label]
+        return label
+
+    found = nd.forest(low)
+    assert parts(found) == parts(near) and len(found) == len(rows) - len(set(parts(near)))
+
+
+def test_one_identifier_of_several_texts(spark):
+    base = ["w%d" % i for i in range(40)]
+    a, b = " ".join(base), " ".join(base[:39])
+    rows = spark.createDataFrame([(1, a), (1, "other words that have nothing in common with it"), (2, b), (3, "x")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(rows).collect())
+    assert got == [(1, 5, 1), (1, 36, 1), (2, 35, 1), (3, 1, 3)]
