@@ -15,8 +15,9 @@ Classes that share a key are compared: only those whose signatures differ in
 at most ``MOST`` places become candidates of each other.  A key's classes are
 compared outwards from one class, each time with those that none has reached
 yet, so that a key of near copies costs one comparison a class; what comes out
-is a spanning forest of the candidate pairs.  Keys of over ``KEY_BLOCK`` classes
-are cut into blocks, every two of which meet in a task of their own.
+are stars around the smallest class of each part that hangs together, mostly
+the same for all keys of a part.  Keys of over ``KEY_BLOCK`` classes are cut
+into blocks, every two of which meet in a task of their own.
 
 Candidates that hang together are a group.  Their links are confirmed on the
 full sets, in two rounds.  First groups are dealt to blocks of bounded size, and
@@ -106,8 +107,8 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def shingled(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n_shingles, node, signature``: the node is a hash of the whole set, null without shingles."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("signature", pa.binary())])
+    """``doc_id, n_shingles, node, low, high``: the node is a hash of the whole set, null without shingles; the lower and upper bytes of the signature."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("low", pa.binary()), ("high", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,9 +119,9 @@ def shingled(docs: DataFrame, width: int) -> DataFrame:
                 found = np.zeros((b - a, PLACES), np.uint16)
                 if full.any():
                     found[full] = signatures(hashes, sizes[full])
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(sizes.astype(np.int64)), nodes(hashes, sizes), _binary(found.view(np.uint8))], schema=schema)
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(sizes.astype(np.int64)), nodes(hashes, sizes), *(_binary((found >> np.uint16(k)).astype(np.uint8)) for k in (0, 8))], schema=schema)
 
-    return stream(docs, run, "doc_id long, n_shingles long, node binary, signature binary")
+    return stream(docs, run, "doc_id long, n_shingles long, node binary, low binary, high binary")
 
 
 def keyed(classes: DataFrame) -> DataFrame:
@@ -130,28 +131,29 @@ def keyed(classes: DataFrame) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 2000):
                 part = batch.slice(a, 2000)
-                found = keys(_matrix(part.column("signature"), 2 * PLACES).view(np.uint16))
+                low, high = (_matrix(part.column(c), PLACES).astype(np.uint16) for c in ("low", "high"))
+                found = keys(low | high << np.uint16(8))
                 yield pa.RecordBatch.from_arrays([pa.array(found.reshape(-1)), pa.array(np.repeat(part.column("handle").to_numpy(), PLACES))], names=["key", "handle"])
 
-    return stream(classes.select("handle", "signature"), run, "key long, handle long")
+    return stream(classes.select("handle", "low", "high"), run, "key long, handle long")
 
 
-def forest(low: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of signatures (their lower bytes) that differ in at most ``MOST`` places."""
-    out: list[tuple[int, int]] = []
-    left = np.arange(1, len(low))
-    queue = [0]
+def parts(low: np.ndarray) -> list[list[int]]:
+    """What hangs together by pairs of signatures (their lower bytes) that differ in at most ``MOST`` places; parts of one are left out."""
+    out: list[list[int]] = []
+    left = np.arange(len(low))
     while len(left):
-        if not queue:
-            queue, left = [int(left[0])], left[1:]
-            continue
-        x = queue.pop()
-        near = (low[left] != low[x]).sum(axis=1) <= MOST
-        if near.any():
-            reached = left[near].tolist()
-            out += [(x, y) for y in reached]
-            queue += reached
-            left = left[~near]
+        part, left = [int(left[0])], left[1:]
+        queue = [part[0]]
+        while queue and len(left):
+            near = (low[left] != low[queue.pop()]).sum(axis=1) <= MOST
+            if near.any():
+                reached = left[near].tolist()
+                part += reached
+                queue += reached
+                left = left[~near]
+        if len(part) > 1:
+            out.append(part)
     return out
 
 
@@ -161,20 +163,23 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
     # Nearly all keys have one class only.
     shared = by_key.groupBy("key").agg(F.min("handle").alias("low"), F.max("handle").alias("top"), F.count(F.lit(1)).alias("n")).where("low <> top")
     # Two nodes may have one handle; then both are compared.
-    side = classes.select("handle", "node", "signature")
+    side = classes.select("handle", "node", "low")
     members = by_key.join(shared.select("key", F.ceil(F.col("n") / KEY_BLOCK).alias("blocks")), "key").join(side, "handle")
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     tiles = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    tiles = tiles.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "node", "signature")
+    tiles = tiles.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "node", "low")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
         def edges(table: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
             names, found = table.column("node").to_pylist(), set()
-            low = _matrix(table.column("signature"), 2 * PLACES)[:, ::2]
+            low = _matrix(table.column("low"), PLACES)
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                found.update((names[a + x], names[a + y]) for x, y in forest(low[a:b]))
+                for part in parts(low[a:b]):
+                    own = [names[a + x] for x in part]
+                    centre = min(own)
+                    found.update((centre, y) for y in own if y != centre)
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
@@ -326,7 +331,7 @@ def near_duplicates(docs: DataFrame, share: int = 80, width: int = 5, id_col: st
     """``doc_id, n_shingles, component_id, kept`` for every row; sets link from ``share`` per cent similarity."""
     rows = narrow(docs, id_col, text_col)
     held = with_checkpoints(shingled(rows, width))
-    classes = held.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    classes = held.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.first("low").alias("low"), F.first("high").alias("high"))
     classes = with_checkpoints(classes.withColumn("handle", F.xxhash64("node")))
     members = components(candidate_pairs(classes)).join(classes.select("node", "doc_id", "n_shingles"), "node")
     linked = confirmed(rows, members, width, share)
