@@ -1,11 +1,14 @@
 """BPE encoding and decoding with tree concatenation (operator 6).
 
-Ordinary texts are cut into words, and each distinct word is encoded once.
-A text with a long unsplit run takes another way: the run is cut into leaves
-that Spark encodes in parallel, and neighbours are then concatenated pairwise
-as a tree.  At each join the last tokens of the left side and the first ones
-of the right side are encoded again as one string; the window grows until
-both of its edges agree with what stands beside it.
+Texts are cut into words, and each distinct word is encoded once.  A word is cut
+into leaves of ``LEAF_BYTES``; the leaves are encoded, and neighbours are then
+concatenated pairwise as a tree.  At each join the last tokens of the left side
+and the first ones of the right side are encoded again as one string; the
+window grows until both of its edges agree with what stands beside it.
+
+A text of over ``LONG_CHARS`` characters is cut into pieces that Spark encodes in
+parallel: runs of whole words, and parts of words of over ``PIECE_BYTES``.  The
+parts of one word are concatenated by the same tree.
 
 Agreement is exact: a token sequence is the encoding of its string if and
 only if each adjacent pair of tokens is the encoding of that pair's string.
@@ -32,12 +35,12 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from stocktake.llm._bpe import SPACE, Merges, Remembered, byte_alphabet
-from stocktake.llm._rows import map_texts, narrow
+from stocktake.llm._rows import map_texts, narrow, stream
 
-#: A run of this many characters without white space sends a text the parallel way.
-LONG_RUN = 4096
-#: Bytes of a leaf there.
-LEAF_BYTES = 8192
+#: Bytes of a leaf of a word.
+LEAF_BYTES = 8
+#: Characters from which on a text is encoded in pieces, and bytes of a piece.
+LONG_CHARS, PIECE_BYTES = 1 << 16, 1 << 15
 
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿŒœ]+")
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿœ]+|[0-9]|[^a-z0-9ß-öø-ÿœ]+")
@@ -55,12 +58,12 @@ class Codec:
 
     def __init__(self, path: str) -> None:
         self.merges = Merges(path)
+        self.merges.spell()
         self.library = Tokenizer.from_file(path)
-        self.model = self.library.model
         self.alphabet = byte_alphabet()
         self.bytes_of = {c: b for b, c in enumerate(self.alphabet)}
         self.latin = str.maketrans({bytes([b]).decode("latin-1"): c for b, c in enumerate(self.alphabet)})
-        self.ids_of_word = Remembered(lambda w: array("i", [t.id for t in self.model.tokenize(w)]).tobytes())
+        self.ids_of_word = Remembered(lambda w: array("i", grown(self.merges, self.raw(w), True)).tobytes())
         self.packed = Remembered(lambda s: b"".join(map(self.ids_of_word.__getitem__, self.words(s))))
         self.shown = Remembered(lambda s: self.decode(np.frombuffer(self.packed[s], np.int32).tolist()))
 
@@ -146,74 +149,113 @@ def _pair(merges: Merges, x: int, y: int, final: bool) -> bool:
     return _again(merges, [x, y], final) == [x, y]
 
 
-def tree(merges: Merges, leaves: list[list[int]]) -> list[int]:
-    """Concatenate neighbours pairwise, level by level, until one encoding is left."""
+def tree(merges: Merges, leaves: list[list[int]], final: bool = True) -> list[int]:
+    """Concatenate neighbours pairwise, level by level, until one encoding is left; ``final``: it ends the word."""
     while len(leaves) > 1:
         last = len(leaves) - 1
-        leaves = [concatenate(merges, leaves[i], leaves[i + 1], i + 1 == last) if i < last else leaves[i] for i in range(0, len(leaves), 2)]
+        leaves = [concatenate(merges, leaves[i], leaves[i + 1], final and i + 1 == last) if i < last else leaves[i] for i in range(0, len(leaves), 2)]
     return leaves[0] if leaves else []
 
 
+def grown(merges: Merges, raw: bytes, final: bool) -> list[int]:
+    """The encoding of a word, or of a part of one, from its leaves; ``final`` says whether it ends the word."""
+    size = len(raw)
+    if size <= LEAF_BYTES:
+        return merges.encode(raw, final)
+    return tree(merges, [merges.encode(raw[a : a + LEAF_BYTES], final and a + LEAF_BYTES >= size) for a in range(0, size, LEAF_BYTES)], final)
+
+
+_PIECES = [("doc_id", pa.int64()), ("row", pa.int64()), ("seq", pa.int64()), ("word", pa.int64()), ("special", pa.int32()), ("words", pa.list_(pa.string())), ("part", pa.binary()), ("final", pa.bool_())]
+
+
 def long_texts(docs: DataFrame, path: str) -> DataFrame:
-    """The parallel way: leaves are dealt over all tasks, then joined text by text."""
+    """The parallel way: pieces are dealt over all tasks, then joined text by text."""
     marked = docs.withColumn("row", F.monotonically_increasing_id())
 
+    def pieces(cutter: Codec, text: str) -> Iterator[tuple]:
+        """(number of a long word, special token, words, part of a long word, whether the last)."""
+        held: list[str] = []
+        size = long_words = 0
+        for special, found in cutter.parts(text):
+            for w in (w for s in found for w in cutter.words(s)):
+                if len(w) > PIECE_BYTES:
+                    if held:
+                        yield None, None, held, None, None
+                        held, size = [], 0
+                    raw = cutter.raw(w)
+                    long_words += 1
+                    for a in range(0, len(raw), PIECE_BYTES):
+                        yield long_words, None, None, raw[a : a + PIECE_BYTES], a + PIECE_BYTES >= len(raw)
+                    continue
+                held.append(w)
+                size += len(w)
+                if size > PIECE_BYTES:
+                    yield None, None, held, None, None
+                    held, size = [], 0
+            if special is not None:
+                if held:
+                    yield None, None, held, None, None
+                    held, size = [], 0
+                yield None, special, None, None, None
+        if held:
+            yield None, None, held, None, None
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = codec(path)
         for batch in batches:
             for doc_id, row, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text")), strict=True):
-                out, word = [], 0
-                for special, found in cutter.parts(text):
-                    if special is not None:
-                        out.append((word := word + 1, True, True, cutter.merges.names[special].encode()))
-                    for raw in (cutter.raw(w) for s in found for w in cutter.words(s)):
-                        word += 1
-                        out += [(word, False, a + LEAF_BYTES >= len(raw), raw[a : a + LEAF_BYTES]) for a in range(0, len(raw), LEAF_BYTES)]
-                for a in range(0, len(out), 10_000):
-                    block = out[a : a + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(block), pa.int64()), pa.array([row] * len(block), pa.int64()), pa.array(range(a, a + len(block)), pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*block, strict=True), (pa.int64(), pa.bool_(), pa.bool_(), pa.binary()), strict=True))], names=["doc_id", "row", "seq", "word", "special", "final", "leaf"])
+                for seq, piece in enumerate(pieces(cutter, text)):
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, (_, t) in zip((doc_id, row, seq, *piece), _PIECES, strict=True)], names=[n for n, _ in _PIECES])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = codec(path).merges
+        own = codec(path)
         for batch in batches:
-            ids = [[merges.special[x.decode()]] if s else merges.encode(x, f) for x, s, f in zip(*(batch.column(c).to_pylist() for c in ("leaf", "special", "final")), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "row", "seq", "word")), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "row", "seq", "word", "ids"])
+            ids = []
+            for special, words, part, final in zip(*(batch.column(c).to_pylist() for c in ("special", "words", "part", "final")), strict=True):
+                if special is not None:
+                    ids.append(array("i", [special]).tobytes())
+                elif words is not None:
+                    ids.append(b"".join(map(own.ids_of_word.__getitem__, words)))
+                else:
+                    ids.append(array("i", grown(own.merges, part, final)).tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "row", "seq", "word")), lists(ids)], names=["doc_id", "row", "seq", "word", "ids"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joiner = codec(path)
-        joiner.merges.spell()
         at: tuple | None = None
         ids: list[int] = []
-        leaves: list[list[int]] = []
+        sides: list[list[int]] = []
         word = None
 
         def done() -> pa.RecordBatch:
+            ids.extend(tree(joiner.merges, sides))
             return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int64()), pa.array([ids], pa.list_(pa.int32())), pa.array([joiner.decode(ids)], pa.string())], schema=_SCHEMA)
 
         for batch in batches:
             for doc_id, row, w, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "word", "ids")), strict=True):
-                if (doc_id, row, w) != (*(at or (None, None)), word):
-                    ids = ids + tree(joiner.merges, leaves) if len(leaves) > 1 else ids + [i for x in leaves for i in x] if leaves else ids
-                    leaves = []
                 if (doc_id, row) != at:
                     if at is not None:
                         yield done()
-                    at, ids = (doc_id, row), []
-                word = w
-                leaves.append(own)
+                    at, ids, sides, word = (doc_id, row), [], [], None
+                if w != word:
+                    ids.extend(tree(joiner.merges, sides))
+                    sides, word = [], w
+                if w is None:
+                    ids.extend(own)
+                else:
+                    sides.append(own)
         if at is not None:
-            ids = ids + tree(joiner.merges, leaves)
             yield done()
 
-    leaves = marked.mapInArrow(cut, "doc_id long, row long, seq long, word long, special boolean, final boolean, leaf binary")
-    encoded = leaves.repartition("row", "seq").mapInArrow(encode, "doc_id long, row long, seq long, word long, ids array<int>")
-    return encoded.repartition("row").sortWithinPartitions("row", "seq").mapInArrow(join, _DDL)
+    cuts = stream(marked, cut, "doc_id long, row long, seq long, word long, special int, words array<string>, part binary, final boolean")
+    encoded = stream(cuts.repartition("row", "seq"), encode, "doc_id long, row long, seq long, word long, ids array<int>")
+    return stream(encoded.repartition("row").sortWithinPartitions("row", "seq"), join, _DDL)
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids, decoded`` for every row of ``docs``."""
     rows = narrow(docs, id_col, text_col)
-    is_long = F.col("text").rlike(rf"\S{{{LONG_RUN}}}")
+    is_long = F.length("text") > LONG_CHARS
 
     def start():
         own = codec(path)

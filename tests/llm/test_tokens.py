@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from stocktake.llm import bpe_codec
+from stocktake.llm import token_counts as token_counts_module
 from stocktake.llm._bpe import Merges
 from stocktake.llm.bpe_codec import codec, concatenate, round_trip, tree
 from stocktake.llm.token_counts import counter, token_counts
@@ -17,7 +18,8 @@ from .conftest import table
 
 BYTES, WORDS = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
 byte_library, word_library = Tokenizer.from_file(BYTES), Tokenizer.from_file(WORDS)
-texts = st.text(st.sampled_from(list("ab'sSretvmld ÀÉΣΑσ\t\n\r 12²½!?.,<|>́\x1c\x85\xa0日本🙂ſKİ")) | st.sampled_from(["<|endoftext|>", "<|startoftext|>", "  ", " \t", "the", "'re"]), max_size=40)
+pieces = st.sampled_from(list("ab'sSretvmld ÀÉΣΑσ\t\n\r 12²½!?.,<|>́\x1c\x85\xa0日本🙂ſKİ")) | st.sampled_from(["<|endoftext|>", "<|startoftext|>", "  ", " \t", "the", "'re", "internationalization"]) | st.characters(exclude_categories=["Cs"])
+texts = st.lists(pieces, max_size=40).map("".join)
 
 
 @settings(max_examples=400, deadline=None)
@@ -35,6 +37,17 @@ def test_codes_are_the_library_s(text):
     assert shown == word_library.decode(want, skip_special_tokens=False)
 
 
+def test_letters_and_digits_are_the_library_s():
+    """Each code point that the two Unicode versions could see in different ways, and others between them."""
+    of, recent = counter(BYTES), token_counts_module.younger()
+    every = [c for c in map(chr, range(0x80, 0x110000)) if not 0xD800 <= ord(c) < 0xE000]
+    odd = [c for c in every if recent.match(c)]
+    assert len(odd) > 10_000
+    for c in [*odd, *every[:: 97]]:
+        text = f"1{c}'re a{c}a"
+        assert of(text) == len(byte_library.encode(text, add_special_tokens=False).ids), hex(ord(c))
+
+
 def test_count_is_symbols_less_merges():
     merges = Merges(BYTES)
     for word in (b"", b"a", b" the", b"internationalization", b"\xff\xfe"):
@@ -45,7 +58,6 @@ def test_count_is_symbols_less_merges():
 def test_tree_concatenation(seed):
     rnd = random.Random(seed)
     merges = codec(WORDS).merges
-    merges.spell()
     word = "".join(rnd.choice("aeinth"[: rnd.randint(1, 6)]) for _ in range(rnd.randint(1, 400)))
     raw, leaf = word.encode(), rnd.randint(1, 50)
     leaves = [merges.encode(raw[a : a + leaf], a + leaf >= len(raw)) for a in range(0, len(raw), leaf)]
@@ -54,7 +66,8 @@ def test_tree_concatenation(seed):
 
 
 def test_tables(spark, odd, monkeypatch):
-    monkeypatch.setattr(bpe_codec, "LEAF_BYTES", 1000)
+    monkeypatch.setattr(bpe_codec, "LONG_CHARS", 10_000)
+    monkeypatch.setattr(bpe_codec, "PIECE_BYTES", 1000)
     odd = [*odd, "ab" * 5000 + " <|endoftext|> word " + "c" * 9000]
     got = {r.doc_id: r for r in token_counts(table(spark, odd), BYTES, limit=1024).collect()}
     for i, text in enumerate(odd):
@@ -78,3 +91,21 @@ def test_query(spark):
         ids = word_library.encode(docs[r.doc_id], add_special_tokens=False).ids
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and r.n_tokens == len(ids)
         assert r.decoded_sha256 == hashlib.sha256(word_library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_words_go_through_joins(monkeypatch):
+    """On a given table: most documents hold words of several leaves, which only concatenation makes."""
+    import pyarrow.parquet as pq
+
+    own, joined = bpe_codec.Codec(WORDS), []
+    plain = bpe_codec.concatenate
+    monkeypatch.setattr(bpe_codec, "concatenate", lambda *a: joined.append(1) or plain(*a))
+    through = 0
+    rows = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist()
+    for text in rows:
+        before = len(joined)
+        own.ids_of_word.clear(), own.packed.clear(), own.shown.clear()
+        ids, _ = own.round_trip(text or "")
+        assert np.frombuffer(ids, np.int32).tolist() == word_library.encode(text or "", add_special_tokens=False).ids
+        through += len(joined) > before
+    assert through > 0.8 * len(rows)
