@@ -5,11 +5,14 @@ boundary.  All character n-grams of words, with their boundaries, are hashed
 to rows of an embedding table; a text is the mean of its rows, and a linear
 softmax gives the language.  The table and the softmax are trained by
 stochastic gradient descent in numpy on the driver, from a sample of labelled
-rows whose size is a parameter.
+rows whose size is a parameter.  One more class, which is never a prediction,
+learns what no language looks like from the same texts with their letters
+shuffled.
 
-Scores are calibrated: a temperature is fitted on rows kept apart, and a text
-is rejected when its score is under a threshold that at most ``reject_share``
-of those rows stay under, and that is never above one half.
+Scores are calibrated on rows kept apart (whole texts, snippets, single words,
+and shuffled ones): first a temperature, then the threshold under which a text
+is rejected.  At most ``reject_share`` of the rightly named rows stay under it; below
+that it lies half way (of the logarithms) to the scores of the shuffled rows.
 
 Null texts and texts without a letter get ``und``, score 0, and are rejected.
 Rows without a language are predicted but not learned from.  Without any
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stocktake.llm._rows import map_texts
+from stocktake.llm._rows import map_texts, stream
 
 UNKNOWN = "und"
 BITS = 15
@@ -74,7 +77,7 @@ def buckets(chars: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """``table``: a row of class scores for each bucket, the last one zero."""
+    """``table``: a row of class scores for each bucket, the last one zero; the last class is no language."""
 
     languages: tuple[str, ...]
     table: np.ndarray
@@ -88,7 +91,7 @@ class Model:
         piece = max(20_000, min(PIECE, 8_000_000 // max(1, len(self.languages))))
         for text in texts:
             chars = known[np.concatenate(([32], code_points(text), [32]))]
-            total, grams = np.zeros(len(self.languages)), 0
+            total, grams = np.zeros(len(self.bias)), 0
             has = bool((chars != 32).any())
             for a in range(0, len(chars) if has else 0, piece):
                 part = chars[a : a + piece + width - 1]
@@ -106,7 +109,7 @@ class Model:
                 names.append(UNKNOWN)
                 scores.append(0.0)
                 continue
-            p = softmax((total / max(1, grams) + self.bias) / self.temperature)
+            p = softmax((total / max(1, grams) + self.bias) / self.temperature)[: len(self.languages)]
             best = int(p.argmax())
             names.append(self.languages[best])
             scores.append(float(p[best]))
@@ -126,20 +129,39 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return found, (counts / max(1, counts.sum())).astype(np.float32)
 
 
-def train(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 1.0, seed: int = 7, reject_share: float = 0.0005) -> Model:
+def shuffled(text: str, draw: np.random.Generator) -> str:
+    """The text with its letters in another order; all else stays in its place."""
+    chars = np.array(list(text))
+    at = np.flatnonzero([c.isalpha() for c in text])
+    chars[at] = chars[draw.permutation(at)]
+    return "".join(chars)
+
+
+def examples(text: str, draw: np.random.Generator) -> list[tuple[str, bool]]:
+    """What is learned from a text: itself, a snippet, one or two words; and one of them shuffled."""
+    at = int(draw.integers(0, max(1, len(text) - 40)))
+    words = text.split()
+    first = int(draw.integers(0, max(1, len(words))))
+    own = [text, text[at : at + int(draw.integers(20, 200))], " ".join(words[first : first + int(draw.integers(1, 3))])]
+    return [*((x, True) for x in own), (shuffled(own[int(draw.integers(0, 2))][:2000], draw), False)]
+
+
+def train(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 1.0, seed: int = 7, reject_share: float = 0.002) -> Model:
     """Fit on four fifths of the rows; calibrate on the others."""
     names = tuple(sorted(set(langs)))
     if not names:
         return Model((), np.zeros(((1 << BITS) + 1, 0), np.float32), np.zeros(0), 1.0, 0.0)
     draw = np.random.default_rng(seed)
+    number = {name: k for k, name in enumerate(names)}
+    classes = len(names) + 1
     rows = []
     for i, (text, lang) in enumerate(zip(texts, langs, strict=True)):
-        whole = features(text)
-        at = int(draw.integers(0, max(1, len(text) - 40)))
-        short = features(text[at : at + int(draw.integers(20, 200))])
-        rows += [(f, names.index(lang), i % 5 == 0) for f in (whole, short) if len(f[0])]
+        for x, real in examples(text, draw):
+            f = features(x)
+            if len(f[0]):
+                rows.append((f, number[lang] if real else len(names), i % 5 == 0))
     embed = ((draw.random((1 << BITS, DIMENSIONS)) - 0.5) / DIMENSIONS).astype(np.float32)
-    weights, bias = np.zeros((DIMENSIONS, len(names)), np.float32), np.zeros(len(names), np.float32)
+    weights, bias = np.zeros((DIMENSIONS, classes), np.float32), np.zeros(classes, np.float32)
     fit = [r for r in rows if not r[2]] or rows
     steps, done = epochs * len(fit), 0
     for _ in range(epochs):
@@ -153,28 +175,32 @@ def train(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 1.0
             back = weights @ error
             weights -= step * np.outer(mean, error)
             bias -= step * 0.1 * error
-            embed[found] -= (step * share * 50)[:, None] * back
-    table = np.vstack([embed @ weights, np.zeros((1, len(names)))]).astype(np.float32)
+            # Rows of short texts have large shares; steps of theirs are held back.
+            embed[found] -= (step * np.minimum(50 * share, 0.5))[:, None] * back
+    table = np.vstack([embed @ weights, np.zeros((1, classes))]).astype(np.float32)
     kept = [r for r in rows if r[2]] or rows
     z = np.array([share @ table[found] + bias for (found, share), _, _ in kept])
     y = np.array([label for _, label, _ in kept])
     heats = np.geomspace(0.05, 20, 60)
     losses = [-np.log(softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean() for t in heats]
     heat = float(heats[int(np.argmin(losses))])
-    top = softmax(z / heat).max(axis=1)
-    return Model(names, table, bias.astype(np.float64), heat, float(min(0.5, np.quantile(top, reject_share))))
+    p = softmax(z / heat)[:, : len(names)]
+    top, best = p.max(axis=1), p.argmax(axis=1)
+    right, none = np.sort(top[best == y]), top[y == len(names)]
+    limit = float(right[int(reject_share * len(right))]) if len(right) else 0.0
+    below = float(np.quantile(none, 0.95)) if len(none) else limit
+    return Model(names, table, bias.astype(np.float64), heat, float(np.sqrt(limit * below)) if below < limit else limit)
 
 
 def sample(docs: DataFrame, usable: Column, total_rows: int, longest: int, id_col: str, text_col: str, lang_col: str) -> tuple[list[str], list[str]]:
-    """About ``total_rows`` labelled rows, evenly over the languages, chosen by a hash of the identifier."""
+    """About ``total_rows`` labelled rows (20 for each language at least), evenly over the languages, chosen by a hash of the identifier."""
     labelled = docs.where(usable & F.col(lang_col).isNotNull() & (F.col(lang_col) != ""))
-    sizes = {r[0]: r[1] for r in labelled.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(500).collect()}
+    # One row for each language.
+    sizes = {r[0]: r[1] for r in labelled.groupBy(F.col(lang_col).alias("lang")).count().collect()}
     if not sizes:
         return [], []
     each = max(20, total_rows // len(sizes))
-    share = F.lit(0.0)
-    for lang, size in sorted(sizes.items()):
-        share = F.when(F.col(lang_col) == lang, min(1.0, each / size)).otherwise(share)
+    share = F.element_at(F.create_map(*(F.lit(x) for lang, size in sorted(sizes.items()) for x in (lang, min(1.0, each / size)))), F.col(lang_col))
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(41)), F.lit(1 << 30)) / float(1 << 30)
     got = labelled.where((draw < share) & (F.length(text_col) <= longest) & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).toArrow()
     rows = sorted(zip(got["i"].to_pylist(), got["t"].to_pylist(), got["l"].to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[2], r[1]))
@@ -182,7 +208,7 @@ def sample(docs: DataFrame, usable: Column, total_rows: int, longest: int, id_co
 
 
 def fit(docs: DataFrame, usable: Column | None = None, total_rows: int = 2400, longest: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Train on about ``total_rows`` (the bound of the sample) of the ``usable`` rows of at most ``longest`` characters."""
+    """Train on about ``total_rows`` (the bound of the sample, or 20 rows for each language if that is more) of the ``usable`` rows of at most ``longest`` characters."""
     return train(*sample(docs, F.lit(True) if usable is None else usable, total_rows, longest, id_col, text_col, lang_col))
 
 
@@ -214,4 +240,4 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             names, scores = own.predict([t or "" for t in batch.column(text_col).to_pylist()])
             yield batch.filter(pa.array([n != UNKNOWN and s >= own.threshold for n, s in zip(names, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return stream(docs, run, docs.schema)
