@@ -44,7 +44,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     base = [k for k, _ in BASE]
     counts = [F.size(F.filter("spans", _of(k))).cast("long").alias(f"n_{k}") for k in base]
-    return found.select("doc_id", *counts, F.sha2(joined(*base).cast("binary"), 256).alias("base_sha256"), joined(*KINDS).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(joined(*base).cast("binary"), 256).alias("base_sha256"), joined(*KINDS).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +97,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     base = F.filter("spans", lambda s: s["kind"].isin(*KINDS))
     counts = [F.size(F.filter(F.transform("spans", lambda s: s["kind"]), _is(k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
