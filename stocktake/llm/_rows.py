@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of a batch are handed on in groups of at most this many characters, so
 #: that a batch of long texts needs no more memory than one of short texts.
@@ -26,7 +27,7 @@ BATCH_BYTES = 4_000_000
 _LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def stream(frame: DataFrame, run: Callable, ddl: str) -> DataFrame:
+def stream(frame: DataFrame, run: Callable, ddl: str | StructType) -> DataFrame:
     """``mapInArrow`` with batches of at most ``BATCH_BYTES``."""
     conf = frame.sparkSession.conf
     held = conf.get(_LIMIT).removesuffix("b")
@@ -46,6 +47,13 @@ def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def free(name: str, df: DataFrame) -> str:
+    """``name``, with as many lines below it as make it none of the columns of ``df``."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def groups(texts: list[str | None], limit: int = GROUP_CHARS) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of rows holding about ``limit`` characters; a longer text stands alone."""
     start, held = 0, 0

@@ -20,7 +20,8 @@ numbers and units, so that copies of them are found and chance templates not.
 
 Matching windows are found on the document's side before the join: the hashes
 of the benchmark's windows are broadcast while they number at most
-``BROADCAST_WINDOWS``; beyond, all windows of the documents are shuffled.
+``BROADCAST_WINDOWS``; beyond, all windows of the documents are shuffled, and
+either way all of them are matched.
 
 Null and empty texts match nothing; rows that share an identifier are judged
 together; an empty benchmark or document table gives no match; other columns
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stocktake.llm._graph import with_checkpoints
-from stocktake.llm._rows import groups, narrow
+from stocktake.llm._rows import free, groups, narrow, stream
 from stocktake.llm._shingles import mix, word_hashes
 
 WIDTH = 8
@@ -47,8 +48,8 @@ SHORTEST = 3
 PLAIN = 4
 #: Covered tokens in a row that are enough, whatever their share of a long item.
 RUN = 50
-#: 16 MB of hashes.
-BROADCAST_WINDOWS = 2_000_000
+#: At about 200 bytes with its slots, a window more or less: 40 MB.
+BROADCAST_WINDOWS = 200_000
 
 # Number words and units of measure.
 NUMBER_WORDS = (
@@ -189,11 +190,11 @@ def template_table(texts: DataFrame, widths: list[int], only: np.ndarray | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, every = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for a, b in groups(every, 2_000_000):
+            for a, b in groups(every):
                 for width in widths:
                     yield from windows_of(ids[a:b], every[a:b], width, None if held is None else held.value, benchmark and width < WIDTH)
 
-    return texts.mapInArrow(run, _WINDOWS_DDL)
+    return stream(texts, run, _WINDOWS_DDL)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least_cover: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", least_run: int = RUN) -> DataFrame:
@@ -228,5 +229,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated."""
-    bad = contaminated(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    name = free("_bad", docs)
+    bad = contaminated(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias(name))
+    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col(name)), "left_anti")

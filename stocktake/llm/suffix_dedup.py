@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from stocktake.llm._graph import joinable, with_checkpoints
 from stocktake.llm._lcp_merge import common, front_code, merge
-from stocktake.llm._rows import by_group, groups, narrow
+from stocktake.llm._rows import by_group, groups, narrow, stream
 from stocktake.llm._winnow import GRAM, LENGTH, prefix_sums, sample, spans
 
 #: Suffixes of a run, and roughly those that one merging task holds.
@@ -87,7 +87,7 @@ def blocks(rows: DataFrame, grams_only: bool) -> DataFrame:
                     else:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((keys[a + text], gram, block, first, left, n), schema, strict=True)], schema=schema)
 
-    return rows.mapInArrow(run, "gram long" if grams_only else "row long, gram long, block long, first long, left int, n int")
+    return stream(rows, run, "gram long" if grams_only else "row long, gram long, block long, first long, left int, n int")
 
 
 def repeated(shared: list[int], lefts: list[bytes], first_a: list[int], counts: list[int]) -> list[np.ndarray]:
@@ -215,8 +215,8 @@ def merged_blocks(rows: DataFrame, wanted: DataFrame, parts: int) -> DataFrame:
             solve(group)
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.binary()))], names=["block", "mask"])
 
-    sent = asked.select("text", "wanted").mapInArrow(cut, ddl)
-    return sent.repartition("part").sortWithinPartitions("part", "run", "seq").mapInArrow(join, "block long, mask binary")
+    sent = stream(asked.select("text", "wanted"), cut, ddl)
+    return stream(sent.repartition("part").sortWithinPartitions("part", "run", "seq"), join, "block long, mask binary")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,7 +254,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         column.append(x)
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *(pa.array(c, f.type) for c, f in zip(out, list(schema)[1:], strict=True))], schema=schema)
 
-    return joined.select("doc_id", "text", "hits").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, spans array<struct<start: bigint, end: bigint>>, kept binary")
+    return stream(joined.select("doc_id", "text", "hits"), finish, "doc_id long, n_bytes long, n_removed long, spans array<struct<start: bigint, end: bigint>>, kept binary")
 
 
 def covered(hits: list[dict]) -> list[tuple[int, int]]:

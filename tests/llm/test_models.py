@@ -33,7 +33,41 @@ def test_language_held_out_accuracy(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in rows)
     long = [r for r in rows if r.held_out and r.n >= 200]
     assert len(long) > 150 and sum(r.lang == r.lang_pred for r in long) / len(long) > 0.95
+    # Clean texts stay, the same texts with their letters shuffled go.
     assert sum(r.rejected for r in rows) <= 5
+    model = language_id.fit(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+    draw = np.random.default_rng(4)
+    junk = [language_id.shuffled(r.text[:2000], draw) for r in docs.where("length(text) > 100").limit(200).collect()]
+    got = language_id.identify(table(spark, junk), model)
+    assert got.where("rejected").count() > 0.9 * len(junk)
+
+
+def test_language_query_against_brute_force(spark):
+    """Each gram looked up by itself, text by text."""
+    from stocktake.llm.queries import op1_language_id
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = language_id.fit(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+    known = language_id.letters()
+    for r in op1_language_id(spark, DATA).join(docs.select("doc_id", "text"), "doc_id").limit(25).collect():
+        chars = np.array([32, *(int(known[ord(c)]) for c in r.text), 32], np.uint32)
+        total, grams = np.zeros(len(model.bias)), 0
+        for n in language_id.ORDERS:
+            for i in range(len(chars) - n + 1):
+                b = int(language_id.buckets(chars[i : i + n], n)[0])
+                if b < 1 << language_id.BITS:
+                    total += model.table[b]
+                    grams += 1
+        p = language_id.softmax((total / max(1, grams) + model.bias) / model.temperature)[: len(model.languages)]
+        assert r.lang_pred == model.languages[int(p.argmax())] and abs(r.score - p.max()) < 1e-4
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_every_language_is_learned(spark):
+    """None of many languages is left out."""
+    texts = [(chr(97 + i % 26) + chr(97 + i // 26)) * 6 + " " + (chr(97 + i // 26) + chr(97 + i % 26)) * 4 for i in range(520)]
+    docs = table(spark, texts).withColumn("lang", F.concat(F.lit("l"), F.col("doc_id").cast("string")))
+    assert len(set(language_id.sample(docs, F.lit(True), 100, 1000, "doc_id", "text", "lang")[1])) == 520
 
 
 def test_language_odd_rows(spark, odd):
@@ -110,6 +144,41 @@ def test_pii_examples_and_redaction(spark, selector, odd):
     assert pii.find(docs.limit(0), selector).count() == 0 and pii.fit(docs.limit(0)).trees
 
 
+def test_pii_thresholds_are_calibrated(selector):
+    assert len(set(selector.thresholds.values())) == len(pii.MORE)
+    assert all(precision >= 0.9 and recall >= 0.6 for precision, recall in selector.report.values())
+
+
+def test_pii_many_spans(spark, selector):
+    """More than one block of a sweep, spans of all kinds and overlaps."""
+    parts = [f"x{i}@b.co, +1 (702) 555-{i:04d} or call 415-555-{i:04d}; 10.0.{i % 256}.1" for i in range(700)]
+    rows = pii.find(table(spark, [" ".join(parts)]), selector).collect()[0].spans
+    base = sorted((s.kind, s.start, s.end) for s in rows if s.kind in ("email", "ip", "phone", "card"))
+    assert base == sorted(base_spans(" ".join(parts)))
+    more = [(s.start, s.end) for s in rows if s.kind == "phone_alt"]
+    assert len(more) == 700 and all(" ".join(parts)[a:b].startswith("415-555") for a, b in more)
+    out = pii.redact(table(spark, [" ".join(parts)]), selector).collect()[0].text
+    assert out == " ".join(["[EMAIL], [PHONE] or call [PHONE_ALT]; [IP]"] * 700)
+
+
+def test_pii_query(spark):
+    """The digests of the query, from plain patterns."""
+    import hashlib
+
+    from stocktake.llm.queries import op2_pii
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    rows = op2_pii(spark, DATA).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        spans = base_spans(texts[r.doc_id])
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in spans) for k in ("email", "ip", "card", "phone")]
+        every = [s for s in r.spans.split(",") if s]
+        assert r.n_spans == len(every) and ",".join(s for s in every if s.split(":")[0] in ("email", "ip", "card", "phone")) == joined
+
+
 def test_pii_plan_has_no_python(spark, selector):
     df = pii.find(spark.read.parquet(f"{DATA}/documents.parquet"), selector)
     text = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
