@@ -4,6 +4,12 @@ Each stage takes (spark, docs, sf_dir) and works on everything its predecessor
 kept; all but the last return the columns of ``documents``.  ``run`` applies
 them in turn and cuts the lineage after each in the session's checkpoint
 folder.
+
+Null texts are empty to every stage but stay null; the first stage drops them with
+all texts without a letter.  Rows that repeat identifier and text pass or go
+together.  A row without an identifier goes at near-deduplication if a document
+of the same group has one.  Empty tables give empty results, and extra columns,
+whatever their names, are carried along up to the last stage.
 """
 
 from __future__ import annotations
@@ -14,6 +20,7 @@ from pyspark.sql import functions as F
 
 from stocktake.llm import bpe_codec, decontamination, language_id, near_duplicates, pii
 from stocktake.llm._graph import with_checkpoints
+from stocktake.llm._rows import free
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +30,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (similarity of 0.8 or more on five words) the smallest identifier stays."""
-    kept = near_duplicates.near_duplicates(docs, share=80, width=5).where("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    name = free("_kept", docs)
+    kept = near_duplicates.near_duplicates(docs, share=80, width=5).where("kept").select(F.col("doc_id").alias(name))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
