@@ -268,7 +268,8 @@ def with_sets(docs: DataFrame, dealt: DataFrame, width: int) -> DataFrame:
                 own = pa.compute.equal(nodes(hashes, sizes), part.column("node"))
                 yield pa.RecordBatch.from_arrays([part.column("node"), lists, *(part.column(c) for c in others)], names=["node", "shingles", *others]).filter(own)
 
-    return stream(docs.join(dealt, "doc_id").select("node", "text", *others), run, schema)
+    # A merge at every size: the table of groups grows with the documents.
+    return stream(docs.join(dealt.hint("merge"), "doc_id").select("node", "text", *others), run, schema)
 
 
 def _forest_of(part: pa.Table, share: int) -> pa.RecordBatch | None:
