@@ -110,9 +110,9 @@ class Merges:
 
 
 class Remembered(dict):
-    """word -> value, filled on demand and emptied at ``limit`` entries (some 250 bytes each at most); long words aren't kept."""
+    """word -> value, filled on demand and emptied at ``limit`` entries (under 300 bytes each); long words aren't kept."""
 
-    def __init__(self, make, limit: int = 100_000, longest: int = 40) -> None:
+    def __init__(self, make, limit: int = 300_000, longest: int = 40) -> None:
         super().__init__()
         self.make, self.limit, self.longest = make, limit, longest
 

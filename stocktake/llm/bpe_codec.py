@@ -58,14 +58,18 @@ class Codec:
 
     def __init__(self, path: str) -> None:
         self.merges = Merges(path)
-        self.merges.spell()
+        remember(self.merges)
         self.library = Tokenizer.from_file(path)
         self.alphabet = byte_alphabet()
         self.bytes_of = {c: b for b, c in enumerate(self.alphabet)}
         self.latin = str.maketrans({bytes([b]).decode("latin-1"): c for b, c in enumerate(self.alphabet)})
         self.ids_of_word = Remembered(lambda w: array("i", grown(self.merges, self.raw(w), True)).tobytes())
-        self.packed = Remembered(lambda s: b"".join(map(self.ids_of_word.__getitem__, self.words(s))))
-        self.shown = Remembered(lambda s: self.decode(np.frombuffer(self.packed[s], np.int32).tolist()))
+        self.coded = Remembered(self.code)
+
+    def code(self, stretch: str) -> tuple[bytes, str]:
+        """Identifiers of a stretch, four bytes each, and what they are decoded to."""
+        packed = b"".join(map(self.ids_of_word.__getitem__, self.words(stretch)))
+        return packed, self.decode(np.frombuffer(packed, np.int32).tolist())
 
     def words(self, stretch: str) -> list[str]:
         """The words of a stretch, their bytes written in the vocabulary's alphabet.
@@ -102,8 +106,9 @@ class Codec:
                 ids.append(array("i", [special]).tobytes())
                 shown.append(self.merges.names[special])
             else:
-                ids.extend(map(self.packed.__getitem__, found))
-                shown.extend(map(self.shown.__getitem__, found))
+                for packed, text_of in map(self.coded.__getitem__, found):
+                    ids.append(packed)
+                    shown.append(text_of)
         return b"".join(ids), " ".join(filter(None, shown))
 
 
@@ -113,6 +118,32 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def remember(merges: Merges) -> None:
+    """Give the merges a memory of short strings, by whether they end a word, and of pairs of tokens."""
+    merges.spell()
+    merges.leaves = [Remembered(lambda raw, f=f: tuple(merges.encode(raw, f)), 100_000) for f in (False, True)]
+
+    def pair(key: int) -> bool:
+        x, y, final = key >> 21, key >> 1 & 0xFFFFF, bool(key & 1)
+        return merges.encode(merges.spelled[x] + merges.spelled[y], final) == [x, y]
+
+    merges.pairs = Pairs(pair)
+
+
+class Pairs(dict):
+    """Answers by number, filled on demand and emptied at a million."""
+
+    def __init__(self, make) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: int) -> bool:
+        if len(self) >= 1_000_000:
+            self.clear()
+        self[key] = value = self.make(key)
+        return value
+
+
 def lists(packed: list[bytes]) -> pa.Array:
     """Arrow lists of identifiers from packed ones."""
     offsets = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
@@ -126,7 +157,7 @@ def concatenate(merges: Merges, left: list[int], right: list[int], final: bool)
     """
     if not left or not right:
         return left or right
-    size = 4
+    size = 2
     while True:
         a, b = max(0, len(left) - size), min(size, len(right))
         middle = _again(merges, left[a:] + right[:b], final and b == len(right))
@@ -137,16 +168,18 @@ def concatenate(merges: Merges, left: list[int], right: list[int], final: bool)
         size *= 2
 
 
-def _bytes(merges: Merges, ids: list[int]) -> bytes:
-    return b"".join(merges.spelled[i] for i in ids)
+def _again(merges: Merges, ids: list[int], final: bool) -> list[int]:
+    return list(_leaf(merges, b"".join(merges.spelled[i] for i in ids), final))
 
 
-def _again(merges: Merges, ids: list[int], final: bool) -> list[int]:
-    return merges.encode(_bytes(merges, ids), final)
+def _leaf(merges: Merges, raw: bytes, final: bool) -> tuple[int, ...]:
+    """The encoding of a few bytes, from the memory where they were met before."""
+    return merges.leaves[final][raw]
 
 
 def _pair(merges: Merges, x: int, y: int, final: bool) -> bool:
-    return _again(merges, [x, y], final) == [x, y]
+    """Whether two tokens are the encoding of their string."""
+    return merges.pairs[x << 21 | y << 1 | final]
 
 
 def tree(merges: Merges, leaves: list[list[int]], final: bool = True) -> list[int]:
@@ -161,8 +194,8 @@ def grown(merges: Merges, raw: bytes, final: bool) -> list[int]:
     """The encoding of a word, or of a part of one, from its leaves; ``final`` says whether it ends the word."""
     size = len(raw)
     if size <= LEAF_BYTES:
-        return merges.encode(raw, final)
-    return tree(merges, [merges.encode(raw[a : a + LEAF_BYTES], final and a + LEAF_BYTES >= size) for a in range(0, size, LEAF_BYTES)], final)
+        return list(_leaf(merges, raw, final))
+    return tree(merges, [list(_leaf(merges, raw[a : a + LEAF_BYTES], final and a + LEAF_BYTES >= size)) for a in range(0, size, LEAF_BYTES)], final)
 
 
 _PIECES = [("doc_id", pa.int64()), ("row", pa.int64()), ("seq", pa.int64()), ("word", pa.int64()), ("special", pa.int32()), ("words", pa.list_(pa.string())), ("part", pa.binary()), ("final", pa.bool_())]

@@ -104,7 +104,7 @@ def test_words_go_through_joins(monkeypatch):
     rows = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist()
     for text in rows:
         before = len(joined)
-        own.ids_of_word.clear(), own.packed.clear(), own.shown.clear()
+        own.ids_of_word.clear(), own.coded.clear()
         ids, _ = own.round_trip(text or "")
         assert np.frombuffer(ids, np.int32).tolist() == word_library.encode(text or "", add_special_tokens=False).ids
         through += len(joined) > before
