@@ -9,8 +9,8 @@ half the product of its children's.  The mixture weights that follow from this
 give the prediction of new bits along a path.
 
 The upper levels take the last 0 to 3 bytes as classes (63 for the last byte,
-32 for the two before), the lower ones the last 3, 4, 5, 6 and 7 bytes as they
-are.  Seven bytes and the coded one are a key of 64 bits, without hashing.
+32 for the two before), the lower ones the last 3, 4 and 5 bytes (``DEEP``, at
+most 7) as they are.  They and the coded byte are a key, without hashing.
 
 The counts of the keys are a table that grows with the corpus.  Documents are
 dealt to chunks; a chunk's distinct keys go as packed arrays to the bucket of
@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stocktake.llm._graph import with_checkpoints
-from stocktake.llm._rows import groups, narrow
+from stocktake.llm._rows import groups, narrow, stream
 from stocktake.llm._shingles import mix
 
 #: At most so many words are broadcast.
@@ -54,7 +54,7 @@ END = 0xFF
 #: Bytes that are indexed at once.
 BLOCK = 1_000_000
 #: Bytes of the longest context: with the coded byte they are a key.
-DEEP = 7
+DEEP = 5
 #: Bytes of text in a chunk, and of all text for a bucket; buckets at least.
 CHUNK, SHARE, BUCKETS = 1 << 26, 1 << 26, 256
 
@@ -183,10 +183,10 @@ def probability_table(index: np.ndarray, count: np.ndarray) -> np.ndarray:
 def keys_of(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The key of each byte and end of some texts (the last byte comes first, the coded one last), and where each text's begin."""
     gap = bytes([END]) * DEEP
-    data = bytes([END]) + gap + b"".join(r + gap for r in raw)
-    n = len(data) - DEEP - 1
+    data = bytes([END]) * (8 - DEEP) + gap + b"".join(r + gap for r in raw)
+    n = len(data) - 8
     before = np.ndarray(n, "<u8", data, strides=(1,))
-    key = (before & ~np.uint64(255)) | np.frombuffer(data, np.uint8)[DEEP + 1 :]
+    key = (before >> np.uint64(8 * (8 - DEEP)) << np.uint64(8)) | np.frombuffer(data, np.uint8)[8:]
     sizes = np.array([len(r) for r in raw], np.int64)
     starts = np.concatenate(([0], np.cumsum(sizes + DEEP)[:-1]))
     keep = np.ones(n, bool)
@@ -392,7 +392,7 @@ def gather(docs: DataFrame) -> DataFrame:
                     held.clear()
         yield flush([*((w.decode(), n) for w, n in held.items()), (None, ends)])
 
-    return docs.select("text").mapInArrow(count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
+    return stream(docs.select("text"), count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 _PACKED = "bucket int, chunk int, size long, keys binary, numbers binary"
@@ -411,7 +411,7 @@ def chunk_keys(texts: DataFrame, buckets: int) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             keys, n = summed(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
-            to = (mix(class_of(keys >> np.uint64(40))) % np.uint64(buckets)).astype(np.int64)
+            to = (mix(class_of(keys >> np.uint64(8 * (DEEP - 2)))) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             cut = np.searchsorted(to[order], np.arange(buckets + 1))
             for a in range(0, buckets, 64):
@@ -439,7 +439,7 @@ def chunk_keys(texts: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return texts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, _PACKED)
+    return stream(texts.repartition("chunk").sortWithinPartitions("chunk"), run, _PACKED)
 
 
 def bucket_sums(packed: DataFrame) -> DataFrame:
@@ -472,7 +472,7 @@ def bucket_sums(packed: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, ddl)
+    return stream(packed.repartition("bucket").sortWithinPartitions("bucket"), run, ddl)
 
 
 def answers(packed: DataFrame, sums: DataFrame, above: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -503,7 +503,7 @@ def answers(packed: DataFrame, sums: DataFrame, above: tuple[np.ndarray, np.ndar
             yield flush()
 
     every = packed.unionByName(sums.select(*packed.columns))
-    return every.repartition("bucket").sortWithinPartitions("bucket", F.col("chunk").asc_nulls_first()).mapInArrow(run, _PACKED)
+    return stream(every.repartition("bucket").sortWithinPartitions("bucket", F.col("chunk").asc_nulls_first()), run, _PACKED)
 
 
 def document_scores(texts: DataFrame, answered: DataFrame) -> DataFrame:
@@ -536,7 +536,7 @@ def document_scores(texts: DataFrame, answered: DataFrame) -> DataFrame:
 
     # The answers to a chunk come before its texts.
     both = texts.unionByName(answered.select("chunk", "size", "keys", "numbers"), allowMissingColumns=True)
-    return both.repartition("chunk").sortWithinPartitions("chunk", F.col("text").isNotNull()).mapInArrow(run, "doc_id long, key long, score double")
+    return stream(both.repartition("chunk").sortWithinPartitions("chunk", F.col("text").isNotNull()), run, "doc_id long, key long, score double")
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -614,7 +614,7 @@ def score(docs: DataFrame, training: Column | None = None, id_col: str = "doc_id
                         column.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
-    parts = keyed.drop("chunk").mapInArrow(work, "word string, n long, doc_id long, key long, n_tokens long, n_bytes long, known long, base double")
+    parts = stream(keyed.drop("chunk"), work, "word string, n long, doc_id long, key long, n_tokens long, n_bytes long, known long, base double")
     rest = counts.where(~often).select("word", F.col("n").alias("c"))
     joined = parts.join(rest, "word", "left").unionByName(scores, allowMissingColumns=True).withColumn("own", F.col("n_tokens").isNotNull())
     base = F.when(~F.col("own"), F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(scale))))

@@ -353,8 +353,8 @@ def test_scores(spark, odd):
 def brute_deep(train, text):
     """The weighting over all levels by its definition, node by node."""
     def path(x):
-        classes = int(ct.class_of(np.array([x >> 40], np.uint64))[0])
-        return [(), (classes >> 10,), (classes >> 5,), (0, classes), *((d, x >> (64 - 8 * d)) for d in range(3, ct.DEEP + 1))]
+        classes = int(ct.class_of(np.array([x >> 8 * (ct.DEEP - 2)], np.uint64))[0])
+        return [(), (classes >> 10,), (classes >> 5,), (0, classes), *((d, x >> 8 * (ct.DEEP + 1 - d)) for d in range(3, ct.DEEP + 1))]
 
     counts, kids = collections.Counter(), collections.defaultdict(set)
     for t in train:
@@ -415,4 +415,4 @@ def test_keys_of_a_batch(raw):
     index, starts = ct.keys_of(raw)
     assert [x.tolist() for x in np.split(index, starts[1:])] == [ct.keys_of([r])[0].tolist() for r in raw]
     assert len(index) == sum(map(len, raw)) + len(raw)
-    assert ((ct.class_of(index >> np.uint64(40)) << np.uint64(8)) | (index & np.uint64(255))).tolist() == ct.symbols(raw)[0].tolist()
+    assert ((ct.class_of(index >> np.uint64(8 * (ct.DEEP - 2))) << np.uint64(8)) | (index & np.uint64(255))).tolist() == ct.symbols(raw)[0].tolist()
