@@ -8,7 +8,7 @@ length of what quantisation took off each vector bounds the error: a pair is
 dropped only if even its least possible distance is over the k-th smallest of
 the greatest possible ones.  Surviving pairs are recomputed in double
 precision from the original vectors, a heap of k merges the tiles of a task,
-and a ranking merges the tasks.
+and a ranking merges the tasks.  A distance whose square overflows is infinite.
 
 Vectors that are null, empty, zero, or hold null or non-finite components take
 no part.  Vectors of different length never meet.  Equal distances are ordered
@@ -27,17 +27,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
+
+from stocktake.llm._rows import stream
 
 #: Vectors of a query block and of a candidate block.
 QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 8192
 
-_PART = "id long, vec array<float>"
+#: Queries whose heaps a task holds at once.
+HEAPS = 20_000
+
 _PAIRS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
 def usable(embeddings: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """``id, vec, dim`` of the vectors that take part."""
-    rows = embeddings.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vec"))
+    held = embeddings.schema[vec_col].dataType.elementType
+    # Single precision stays as it is; all other numbers are taken in double precision.
+    kind = "float" if isinstance(held, FloatType) else "double"
+    rows = embeddings.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(f"array<{kind}>").alias("vec"))
     bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return rows.where(F.col("id").isNotNull() & (F.size("vec") > 0) & ~bad & F.exists("vec", lambda x: x != 0)).withColumn("dim", F.size("vec"))
 
@@ -68,6 +76,11 @@ def exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query: its k nearest of the tile, as identifiers and distances."""
     q, c = q.astype(np.float64), c.astype(np.float64)
+    with np.errstate(over="ignore", invalid="ignore"):
+        yield from _tile(q_ids, q, c_ids, c, k)
+
+
+def _tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     (qc, qs, qe), (cc, cs, ce) = quantise(q), quantise(c)
     q_len, c_len = ((qc * qs[:, None]) ** 2).sum(axis=1), ((cc * cs[:, None]) ** 2).sum(axis=1)
     for a in range(0, len(q), 256):
@@ -75,7 +88,8 @@ def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k:
         near = np.sqrt(np.maximum(0, q_len[a : a + 256, None] + c_len[None, :] - 2 * near))
         slack = 1e-6 * (1 + np.sqrt(q_len[a : a + 256, None]) + np.sqrt(c_len[None, :]))
         bound = qe[a : a + 256, None] + ce[None, :] + slack
-        low, high = near - bound, near + bound
+        # Where squares overflow nothing is known, and the pair survives.
+        low, high = np.nan_to_num(near - bound, nan=-np.inf), np.nan_to_num(near + bound, nan=np.inf)
         for i in range(len(near)):
             own = c_ids == q_ids[a + i]
             reach = np.where(own, np.inf, high[i])
@@ -109,6 +123,13 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 10, id_col: str =
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heaps: dict[int, list[tuple[float, int]]] = defaultdict(list)  # of the negated (distance, identifier): the worst on top
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            pairs = [(query, -v, -d) for query, heap in heaps.items() for d, v in heap]
+            for a in range(0, len(pairs), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*pairs[a : a + 50_000], strict=True), _PAIRS, strict=True)], schema=_PAIRS)
+            heaps.clear()
+
         for batch in batches:
             for i, dim in enumerate(batch.column("dim").to_pylist()):
                 for query, ids, far in tile(*unpack(batch.column("qs"), i, dim), *unpack(batch.column("cs"), i, dim), k):
@@ -120,10 +141,11 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 10, id_col: str =
                             heapq.heapreplace(heap, (-d, -v))
                         else:
                             break
-        pairs = [(query, -v, -d) for query, heap in heaps.items() for d, v in heap]
-        for a in range(0, len(pairs), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*pairs[a : a + 50_000], strict=True), _PAIRS, strict=True)], schema=_PAIRS)
+                # The ranking merges what the heaps of one query held at different times.
+                if len(heaps) > HEAPS:
+                    yield from flush()
+        yield from flush()
 
-    pairs = tiles.mapInArrow(work, "query_id long, vec_id long, score double")
+    pairs = stream(tiles, work, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
