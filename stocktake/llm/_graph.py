@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,15 @@ def with_checkpoints(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A checkpoint after which the files of the shuffles that led to it can go."""
+    out = with_checkpoints(df)
+    del df
+    gc.collect()
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def joinable(grouped: DataFrame) -> DataFrame:
     """A grouped table for a join on its key.
 

@@ -12,7 +12,6 @@ import numpy as np
 from stocktake.llm._shingles import _INVERSE, mix, powers
 
 LENGTH, GRAM = 400, 200
-REACH = LENGTH - GRAM + 1
 
 _INVERSES = np.ones(1, np.uint64)
 
@@ -43,22 +42,22 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(left[:n], right[width - 1 : width - 1 + n])
 
 
-def sample(sums: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def sample(sums: np.ndarray, ends: np.ndarray, length: int = LENGTH, size: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The sampled grams of several texts that stand one after another, ``ends`` being theirs.
 
     Position, hash, and the first and last start of the strings of ``LENGTH``
-    bytes whose sampled gram it is: which one that is depends on the string
+    bytes (or of ``length`` symbols, with grams of ``size``) whose sampled gram it is: which one that is depends on the string
     alone, and the starts of one gram are neighbours.
     """
     n = len(sums) - 1
     starts = np.concatenate(([0], ends[:-1]))
-    counts = np.maximum(0, ends - starts - LENGTH + 1)
+    counts = np.maximum(0, ends - starts - length + 1)
     if not counts.sum():
         none = np.zeros(0, np.int64)
         return none, np.zeros(0, np.uint64), none, none
-    grams = mix((sums[GRAM:] - sums[: n - GRAM + 1]) * inverses(len(sums))[: n - GRAM + 1] + np.uint64(GRAM))
+    grams = mix((sums[size:] - sums[: n - size + 1]) * inverses(len(sums))[: n - size + 1] + np.uint64(size))
     key = (grams >> np.uint64(24) << np.uint64(24)) | np.arange(len(grams), dtype=np.uint64)
-    least = sliding_least(key, REACH)
+    least = sliding_least(key, length - size + 1)
     # Strings that reach over the end of a text aren't any.
     at = np.arange(counts.sum()) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
     place = (least[at] & np.uint64(0xFFFFFF)).astype(np.int64)

@@ -33,7 +33,6 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -43,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stocktake.llm._graph import with_checkpoints
+from stocktake.llm._graph import settled, with_checkpoints
 from stocktake.llm._rows import groups, narrow, stream
 from stocktake.llm._shingles import mix
 
@@ -539,15 +538,6 @@ def document_scores(texts: DataFrame, answered: DataFrame) -> DataFrame:
     return stream(both.repartition("chunk").sortWithinPartitions("chunk", F.col("text").isNotNull()), run, "doc_id long, key long, score double")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """A checkpoint after which the files of the shuffles that led to it can go."""
-    out = with_checkpoints(df)
-    del df
-    gc.collect()
-    out.sparkSession.sparkContext._jvm.System.gc()
-    return out
-
-
 def tree_scores(keyed: DataFrame, is_learned: Column) -> DataFrame:
     """``doc_id, key, score`` for every row (``doc_id, key, text``) by the tree of those that are learned."""
     n_bytes = keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]

@@ -88,7 +88,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stocktake.llm.suffix_dedup import remove_repeats
 
     left = remove_repeats(table(spark, sf_dir, "documents"))
-    return left.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return left.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "passage")
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from stocktake.llm._graph import components
 from stocktake.llm._lcp_merge import common, front_code, merge
 from stocktake.llm._shingles import shingle_sets
 from stocktake.llm.near_duplicates import near_duplicates
+from stocktake.llm import suffix_dedup
 from stocktake.llm.suffix_dedup import remove_repeats
 
 from .conftest import table
@@ -137,8 +139,10 @@ def test_suffix_dedup(spark, odd):
     assert remove_repeats(table(spark, texts).limit(0)).count() == 0
 
 
-def test_many_blocks_of_one_gram(spark):
-    """A group of more than a dozen blocks takes the counting way."""
+@pytest.mark.parametrize("wide", [5_000, 20])
+def test_many_blocks_of_one_gram(spark, monkeypatch, wide):
+    """A group of more than a dozen blocks takes the counting way, one of very many is counted over tasks."""
+    monkeypatch.setattr(suffix_dedup, "WIDE", wide)
     rnd = random.Random(8)
     core = "".join(rnd.choice("abcdef") for _ in range(420))
     texts = ["".join(rnd.choice("ghij") for _ in range(rnd.randint(0, 90))) + core[rnd.randint(0, 60) : 420 - rnd.randint(0, 60)] + "".join(rnd.choice("ghij") for _ in range(80)) for _ in range(60)]
@@ -187,3 +191,23 @@ def test_one_identifier_of_several_texts(spark):
     rows = spark.createDataFrame([(1, a), (1, "other words that have nothing in common with it"), (2, b), (3, "x")], "doc_id long, text string")
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(rows).collect())
     assert got == [(1, 5, 1), (1, 36, 1), (2, 35, 1), (3, 1, 3)]
+
+
+def test_suffix_query_and_passages(spark):
+    """The query's digests and its passages, against all windows of a given table."""
+    from stocktake.llm.queries import op7_suffix_dedup
+
+    folder = "/root/testdata/sf0.001"
+    docs = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{folder}/documents.parquet").collect())
+    want = brute_repeats([t.encode() for _, t in docs])
+    runs = {n: collections.defaultdict(set) for n in (suffix_dedup.PASSAGE, suffix_dedup.PASSAGE_GRAM)}
+    for n, seen in runs.items():
+        for i, t in docs:
+            w = t.split()
+            for a in range(len(w) - n + 1):
+                seen[tuple(w[a : a + n])].add(i)
+    whole, part = ({i for s in runs[n].values() if len(s) > 1 for i in s} for n in runs)
+    for r, (i, _), x in zip(op7_suffix_dedup(spark, folder).orderBy("doc_id").collect(), docs, want, strict=True):
+        assert (r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (i, *x)
+        assert r.passage if i in whole else not r.passage or i in part
+    assert whole

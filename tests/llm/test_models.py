@@ -258,6 +258,17 @@ def test_nearest(spark):
     assert len(got[500]) == 1 and nearest(df.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
+def test_nearest_in_double_precision(spark, monkeypatch):
+    """Distances under the steps of single precision, components over its range, and heaps emptied between tiles."""
+    from stocktake.llm import nearest as module
+
+    monkeypatch.setattr(module, "HEAPS", 1)
+    rows = [(0, [1.0, 2.0]), (1, [1.0 + 1e-9, 2.0]), (2, [1.0 + 2e-9, 2.0]), (3, [1e300, 1.0]), (100, [5.0, 5.0])]
+    got = [(r.query_id, r.vec_id, r.score) for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 100 == 0).orderBy("query_id", "rank").collect()]
+    assert [g[1] for g in got if g[0] == 0] == [1, 2, 100, 3] and [g[1] for g in got if g[0] == 100] == [2, 1, 0, 3]
+    assert got[0][2] == (1.0 + 1e-9) - 1.0 and got[1][2] == (1.0 + 2e-9) - 1.0 and got[3][2] == math.inf
+
+
 # ---- secrets ----------------------------------------------------------------------------------
 
 
