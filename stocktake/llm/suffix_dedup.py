@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stocktake.llm._graph import joinable, settled, with_checkpoints
+from stocktake.llm._graph import joinable, settled
 from stocktake.llm._lcp_merge import common, front_code, merge
 from stocktake.llm._rows import by_group, groups, narrow, stream
 from stocktake.llm._shingles import word_hashes
@@ -276,15 +276,19 @@ def passages(rows: DataFrame) -> DataFrame:
     return by_gram.join(joinable(shared), "gram", "left_semi").select("row").distinct()
 
 
+def repeated_places(texts: DataFrame) -> DataFrame:
+    """The blocks whose gram occurs in another place too."""
+    often = joinable(blocks(texts, grams_only=True).groupBy("gram").count().where("count > 1").select("gram"))
+    return blocks(texts, grams_only=False).join(often, "gram", "left_semi")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_removed, spans, kept, passage``: removed spans ``(start, end)`` in bytes, the bytes that are left, and whether a passage repeats."""
     rows = narrow(docs, id_col, text_col).withColumn("row", F.xxhash64("doc_id", "text"))
     texts = rows.select("row", "text")
     marked = settled(passages(texts)).withColumn("passage", F.lit(True))
-    often = joinable(blocks(texts, grams_only=True).groupBy("gram").count().where("count > 1").select("gram"))
-    places = with_checkpoints(blocks(texts, grams_only=False).join(often, "gram", "left_semi"))
-    variants = places.groupBy("gram", "block").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "first", "left", "n")).alias("at"))
-    variants = with_checkpoints(variants.select("gram", "block", "times", "at.*"))
+    places = settled(repeated_places(texts))
+    variants = settled(places.groupBy("gram", "block").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "first", "left", "n")).alias("at")).select("gram", "block", "times", "at.*"))
     open_grams = joinable(variants.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.min("times").alias("least")).where("kinds > 1 and least = 1").select("gram", "kinds"))
     wanted = variants.join(open_grams, "gram")
     n_wanted, n_wide = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("kinds") > WIDE).cast("long")), F.lit(0))).first()
@@ -292,6 +296,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     single = merged_blocks(texts, wanted.where(F.col("kinds") <= WIDE), parts)
     if n_wide:
         single = single.unionByName(counted_blocks(texts, wanted.where(F.col("kinds") > WIDE)))
+    single = settled(single)
     decided = variants.where("times > 1").select("gram", "block", F.lit(None).cast("binary").alias("mask")).unionByName(single)
     # Rows that repeat identifier and text have one set of hits.
     per_row = places.join(decided, ["gram", "block"]).groupBy("row").agg(F.collect_set(F.struct("first", "n", "mask")).alias("hits"))
