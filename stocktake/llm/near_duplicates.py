@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stocktake.llm._graph import components, with_checkpoints
+from stocktake.llm._graph import components, settled, with_checkpoints
 from stocktake.llm._rows import by_group, groups, narrow, stream
 from stocktake.llm._shingles import mix, shingle_sets
 
@@ -252,9 +252,9 @@ def links(sets: list[np.ndarray], share: int, sides: np.ndarray | None = None, k
     return out
 
 
-def with_sets(docs: DataFrame, dealt: DataFrame, width: int) -> DataFrame:
-    """``dealt`` (with ``doc_id, node``) and each class's ``shingles``, from a row of the class."""
-    others = [c for c in dealt.columns if c not in ("doc_id", "node")]
+def with_sets(dealt: DataFrame, width: int) -> DataFrame:
+    """``dealt`` with each class's ``shingles`` instead of its ``text``."""
+    others = [c for c in dealt.columns if c not in ("text", "node")]
     schema = "node binary, shingles array<long>" + "".join(f", {c} {dealt.schema[c].dataType.simpleString()}" for c in others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,8 +268,7 @@ def with_sets(docs: DataFrame, dealt: DataFrame, width: int) -> DataFrame:
                 own = pa.compute.equal(nodes(hashes, sizes), part.column("node"))
                 yield pa.RecordBatch.from_arrays([part.column("node"), lists, *(part.column(c) for c in others)], names=["node", "shingles", *others]).filter(own)
 
-    # A merge at every size: the table of groups grows with the documents.
-    return stream(docs.join(dealt.hint("merge"), "doc_id").select("node", "text", *others), run, schema)
+    return stream(dealt.select("node", "text", *others), run, schema)
 
 
 def _forest_of(part: pa.Table, share: int) -> pa.RecordBatch | None:
@@ -304,7 +303,9 @@ def confirmed(docs: DataFrame, members: DataFrame, width: int, share: int) -> Da
 
         return run
 
-    first = with_sets(docs, sized.select("doc_id", "node", "root", to.alias("to")), width).select("root", F.explode("to").alias("block"), "node", "shingles")
+    # The texts of the classes in groups, for both rounds; all other texts are shuffled once and go.
+    texts = settled(docs.join(sized.select("doc_id", "node", "root", "blocks", "one_of").hint("merge"), "doc_id").drop("doc_id"))
+    first = with_sets(texts.select("node", "text", "root", to.alias("to")), width).select("root", F.explode("to").alias("block"), "node", "shingles")
     found = with_checkpoints(stream(first.repartition("root", "block").sortWithinPartitions("root", "block"), compare(["root", "block"]), "a binary, b binary"))
     linked = components(found)
 
@@ -323,7 +324,7 @@ def confirmed(docs: DataFrame, members: DataFrame, width: int, share: int) -> Da
     place = lambda r, c, side: F.struct(r.alias("i"), c.alias("j"), F.lit(side).alias("side"))
     outside = F.when(F.col("outside"), F.transform(all_columns, lambda c: place(row, c, 0)))
     places = F.concat(F.coalesce(outside, F.array().cast("array<struct<i: bigint, j: bigint, side: int>>")), F.transform(all_rows, lambda r: place(r, column, 1)))
-    second = with_sets(docs, grid.select("doc_id", "node", "root", "label", places.alias("to")), width).select("root", "label", F.explode("to").alias("at"), "node", "shingles").select("root", "label", "at.*", "node", "shingles")
+    second = with_sets(texts.where("blocks > 1").select("node", "text").join(grid.select("node", "root", "label", places.alias("to")), "node"), width).select("root", "label", F.explode("to").alias("at"), "node", "shingles").select("root", "label", "at.*", "node", "shingles")
     more = stream(second.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j"), compare(["root", "i", "j"]), "a binary, b binary")
     return components(found.unionByName(more))
 
