@@ -26,6 +26,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +39,11 @@ from stocktake.llm._bpe import SPACE, Merges, Remembered, byte_alphabet
 from stocktake.llm._rows import map_texts, narrow, stream
 
 #: Bytes of a leaf of a word.
-LEAF_BYTES = 8
+LEAF_BYTES = 12
 #: Characters from which on a text is encoded in pieces, and bytes of a piece.
 LONG_CHARS, PIECE_BYTES = 1 << 16, 1 << 15
 
+_PACKED, _SHOWN = itemgetter(0), itemgetter(1)
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿŒœ]+")
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿœ]+|[0-9]|[^a-z0-9ß-öø-ÿœ]+")
 _GAPS = regex.compile(rf"[{SPACE}]+")
@@ -106,9 +108,9 @@ class Codec:
                 ids.append(array("i", [special]).tobytes())
                 shown.append(self.merges.names[special])
             else:
-                for packed, text_of in map(self.coded.__getitem__, found):
-                    ids.append(packed)
-                    shown.append(text_of)
+                both = list(map(self.coded.__getitem__, found))
+                ids.extend(map(_PACKED, both))
+                shown.extend(map(_SHOWN, both))
         return b"".join(ids), " ".join(filter(None, shown))
 
 

@@ -94,7 +94,7 @@ def test_query(spark):
 
 
 def test_words_go_through_joins(monkeypatch):
-    """On a given table: most documents hold words of several leaves, which only concatenation makes."""
+    """On a given table: over half of the documents hold words of several leaves, which only concatenation makes."""
     import pyarrow.parquet as pq
 
     own, joined = bpe_codec.Codec(WORDS), []
@@ -108,4 +108,4 @@ def test_words_go_through_joins(monkeypatch):
         ids, _ = own.round_trip(text or "")
         assert np.frombuffer(ids, np.int32).tolist() == word_library.encode(text or "", add_special_tokens=False).ids
         through += len(joined) > before
-    assert through > 0.8 * len(rows)
+    assert through > 0.5 * len(rows)
