@@ -91,7 +91,7 @@ def thumbnail_violations(policies: DataFrame) -> DataFrame:
         "action": ~(generates | skips) | F.col("action").isNull(),
         "name": F.col("name").isNull() | ~F.col("name").rlike(r"\A[A-Za-z0-9_]+\z"),
         "skip_fields": skips & (F.col("mime_types").isNotNull() | F.col("media_type").isNotNull() | F.col("output_mime").isNotNull() | any_field),
-        "mime_types": generates & (F.col("mime_types").isNull() | (F.size("mime_types") == 0) | F.exists("mime_types", lambda m: ~m.rlike(r"\A[a-z]+/(\*|[A-Za-z0-9.+-]+)\z"))),
+        "mime_types": generates & (F.col("mime_types").isNull() | (F.size("mime_types") == 0) | F.exists("mime_types", lambda m: ~m.rlike(r"\A[A-Za-z0-9.+-]+/(\*|[A-Za-z0-9.+-]+)\z"))),
         "media_type": generates & ~F.coalesce(F.forall("mime_types", lambda m: F.substring_index(m, "/", 1) == F.col("media_type")), F.lit(False)),
         "sizing": generates & ~F.coalesce(known, F.lit(False)),
         "output_mime": generates & F.coalesce(known, F.lit(False)) & ~F.coalesce(legal, F.lit(False)),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import errno
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,12 +34,16 @@ def decode_list(text: Column | str) -> Column:
     return F.from_json(text, "array<string>")
 
 
-def is_transient(error: BaseException | None, names: frozenset[str] = frozenset({"TimeoutError", "ConnectionResetError", "BrokenPipeError", "ConnectionRefusedError"})) -> bool:
-    """Whether an error, or one of the first few that it wraps, is worth another attempt."""
+#: The network or the host can't be reached at the moment.
+UNREACHABLE = frozenset({errno.ENETUNREACH, errno.EHOSTUNREACH, errno.ENETDOWN})
+
+
+def is_transient(error: BaseException | None, names: frozenset[str] = frozenset({"TimeoutError", "ConnectionResetError", "BrokenPipeError", "gaierror"})) -> bool:
+    """Whether an error, or one of the first few that it wraps, is worth another attempt; a refused connection isn't."""
     for _ in range(CAUSES):
         if error is None:
             return False
-        if type(error).__name__ in names or getattr(error, "status", None) in RETRYABLE_STATUS:
+        if type(error).__name__ in names or getattr(error, "status", None) in RETRYABLE_STATUS or getattr(error, "errno", None) in UNREACHABLE:
             return True
         error = error.__cause__ or error.__context__
     return False

@@ -95,3 +95,13 @@ def test_temporary_summary(spark):
 
     rows = spark.createDataFrame([("a", 5), (".x-tmp-" + "0" * 32, 7)], "path string, size long")
     assert tuple(temporary_summary(rows).first()) == (1, 7, False)
+
+
+def test_transient_network_errors():
+    import errno
+    import socket
+
+    from stocktake.sources import documents
+
+    assert documents.is_transient(socket.gaierror(-3, "try again")) and documents.is_transient(OSError(errno.ENETUNREACH, "unreachable")) and documents.is_transient(TimeoutError())
+    assert not documents.is_transient(ConnectionRefusedError(errno.ECONNREFUSED, "refused")) and not documents.is_transient(OSError(errno.ENOENT, "none"))
