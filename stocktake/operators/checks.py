@@ -96,8 +96,9 @@ def catchup_summary(steps: DataFrame) -> DataFrame:
     return steps.agg(*(F.count_if(F.col("step") == k).alias(k) for k in kinds)).withColumn("pointer_moves", F.col("unrecoverable") == 0)
 
 
-def materialize_plan(entries: DataFrame, listing: DataFrame, heads: DataFrame, now: Column, request_retrieval: bool = False) -> DataFrame:
-    """``path, step`` for each file: what it takes to have its content in place."""
+def materialize_plan(entries: DataFrame, listing: DataFrame, heads: DataFrame, now: Column, request_retrieval: bool = False, scope: str | None = None) -> DataFrame:
+    """``path, step`` for each file of the cache (or of a snapshot's entries) in scope: what it takes to have its content in place."""
+    entries = entries if scope is None else entries.where(globs.matches("path", scope))
     h = heads.select("hash", archive_status(F.col("storage_class"), F.col("restore"), now).alias("status"))
     files = entries.where("type = 'file'").select("path", "hash").join(listing.select("path", "representation"), "path", "left").join(h, "hash", "left")
     step = (
@@ -114,13 +115,16 @@ def materialize_plan(entries: DataFrame, listing: DataFrame, heads: DataFrame, n
 def stubify_plan(cache: DataFrame, listing: DataFrame, mirrored: DataFrame | None = None) -> DataFrame:
     """``path, step`` for each file: whether its content may be replaced by a stub.
 
-    ``listing`` has the ``hash`` of the content; without ``mirrored`` (hashes)
-    files need no copy on a mirror.
+    ``listing`` has the ``hash`` of the content; without ``mirrored`` (``hash,
+    size`` of the files on a mirror) files need no copy there.  A copy counts
+    only in the size that the encrypted content must have; an entry without a
+    size is not mirrored.
     """
     rows = cache.where("type = 'file'").alias("c").join(listing.where("representation <> 'stub'").alias("f"), F.col("c.path") == F.col("f.path"), "left")
     safe = F.lit(True)
     if mirrored is not None:
-        rows = rows.join(mirrored.select(F.col("hash").alias("_copy")).distinct(), F.col("c.hash") == F.col("_copy"), "left")
+        copies = mirrored.select(F.col("hash").alias("_copy"), F.col("size").alias("_copy_size")).distinct()
+        rows = rows.join(copies, (F.col("c.hash") == F.col("_copy")) & (scalars.encrypted_size("c.size") == F.col("_copy_size")), "left")
         safe = F.col("_copy").isNotNull()
     same_time = F.coalesce(scalars.half_up(F.col("f.mtime_ms")) == F.col("c.mtime"), F.lit(False))
     same_content = F.coalesce(F.col("f.hash") == F.col("c.hash"), F.lit(False))

@@ -57,25 +57,43 @@ def derived_path(original: Column | str, params: Column, digest: Column, ext: Co
     return F.concat(at, F.lit("/"), scalars.basename(original), F.lit("."), params, F.lit("."), digest, F.lit("."), ext)
 
 
+def _skips(policies: DataFrame) -> DataFrame:
+    return policies.where("action = 'skip'").select("regex")
+
+
+def skipped(sources: DataFrame, policies: DataFrame) -> DataFrame:
+    """Sources that a skip policy matches, from their paths alone: they are never probed."""
+    return sources.join(_skips(policies), F.expr("path rlike regex"), "left_semi")
+
+
 def resolve(sources: DataFrame, policies: DataFrame) -> DataFrame:
     """Every generating policy (with a ``regex`` of its glob) that a probed source (``path, mime_type``) matches: ``path, policy, params, ext``.
 
-    The policy table is edited by hand and joined on a pattern, so that Spark
-    broadcasts it while it is small.
+    A source that any skip policy matches has none, so that ``reconcile``
+    makes nothing for it and deletes what there is.  The policy table is
+    edited by hand and joined on a pattern, so that Spark broadcasts it while
+    it is small.
     """
+    sources = sources.join(_skips(policies), F.expr("path rlike regex"), "left_anti")
     rules = policies.where("action = 'generate'").select("regex", "mime_types", F.col("name").alias("policy"), params_segment().alias("params"), extension("output_mime").alias("ext"))
     fits = F.expr("path rlike regex") & F.exists("mime_types", lambda m: scalars.mime_matches(m, F.col("mime_type")))
     return sources.join(rules, fits).select("path", "policy", "params", "ext")
 
 
-def reconcile(sources: DataFrame, resolved: DataFrame, derived: DataFrame) -> DataFrame:
-    """``original_path, policy, path, step`` for readable real sources (``path, hash, readable``).
+def reconcile(sources: DataFrame, resolved: DataFrame, derived: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
+    """``original_path, policy, path, step`` for readable real sources (``path, hash, readable``) and those that are ``skipped``.
 
     Per policy the first exact file by path is up to date; without one the
     first other is regenerated; without any a new one is generated.  All other
     derived files of these sources are deleted.  Unreadable sources keep what
-    they have; sources without a hash are reported.
+    they have; sources without a hash are reported.  Skipped sources (``path``)
+    needn't be readable and lose all derived files.
     """
+    if skipped is not None:
+        gone = skipped.select("path").distinct()
+        off = gone.join(derived.select(F.col("original_path").alias("path"), "policy", F.col("path").alias("file")), "path").select(F.col("path").alias("original_path"), "policy", F.col("file").alias("path"), F.lit("delete").alias("step"))
+        rest = reconcile(sources.join(gone, "path", "left_anti"), resolved.join(gone, "path", "left_anti"), derived)
+        return rest.unionByName(off)
     known = sources.where("readable").select(F.col("path").alias("original_path"), F.col("hash").alias("source_hash"))
     wanted = resolved.withColumnRenamed("path", "original_path")
     matched = known.join(wanted.select("original_path").distinct(), "original_path", "left_semi")

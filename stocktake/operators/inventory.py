@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from stocktake.functions import globs, scalars
 
+#: Sampled paths for each range of numbered deletions.
+PER_RANGE = 16
+
 
 def lookup(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose key is among ``keys`` (a column of the same name)."""
@@ -52,6 +55,12 @@ def latest_version(versions: DataFrame) -> DataFrame:
     return versions.orderBy(F.desc("sequence")).limit(1)
 
 
+def insert_version(versions: DataFrame, stamp: str, created_at: str) -> DataFrame:
+    """``versions`` and one more, numbered one above the greatest; the first is 1."""
+    new = versions.agg((F.coalesce(F.max("sequence"), F.lit(0)) + 1).cast("long").alias("sequence"))
+    return versions.unionByName(new.select("sequence", F.lit(stamp).alias("version_stamp"), F.lit(created_at).alias("created_at")))
+
+
 def versions_with_stamp(versions: DataFrame, stamps: DataFrame) -> DataFrame:
     return lookup(versions, stamps, "version_stamp")
 
@@ -79,12 +88,22 @@ def delete(base: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def delete_with_history(entries: DataFrame, paths: DataFrame, version: str, created_at: str, next_id: int = 1) -> tuple[DataFrame, DataFrame]:
-    """The entries that are left, and a history row for each that is gone, numbered by path."""
+    """The entries that are left, and a history row for each that is gone, numbered by path.
+
+    Deletions are dealt to ranges of paths, between edges from a fixed sample
+    (those of the smallest hashes), so that every attempt has the same ranges.
+    A number is the place within the range after all rows of earlier ranges.
+    """
     gone = lookup(entries, paths, "path")
-    # The number is a running one over all deletions, and those of one commit are few beside the inventory.
-    order = Window.orderBy("path")
-    history = gone.select(
-        (F.row_number().over(order) + (next_id - 1)).cast("long").alias("id"), "path", "type", "hash",
+    ranges = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sample = gone.select("path").orderBy(F.xxhash64("path"), "path").limit(ranges * PER_RANGE)
+    edges = sample.agg(F.filter(F.sort_array(F.collect_list("path")), lambda p, i: i % PER_RANGE == PER_RANGE - 1).alias("_edges"))
+    ranged = gone.crossJoin(F.broadcast(edges)).withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col("path")))).drop("_edges")  # one row
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    before = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows")).select("_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    order = Window.partitionBy("_range").orderBy("path")
+    history = ranged.join(before, "_range").select(
+        (F.row_number().over(order) + F.col("_before") + (next_id - 1)).cast("long").alias("id"), "path", "type", "hash",
         F.col("state_version").alias("introduced_in_version"), F.lit(version).alias("deleted_in_version"), F.lit(created_at).alias("created_at"),
     )
     return delete(entries, paths, "path"), history

@@ -39,6 +39,11 @@ def listed(policies: DataFrame) -> DataFrame:
     return policies.orderBy("is_default", F.col("priority").asc_nulls_first(), "id")
 
 
+def listed_by_id(policies: DataFrame) -> DataFrame:
+    """Ignore and thumbnail policies in the order in which they were made."""
+    return policies.orderBy("id")
+
+
 def create(policies: DataFrame, row: dict) -> DataFrame:
     new = policies.sparkSession.createDataFrame([row], policies.schema).drop("id")
     top = policies.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("id"))

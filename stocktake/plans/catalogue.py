@@ -139,6 +139,12 @@ def upsert_entries(v):
     return inventory.upsert(fx.entries(v).select("path", "hash"), delta, "path")
 
 
+@query("insert_version", fx.with_ctes(fx.V) + "SELECT DISTINCT doc_id % 7 + 1 AS sequence, 'v' || (doc_id % 7) AS version_stamp FROM v UNION ALL SELECT max(doc_id % 7 + 1) + 1, 'v9' FROM v")
+def insert_version(v):
+    known = fx.versions(v).withColumn("created_at", F.lit("2026-06-14T00:00:00.000Z"))
+    return inventory.insert_version(known, "v9", "2026-06-15T00:00:00.000Z").select("sequence", "version_stamp")
+
+
 @query("delete_with_history", _entries + "SELECT path, hash, state_version AS introduced_in_version, 'v9' AS deleted_in_version, row_number() OVER (ORDER BY path) AS id FROM entries WHERE path IN (SELECT path FROM v WHERE doc_id % 100 = 3)")
 def delete_with_history(v):
     _, history = inventory.delete_with_history(fx.entries(v), v.where("doc_id % 100 = 3"), "v9", "2026-06-15T00:00:00.000Z")
@@ -418,7 +424,7 @@ def materialize_estimate(v):
     return checks.work_estimate(_materialize_plan(v), fx.entries(v), "materialize")
 
 
-_stubify = _mirror + "SELECT c.path, CASE WHEN f.path IS NULL THEN 'already_stub' WHEN c.state <> 'unchanged' THEN 'skip_pending_changes' WHEN c.hash NOT IN (SELECT hash FROM mirror) THEN 'skip_not_mirrored' WHEN f.mtime = c.mtime OR f.hash = c.hash THEN 'stubify' ELSE 'skip_changed' END AS step FROM cache c LEFT JOIN (SELECT * FROM listing WHERE representation <> 'stub') f ON f.path = c.path"
+_stubify = _mirror + "SELECT c.path, CASE WHEN f.path IS NULL THEN 'already_stub' WHEN c.state <> 'unchanged' THEN 'skip_pending_changes' WHEN NOT EXISTS (SELECT 1 FROM mirror m WHERE m.hash = c.hash AND m.size = 50 + c.size + CAST(ceil(c.size / 4194304.0) AS BIGINT) * 16) THEN 'skip_not_mirrored' WHEN f.mtime = c.mtime OR f.hash = c.hash THEN 'stubify' ELSE 'skip_changed' END AS step FROM cache c LEFT JOIN (SELECT * FROM listing WHERE representation <> 'stub') f ON f.path = c.path"
 
 
 def _stubify_plan(v):
@@ -482,6 +488,16 @@ def derived_resolve(v):
     return derived.resolve(_sources(v), _generate(v))
 
 
+def _with_skips(v):
+    skip = v.sparkSession.createDataFrame([{"id": 3, "name": "off", "glob": "*/src1/**", "action": "skip"}], schemas.THUMBNAIL_POLICIES)
+    return _generate(v).unionByName(skip.withColumn("regex", F.lit(globs.glob_to_regex("*/src1/**"))))
+
+
+@query("derived_resolve_skips", fx.with_ctes(fx.V) + f"SELECT * FROM ({_resolved}) WHERE NOT regexp_matches(path, '^[^/]+/src1/.+$')")
+def derived_resolve_skips(v):
+    return derived.resolve(_sources(v), _with_skips(v))
+
+
 _derived_plan = _derived + f""", wanted AS ({_resolved}), src AS (SELECT path AS original, CASE WHEN doc_id % 17 <> 3 THEN hash END AS h FROM v WHERE doc_id % 8 <> 7 AND doc_id % 19 <> 4),
 held AS (SELECT p.original, p.policy, p.path, w.path IS NOT NULL AS asked, coalesce(p.has = s.h AND p.params = w.params AND p.ext = w.ext, false) AS exact FROM parsed p JOIN src s ON s.original = p.original LEFT JOIN wanted w ON w.path = p.original AND w.policy = p.policy WHERE s.h IS NOT NULL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY original, policy ORDER BY exact DESC, path) AS nth FROM held)
@@ -496,6 +512,12 @@ def derived_plan(v):
     return derived.reconcile(sources, derived.resolve(sources, _generate(v)), derived.parse_names(fx.derived(v)))
 
 
+@query("derived_plan_skips", f"SELECT * FROM ({_derived_plan}) WHERE NOT regexp_matches(original_path, '^[^/]+/src1/.+$') UNION ALL " + _derived.replace("WITH v AS", "SELECT * FROM (WITH v AS", 1) + "SELECT original, policy, path, 'delete' FROM parsed JOIN (SELECT path AS source FROM v WHERE doc_id % 8 <> 7) ON source = original WHERE regexp_matches(original, '^[^/]+/src1/.+$'))")
+def derived_plan_skips(v):
+    sources, rules = _sources(v), _with_skips(v)
+    return derived.reconcile(sources, derived.resolve(sources, rules), derived.parse_names(fx.derived(v)), derived.skipped(sources, rules))
+
+
 @query("derived_stub_previews", _derived + """, s AS (SELECT path AS original, CASE WHEN doc_id % 17 <> 3 THEN hash END AS h FROM v WHERE doc_id % 4 = 0),
 r AS (SELECT s.original, s.h, p.path, coalesce(p.has = s.h, false) AS same FROM s LEFT JOIN parsed p USING (original)), k AS (SELECT *, row_number() OVER (PARTITION BY original ORDER BY same DESC, path) AS nth, bool_or(same) OVER (PARTITION BY original) AS any_same FROM r)
 SELECT original AS original_path, CASE WHEN h IS NOT NULL THEN path END AS path, CASE WHEN h IS NULL THEN 'missing_cache_entry' WHEN path IS NULL THEN 'stub_without_preview' WHEN any_same THEN CASE WHEN nth = 1 THEN 'preserved' ELSE 'delete' END ELSE 'stale_preview' END AS step FROM k WHERE h IS NOT NULL OR nth = 1""")

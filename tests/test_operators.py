@@ -251,3 +251,34 @@ def test_many_storage_policies(spark):
     assert got == {"h9": ("GLACIER", False, 1), "h99": ("GLACIER", False, 1), "h1": ("STANDARD", True, 2), "h5": ("GLACIER", False, 1)}
     plan = storage.hash_class(entries, few, default)._jdf.queryExecution().toString()
     assert "RLIKE" in plan and "Join" in plan
+
+
+def test_skip_beats_generate(spark):
+    rows = [dict(fx.GENERATE[0]) | {"mime_types": ["image/*"]}, {"id": 2, "name": "off", "glob": "private/**", "action": "skip"}]
+    regex = {r["glob"]: globs.glob_to_regex(r["glob"]) for r in rows}
+    rules = spark.createDataFrame(rows, schemas.THUMBNAIL_POLICIES).join(table(spark, list(regex.items()), "glob string, regex string"), "glob")
+    sources = table(spark, [("private/a.jpg", "h", None, None), ("b.jpg", "h", "image/jpeg", True)], "path string, hash string, mime_type string, readable boolean")
+    files = derived.parse_names(table(spark, [("private/_thumbnail/a.jpg.p2-small-ss100-fmtimage_png-pl6.h.png",)], "path string"))
+    resolved = derived.resolve(sources, rules)
+    assert [r.path for r in resolved.collect()] == ["b.jpg"]
+    steps = derived.reconcile(sources, resolved, files, derived.skipped(sources, rules)).collect()
+    assert {(r.original_path, r.step) for r in steps} == {("private/a.jpg", "delete"), ("b.jpg", "generate")}
+
+
+def test_mirrored_in_the_right_size_only(spark):
+    cache = table(spark, [local(p, "unchanged", p, size=s) for p, s in (("good", 10), ("short", 10), ("unsized", None), ("lost", 10))], CACHE)
+    listing = table(spark, [(p, "real", 1.0, p) for p in ("good", "short", "unsized", "lost")], "path string, representation string, mtime_ms double, hash string")
+    mirror = table(spark, [("good", 76), ("short", 75), ("unsized", 76)], "hash string, size long")
+    got = {r.path: r.step for r in checks.stubify_plan(cache, listing, mirror).collect()}
+    assert got == {"good": "stubify", "short": "skip_not_mirrored", "unsized": "skip_not_mirrored", "lost": "skip_not_mirrored"}
+
+
+def test_deletions_are_numbered_over_ranges(spark):
+    entries = spark.range(1_000).selectExpr("concat('d/', id) AS path", "'file' AS type", "'h' AS hash", "'v1' AS state_version", "concat('d/', id) AS normalized_path")
+    left, history = inventory.delete_with_history(entries, entries.where("path <> 'd/7'").select("path"), "v2", "now", next_id=5)
+    assert [r.path for r in left.collect()] == ["d/7"]
+    rows = history.orderBy("id").collect()
+    assert [r.id for r in rows] == list(range(5, 1_004)) and [r.path for r in rows] == sorted(f"d/{i}" for i in range(1_000) if i != 7)
+    first = inventory.insert_version(spark.createDataFrame([], schemas.VERSIONS), "a", "now")
+    assert [tuple(r) for r in inventory.insert_version(first, "b", "now").orderBy("sequence").collect()] == [(1, "a", "now"), (2, "b", "now")]
+    assert [r.sequence for r in inventory.versions_with_stamp(first, first).collect()] == [1]

@@ -24,6 +24,12 @@ def test_store(spark, tmp_path):
     # Committing the very same snapshot again is no conflict.
     assert store._child(first) == second
     assert SnapshotStore.attach(spark, root).current() == second
+    assert store.commit(first, {"r": rows}, stamp=second) == second and store.read("r").count() == 2
+    with pytest.raises(Conflict):
+        store.commit(second, {"r": rows}, stamp=first)
+    # An attempt that stopped before the pointer moved can be made again.
+    rows.write.parquet(f"{root}/states/v-left/r")
+    assert store.commit(second, {"r": rows.union(rows).union(rows)}, stamp="v-left") == "v-left" and store.read("r").count() == 3
 
 
 def test_lost_race_is_done_again(spark, tmp_path):
