@@ -282,3 +282,12 @@ def test_deletions_are_numbered_over_ranges(spark):
     first = inventory.insert_version(spark.createDataFrame([], schemas.VERSIONS), "a", "now")
     assert [tuple(r) for r in inventory.insert_version(first, "b", "now").orderBy("sequence").collect()] == [(1, "a", "now"), (2, "b", "now")]
     assert [r.sequence for r in inventory.versions_with_stamp(first, first).collect()] == [1]
+
+
+def test_scope_of_materialize_and_policies_by_id(spark):
+    cache = table(spark, [local("d/a", "unchanged"), local("e/b", "unchanged")], CACHE)
+    listing = table(spark, [("d/a", "stub"), ("e/b", "stub")], "path string, representation string")
+    heads = table(spark, [("h", None, None)], "hash string, storage_class string, restore string")
+    plan = checks.materialize_plan(cache, listing, heads, F.current_timestamp(), scope="d/**")
+    assert [tuple(r) for r in plan.collect()] == [("d/a", "materialize")]
+    assert [r.id for r in policies.listed_by_id(table(spark, [(3,), (1,), (2,)], "id long")).collect()] == [1, 2, 3]
