@@ -44,57 +44,62 @@ LEAF_BYTES = 12
 LONG_CHARS, PIECE_BYTES = 1 << 16, 1 << 15
 
 _PACKED, _SHOWN = itemgetter(0), itemgetter(1)
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿŒœ]+")
-_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿœ]+|[0-9]|[^a-z0-9ß-öø-ÿœ]+")
+_PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿŒœ]*")
+_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿœ]+|[0-9]|[^\t-\r a-z0-9ß-öø-ÿœ]+")
 _GAPS = regex.compile(rf"[{SPACE}]+")
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 _DDL = "doc_id long, ids array<int>, decoded string"
 
 
 class Codec:
-    """Encodes and decodes texts; remembers short stretches between white space.
-
-    White space is dropped by this kind of vocabulary and never lies within a
-    word, so that stretches between it can be taken one by one.
-    """
+    """Encodes and decodes texts word by word; remembers short words."""
 
     def __init__(self, path: str) -> None:
         self.merges = Merges(path)
         remember(self.merges)
         self.library = Tokenizer.from_file(path)
-        self.alphabet = byte_alphabet()
-        self.bytes_of = {c: b for b, c in enumerate(self.alphabet)}
-        self.latin = str.maketrans({bytes([b]).decode("latin-1"): c for b, c in enumerate(self.alphabet)})
-        self.ids_of_word = Remembered(lambda w: array("i", grown(self.merges, self.raw(w), True)).tobytes())
+        self.bytes_of = {c: b for b, c in enumerate(byte_alphabet())}
+        self.ids_of_word = Remembered(self.packed)
         self.coded = Remembered(self.code)
+        self.words_of_stretch = Remembered(self.library_words, 50_000)
+
+    def packed(self, word: str) -> bytes:
+        """Identifiers of a word, four bytes each."""
+        return array("i", grown(self.merges, word.encode(), True)).tobytes()
 
-    def code(self, stretch: str) -> tuple[bytes, str]:
-        """Identifiers of a stretch, four bytes each, and what they are decoded to."""
-        packed = b"".join(map(self.ids_of_word.__getitem__, self.words(stretch)))
-        return packed, self.decode(np.frombuffer(packed, np.int32).tolist())
+    def code(self, word: str) -> tuple[bytes, str]:
+        """Identifiers of a word, four bytes each, and what they are decoded to."""
+        ids = grown(self.merges, word.encode(), True)
+        return array("i", ids).tobytes(), self.decode(ids)
 
-    def words(self, stretch: str) -> list[str]:
-        """The words of a stretch, their bytes written in the vocabulary's alphabet.
+    def words(self, part: str) -> list[str]:
+        """The words of a text without special strings, composed and in lower case.
 
         Plain Latin letters need no composing and have one lower case in all
-        versions of Unicode; other stretches go through the library's rules.
+        versions of Unicode.  In other texts each stretch between white space that
+        holds something else goes through the library's rules; white space is dropped
+        by this kind of vocabulary and never lies within a word.
         """
-        if _PLAIN.fullmatch(stretch):
-            return [w if w.isascii() else w.encode().decode("latin-1").translate(self.latin) for w in _WORDS.findall(stretch.lower())]
-        return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(stretch))]
-
-    def raw(self, word: str) -> bytes:
-        return bytes(map(self.bytes_of.__getitem__, word))
-
-    def parts(self, text: str) -> Iterator[tuple[int | None, list[str]]]:
-        """The text cut at special strings: (its identifier, nothing) or (None, stretches without white space)."""
+        if _PLAIN.fullmatch(part):
+            return _WORDS.findall(part.lower())
+        # The first four are white space to str.split() alone.
+        stretches = [s for s in _GAPS.split(part) if s] if any(c in part for c in "\x1c\x1d\x1e\x1f") else part.split()
+        words: list[str] = []
+        for s in stretches:
+            words += _WORDS.findall(s.lower()) if _PLAIN.fullmatch(s) else self.words_of_stretch[s]
+        return words
+
+    def library_words(self, stretch: str) -> list[str]:
+        cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(stretch))
+        return [bytes(map(self.bytes_of.__getitem__, w)).decode() for w, _ in cut]
+
+    def parts(self, text: str) -> Iterator[tuple[int | None, str]]:
+        """The text cut at special strings: (its identifier, nothing) or (None, what stands between)."""
         for part in self.merges.split_special.split(text) if any(s in text for s in self.merges.special) else [text]:
             if part in self.merges.special:
-                yield self.merges.special[part], []
-            elif any(c in part for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split() alone
-                yield None, [s for s in _GAPS.split(part) if s]
+                yield self.merges.special[part], ""
             else:
-                yield None, part.split()
+                yield None, part
 
     def decode(self, ids: list[int]) -> str:
         """Without a decoder in the file, the tokens are joined by a space."""
@@ -103,15 +108,15 @@ class Codec:
     def round_trip(self, text: str) -> tuple[bytes, str]:
         """Identifiers, four bytes each, and the text decoded from them."""
         ids, shown = [], []
-        for special, found in self.parts(text):
+        for special, part in self.parts(text):
             if special is not None:
                 ids.append(array("i", [special]).tobytes())
                 shown.append(self.merges.names[special])
             else:
-                both = list(map(self.coded.__getitem__, found))
+                both = list(map(self.coded.__getitem__, self.words(part)))
                 ids.extend(map(_PACKED, both))
                 shown.extend(map(_SHOWN, both))
-        return b"".join(ids), " ".join(filter(None, shown))
+        return b"".join(ids), " ".join(shown)
 
 
 @lru_cache(maxsize=1)
@@ -123,11 +128,11 @@ def codec(path: str) -> Codec:
 def remember(merges: Merges) -> None:
     """Give the merges a memory of short strings, by whether they end a word, and of pairs of tokens."""
     merges.spell()
-    merges.leaves = [Remembered(lambda raw, f=f: tuple(merges.encode(raw, f)), 100_000) for f in (False, True)]
+    merges.leaves = [Remembered(lambda raw, f=f: tuple(merges.encode_short(raw, f) if len(raw) <= 2 * LEAF_BYTES else merges.encode(raw, f)), 100_000) for f in (False, True)]
 
     def pair(key: int) -> bool:
         x, y, final = key >> 21, key >> 1 & 0xFFFFF, bool(key & 1)
-        return merges.encode(merges.spelled[x] + merges.spelled[y], final) == [x, y]
+        return list(_leaf(merges, merges.spelled[x] + merges.spelled[y], final)) == [x, y]
 
     merges.pairs = Pairs(pair)
 
@@ -196,7 +201,7 @@ def grown(merges: Merges, raw: bytes, final: bool) -> list[int]:
     """The encoding of a word, or of a part of one, from its leaves; ``final`` says whether it ends the word."""
     size = len(raw)
     if size <= LEAF_BYTES:
-        return list(_leaf(merges, raw, final))
+        return merges.encode_short(raw, final)
     return tree(merges, [list(_leaf(merges, raw[a : a + LEAF_BYTES], final and a + LEAF_BYTES >= size)) for a in range(0, size, LEAF_BYTES)], final)
 
 
@@ -211,13 +216,12 @@ def long_texts(docs: DataFrame, path: str) -> DataFrame:
         """(number of a long word, special token, words, part of a long word, whether the last)."""
         held: list[str] = []
         size = long_words = 0
-        for special, found in cutter.parts(text):
-            for w in (w for s in found for w in cutter.words(s)):
-                if len(w) > PIECE_BYTES:
+        for special, between in cutter.parts(text):
+            for w in cutter.words(between):
+                if 4 * len(w) > PIECE_BYTES and len(raw := w.encode()) > PIECE_BYTES:
                     if held:
                         yield None, None, held, None, None
                         held, size = [], 0
-                    raw = cutter.raw(w)
                     long_words += 1
                     for a in range(0, len(raw), PIECE_BYTES):
                         yield long_words, None, None, raw[a : a + PIECE_BYTES], a + PIECE_BYTES >= len(raw)
