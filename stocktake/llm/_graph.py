@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import gc
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stocktake.llm._rows import stream
+
 
 #: Edges of a partition.
 EDGES = 100_000
@@ -46,18 +50,44 @@ def _sum(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """Each partition's edges (columns ``a``, ``b``) as stars around the smallest node of what they connect."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict = {}
+        types: list[pa.DataType] = []
+
+        def root(x):
+            while (y := above.setdefault(x, x)) != x:
+                above[x] = x = above[y]
+            return x
+
+        for batch in batches:
+            types = batch.schema.types
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                a, b = root(a), root(b)
+                above[max(a, b)] = min(a, b)
+        nodes = list(above)
+        for k in range(0, len(nodes), 10_000):
+            own = [(x, r) for x in nodes[k : k + 10_000] if (r := root(x)) != x]
+            yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in own], t) for i, t in enumerate(types)], names=["a", "b"])
+
+    return stream(edges.select("a", "b"), run, edges.select("a", "b").schema)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges`` (columns ``a``, ``b``); the root is the component's smallest node.
 
-    Large-star and small-star steps alternate until the edges are stars.  Each
+    Each partition first contracts its own edges.  Then
+    large-star and small-star steps alternate until the edges are stars.  Each
     step takes minima by key and joins them back, so that no neighbourhood is
     ever gathered in one place.
     """
     e = with_checkpoints(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before = _sum(e)
     # Partitions follow the number of edges, else each step would write mostly empty files.
-    parts = before[0] // EDGES + 1
-    e = e.coalesce(parts)
+    parts = e.count() // EDGES + 1
+    e = with_checkpoints(contracted(e.coalesce(parts)))
+    before = _sum(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
