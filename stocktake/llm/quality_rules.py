@@ -23,7 +23,8 @@ nothing but the base rule rejects.
 Null and empty texts have no words (and fail the base rule); null labels count for nothing, of
 contradicting labels of a text the worst holds; rows that repeat get the same result
 each; an empty table gives an empty result; other columns are ignored.  The
-measures take about linear time in the length of a text.
+measures take about linear time in the length of a text.  Windows are compared by 64-bit hashes:
+that two of a text of a million words agree by chance has a probability under 1e-7.
 """
 
 from __future__ import annotations
@@ -54,31 +55,34 @@ def _none(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
+def window_hashes(words: Column) -> Column:
+    """A 64-bit hash of each window of five words: of pairs, of two pairs that overlap (three words), of two threes that overlap."""
+    n = F.size(words)
+
+    def joined(a: Column, shift: int) -> Column:
+        return F.zip_with(a, F.slice(a, F.lit(shift + 1), n), lambda x, y: F.xxhash64(x, y))
+
+    return once(joined(words, 1), lambda two: once(joined(two, 1), lambda three: F.slice(joined(three, 2), F.lit(1), F.greatest(n - (WIDTH - 1), F.lit(0)))))
+
+
 def repeated_words(words: Column) -> Column:
     """Words in windows of five that the text has twice or more; ``words`` is a plain name."""
-    n = F.size(words)
-    places = F.sequence(F.lit(0), n - WIDTH)
-    hashes = F.transform(places, lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(WIDTH))))
 
     def covered(at: Column) -> Column:
         return F.aggregate(F.transform(at, lambda p, k: F.least(F.lit(WIDTH), F.coalesce(F.get(at, k + 1) - p, F.lit(WIDTH)))), F.lit(0), lambda a, b: a + b)
 
-    def exact(found: Column) -> Column:
-        """Equal windows stand side by side after sorting; the hash only orders them."""
-        windows = F.transform(found, lambda h, i: F.struct(h.alias("h"), F.array_join(F.slice(words, i + 1, F.lit(WIDTH)), " ").alias("w"), i.alias("i")))
-
-        def repeated(ordered: Column) -> Column:
-            def same(x: Column, y: Column) -> Column:
-                return F.coalesce((x["h"] == y["h"]) & (x["w"] == y["w"]), F.lit(False))
+    def repeated(ordered: Column) -> Column:
+        """Equal windows stand side by side after sorting."""
+        same = lambda x, k: F.coalesce(x["h"] == F.get(ordered, k)["h"], F.lit(False))
+        twice = F.filter(ordered, lambda x, k: same(x, k + 1) | same(x, k - 1))
+        return once(F.array_sort(F.transform(twice, lambda x: x["i"])), covered)
 
-            twice = F.filter(ordered, lambda x, k: same(x, F.get(ordered, k + 1)) | ((k > 0) & same(x, F.get(ordered, F.greatest(k - 1, F.lit(0))))))
-            return once(F.array_sort(F.transform(twice, lambda x: x["i"])), covered)
+    def places(found: Column) -> Column:
+        return once(F.array_sort(F.transform(found, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), repeated)
 
-        return once(F.array_sort(windows), repeated)
-
-    # Most texts repeat no window, which the hashes alone tell.
-    counted = once(hashes, lambda found: F.when(F.size(F.array_distinct(found)) < F.size(found), exact(found)).otherwise(F.lit(0)))
-    return F.when(n >= WIDTH, counted).otherwise(F.lit(0))
+    # Most texts repeat no window, which the number of distinct ones tells.
+    counted = once(window_hashes(words), lambda found: F.when(F.size(F.array_distinct(found)) < F.size(found), places(found)).otherwise(F.lit(0)))
+    return F.when(F.size(words) >= WIDTH, counted).otherwise(F.lit(0))
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
@@ -88,16 +92,21 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
     bare = F.btrim("text", F.lit(SPACES))
     rows = rows.select("doc_id", "stratum", "text", F.when(bare == "", _none("string")).otherwise(F.split(bare, SPACE + "+")).alias("words"), F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
 
-    def left(pattern: str) -> Column:
-        return F.length(F.regexp_replace("text", pattern, "")).cast("long")
-
+    # Counted on what isn't a plain small letter or white space, mostly a small part of the text.
+    rest = F.regexp_replace("text", r"[a-z\x20\x09-\x0D]+", "")
     n_lines = F.size("lines")
     rows = rows.select(
-        "doc_id", "stratum", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        left(SYMBOLS).alias("n_symbols"), (n_lines - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), once(F.col("words"), repeated_words).cast("long").alias("n_repeat_words"),
-        n_lines.alias("n_lines"), left(r"[^\p{L}]+").alias("n_letters"), left(r"[^\p{Lu}]+").alias("n_upper"), left(r"[\p{L}\p{M}\p{N}\x20\x09-\x0D]+").alias("n_marks"), left(r"[^\p{N}]+").alias("n_digits"),
+        "doc_id", "stratum", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), rest.alias("rest"),
+        (n_lines - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), once(F.col("words"), repeated_words).cast("long").alias("n_repeat_words"), n_lines.alias("n_lines"),
     )
 
+    def left(pattern: str) -> Column:
+        return F.length(F.regexp_replace("rest", pattern, "")).cast("long")
+
+    letters = F.col("word_chars") - F.length("rest") + left(r"[^\p{L}]+")
+    rows = rows.select("doc_id", "stratum", "digest", "n_words", "word_chars", "n_dup_lines", "n_repeat_words", "n_lines", left(SYMBOLS).alias("n_symbols"), letters.alias("n_letters"), left(r"[^\p{Lu}]+").alias("n_upper"), left(r"[^\p{N}]+").alias("n_digits"))
+    rows = rows.withColumn("n_marks", F.col("word_chars") - F.col("n_letters") - F.col("n_digits"))
+
     def share(part: str, of: str) -> Column:
         return F.coalesce(F.try_divide(F.col(part).cast("double"), F.col(of).cast("double")), F.lit(0.0))
 

@@ -268,7 +268,7 @@ def test_whitening_odd_rows(spark):
     assert whitening.whiten(df.where("vec_id in (100, 101)")).count() == 0
     assert whitening.whiten(df.limit(0)).count() == 0
     vast = whitening.whiten(spark.createDataFrame([(0, [1e300, 0.0]), (1, [-1e300, 1.0]), (2, [5.0, 2.0])], "vec_id long, embedding array<double>")).collect()
-    assert {r.deviation for r in vast} == {None}
+    assert {r.vec_id: r.deviation is None for r in vast} == {0: True, 1: True, 2: False}
 
 
 @settings(max_examples=60, deadline=None)
