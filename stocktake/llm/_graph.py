@@ -13,7 +13,7 @@ from stocktake.llm._rows import stream
 
 
 #: Edges of a partition.
-EDGES = 100_000
+EDGES = 200_000
 
 
 def with_checkpoints(df: DataFrame) -> DataFrame:
@@ -78,9 +78,9 @@ def contracted(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges`` (columns ``a``, ``b``); the root is the component's smallest node.
 
-    Each partition first contracts its own edges.  Then
-    large-star and small-star steps alternate until the edges are stars.  Each
-    step takes minima by key and joins them back, so that no neighbourhood is
+    Each partition first contracts its own edges.  While that leaves more than one
+    partition's worth, large-star and small-star steps alternate until the edges are stars.
+    Each step takes minima by key and joins them back, so that no neighbourhood is
     ever gathered in one place.
     """
     e = with_checkpoints(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
@@ -88,7 +88,12 @@ def components(edges: DataFrame) -> DataFrame:
     parts = e.count() // EDGES + 1
     e = with_checkpoints(contracted(e.coalesce(parts)))
     before = _sum(e)
-    while before[0]:
+    while parts > 1:
+        if (fewer := before[0] // EDGES + 1) < parts:
+            parts = fewer
+            e = with_checkpoints(contracted(e.coalesce(parts)))
+            before = _sum(e)
+            continue
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))

@@ -15,9 +15,16 @@ Classes that share a key are compared: only those whose signatures differ in
 at most ``MOST`` places become candidates of each other.  A key's classes are
 compared outwards from one class, each time with those that none has reached
 yet, so that a key of near copies costs one comparison a class; what comes out
-are stars around the smallest class of each part that hangs together, mostly
-the same for all keys of a part.  Keys of over ``KEY_BLOCK`` classes are cut
-into blocks, every two of which meet in a task of their own.
+are stars around the smallest class of each part that hangs together.
+
+Near copies share most of their keys, which would compare them again and again.
+So the keys of the first ``FIRST`` chunks come first, and of the others only
+those whose classes the first didn't connect all.  A key of over
+``KEY_BLOCK`` classes is dealt to blocks; some pivots of it come to every
+block.  Blocks that have a common pivot in their parts are connected by it,
+which is mostly all of a family of near copies.  Then, for such keys alone, the classes that are not in the
+largest component of their key meet all other blocks of it, so that every
+pair of the key is tested or connected.
 
 Candidates that hang together are a group.  Their links are confirmed on the
 full sets, in two rounds.  First groups are dealt to blocks of bounded size, and
@@ -41,10 +48,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stocktake.llm._graph import components, settled, with_checkpoints
+from stocktake.llm._graph import components, joinable, settled, with_checkpoints
 from stocktake.llm._rows import by_group, groups, narrow, stream
 from stocktake.llm._shingles import mix, shingle_sets
 
@@ -52,8 +59,10 @@ CHUNKS, CHUNK = 13, 5
 PLACES = CHUNKS * CHUNK
 #: Places in which the signatures of candidates may differ.
 MOST = 2 * CHUNKS - 1
-#: Classes of a key that are compared in one task with as many others.
-KEY_BLOCK = 4096
+#: Classes of a key that are compared with each other in one task, and pivots that come to each block of a larger key (on average).
+KEY_BLOCK, KEY_PIVOTS = 4096, 32
+#: Chunks whose keys come first.
+FIRST = 2
 #: Shingles of a block of a group, and pivots that come to each block (on average).
 BLOCK_SHINGLES, PIVOTS = 200_000, 32
 
@@ -124,18 +133,19 @@ def shingled(docs: DataFrame, width: int) -> DataFrame:
     return stream(docs, run, "doc_id long, n_shingles long, node binary, low binary, high binary")
 
 
-def keyed(classes: DataFrame) -> DataFrame:
-    """``key, handle`` for all keys of all classes; the handle is eight bytes of the node."""
+def keyed(classes: DataFrame, first: int, last: int) -> DataFrame:
+    """``key, handle, label`` for the keys of some chunks of all classes; the handle is eight bytes of the node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = (last - first) * CHUNK
         for batch in batches:
             for a in range(0, batch.num_rows, 2000):
                 part = batch.slice(a, 2000)
                 low, high = (_matrix(part.column(c), PLACES).astype(np.uint16) for c in ("low", "high"))
-                found = keys(low | high << np.uint16(8))
-                yield pa.RecordBatch.from_arrays([pa.array(found.reshape(-1)), pa.array(np.repeat(part.column("handle").to_numpy(), PLACES))], names=["key", "handle"])
+                found = keys(low | high << np.uint16(8))[:, first * CHUNK : last * CHUNK]
+                yield pa.RecordBatch.from_arrays([pa.array(found.reshape(-1)), *(pa.array(np.repeat(part.column(c).to_numpy(), width)) for c in ("handle", "label"))], names=["key", "handle", "label"])
 
-    return stream(classes.select("handle", "low", "high"), run, "key long, handle long")
+    return stream(classes.select("handle", "label", "low", "high"), run, "key long, handle long, label long")
 
 
 def parts(low: np.ndarray) -> list[list[int]]:
@@ -157,17 +167,8 @@ def parts(low: np.ndarray) -> list[list[int]]:
     return out
 
 
-def candidate_pairs(classes: DataFrame) -> DataFrame:
-    """``a, b``: classes with a key in common and signatures that differ in at most ``MOST`` places, or others between them."""
-    by_key = keyed(classes)
-    # Nearly all keys have one class only.
-    shared = by_key.groupBy("key").agg(F.min("handle").alias("low"), F.max("handle").alias("top"), F.count(F.lit(1)).alias("n")).where("low <> top")
-    # Two nodes may have one handle; then both are compared.
-    side = classes.select("handle", "node", "low")
-    members = by_key.join(shared.select("key", F.ceil(F.col("n") / KEY_BLOCK).alias("blocks")), "key").join(side, "handle")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    tiles = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    tiles = tiles.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "node", "low")
+def compared(tiles: DataFrame) -> DataFrame:
+    """``a, b``: stars of what hangs together in each tile (``key, one, two``) of rows with ``node, low``."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -198,7 +199,61 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
         if held is not None and held.num_rows:
             yield edges(held.combine_chunks(), np.array([0, held.num_rows]))
 
-    return stream(tiles.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two"), compare, "a binary, b binary")
+    return stream(tiles.select("key", "one", "two", "node", "low").repartition("key", "one", "two").sortWithinPartitions("key", "one", "two"), compare, "a binary, b binary")
+
+
+def shared_keys(by_key: DataFrame) -> DataFrame:
+    """``key, n, blocks`` of all keys that have classes of different labels; nearly all keys have one class only."""
+    shared = by_key.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("top"), F.count(F.lit(1)).alias("n")).where("least <> top")
+    return with_checkpoints(shared.select("key", "n", F.ceil(F.col("n") / KEY_BLOCK).alias("blocks")))
+
+
+def members_of(by_key: DataFrame, shared: DataFrame, side: DataFrame) -> DataFrame:
+    """``key, n, blocks, node, low`` of the classes of some keys; of two nodes of one handle both."""
+    return by_key.select("key", "handle").join(shared, "key").join(side, "handle").select("key", "n", "blocks", "node", "low")
+
+
+def tiles_of(members: DataFrame) -> DataFrame:
+    """A block for each row, and every block for a pivot; at most ``KEY_PIVOTS`` more rows a block on average."""
+    pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(F.col("n") / KEY_PIVOTS)) == 0)
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    return members.withColumn("one", F.explode(F.when(pivot, every).otherwise(F.array(_block())))).withColumn("two", F.col("one"))
+
+
+def _block() -> Column:
+    return F.pmod(F.xxhash64("node"), F.col("blocks"))
+
+
+def outside_tiles(members: DataFrame, label: DataFrame) -> DataFrame:
+    """Of keys of several blocks whose classes aren't all connected (``node, root``): what is outside of the largest component with each block."""
+    many = members.where("blocks > 1").join(label.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    many = with_checkpoints(many)
+    counts = many.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
+    largest = counts.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("largest"), F.sum("m").alias("all"), F.max("m").alias("most")).where("most < all")
+    placed = many.join(joinable(largest.select("key", "largest", F.ceil((F.col("all") - F.col("most")) / KEY_BLOCK).alias("rows"))), "key")
+    row, column = F.pmod(F.xxhash64("node", F.lit(1)), F.col("rows")), _block()
+    at = lambda r, c: F.struct(r.alias("one"), c.alias("two"))
+    to_all = [F.transform(F.sequence(F.lit(0).cast("long"), F.col(k) - 1), f) for k, f in (("blocks", lambda c: at(row, c)), ("rows", lambda r: at(r, column)))]
+    places = F.array_distinct(F.concat(F.when(F.col("label") != F.col("largest"), to_all[0]).otherwise(F.array().cast("array<struct<one: bigint, two: bigint>>")), to_all[1]))
+    return placed.withColumn("at", F.explode(places)).select("key", "at.one", "at.two", "node", "low")
+
+
+def candidate_pairs(classes: DataFrame) -> DataFrame:
+    """``a, b``: edges that connect all classes with a key in common and signatures that differ in at most ``MOST`` places (or others between them)."""
+    side = classes.select("handle", "node", "low")
+    early = keyed(classes.withColumn("label", F.col("handle")), 0, FIRST)
+    early_keys = shared_keys(early)
+    found = settled(compared(tiles_of(members_of(early, early_keys, side))))
+    known = classes.join(components(found), "node", "left").withColumn("label", F.xxhash64(F.coalesce("root", "node")))
+    late = keyed(known, FIRST, CHUNKS)
+    late_keys = shared_keys(late)
+    found = settled(found.unionByName(compared(tiles_of(members_of(late, late_keys, side)))))
+    # Keys of several blocks are few; all others are done.
+    early_keys, late_keys = (k.where("blocks > 1") for k in (early_keys, late_keys))
+    if early_keys.isEmpty() and late_keys.isEmpty():
+        return found
+    large = members_of(early, early_keys, side).unionByName(members_of(late, late_keys, side))
+    return found.unionByName(compared(outside_tiles(large, components(found))))
 
 
 def links(sets: list[np.ndarray], share: int, sides: np.ndarray | None = None, known: np.ndarray | None = None) -> list[tuple[int, int]]:

@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from stocktake.llm import _graph
 from stocktake.llm import near_duplicates as nd
 from stocktake.llm._graph import components
 from stocktake.llm._lcp_merge import common, front_code, merge
@@ -65,6 +66,7 @@ def copies(seed=2):
 def test_near_duplicates(spark, odd, monkeypatch):
     monkeypatch.setattr(nd, "BLOCK_SHINGLES", 2_000)  # groups are cut into several blocks
     monkeypatch.setattr(nd, "KEY_BLOCK", 5)
+    monkeypatch.setattr(nd, "KEY_PIVOTS", 2)
     monkeypatch.setattr(nd, "PIVOTS", 8)
     texts = [*copies(), *odd]
     for share in (85, 80):
@@ -82,7 +84,9 @@ def test_null_and_repeated_identifiers(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, True), (0, 1, False), (1, 1, True), (1, 1, True), (2, 2, True)]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("edges_each", [200_000, 7])
+def test_components(spark, monkeypatch, edges_each):
+    monkeypatch.setattr(_graph, "EDGES", edges_each)
     rnd = random.Random(4)
     edges = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)]
     label = {}
@@ -171,6 +175,31 @@ def test_templated_documents_are_no_group(spark):
     assert sorted((r.doc_id, r.component_id) for r in got.where("not kept").collect()) == [(2000, 5), (2001, 7)]
 
 
+def test_a_family_makes_few_tile_rows(spark, monkeypatch):
+    """Rows that are compared in tiles grow with the family, not with its square."""
+    monkeypatch.setattr(nd, "KEY_BLOCK", 100)
+    monkeypatch.setattr(nd, "KEY_PIVOTS", 4)
+    rows, plain = [], nd.compared
+
+    def counted(tiles):
+        held = tiles.cache()
+        rows.append(held.count())
+        return plain(held)
+
+    monkeypatch.setattr(nd, "compared", counted)
+    rnd, a_class = random.Random(7), {}
+    base = ["w%d" % i for i in range(150)]
+    for size in (1000, 2000):
+        rows.clear()
+        texts = [" ".join("z%d" % rnd.randrange(10**6) if i == k else w for i, w in enumerate(base)) for k in (rnd.randrange(150) for _ in range(size))]
+        docs = table(spark, texts)
+        classes = nd.shingled(docs.select("doc_id", "text"), 5).groupBy("node").agg(F.first("low").alias("low"), F.first("high").alias("high")).withColumn("handle", F.xxhash64("node")).cache()
+        assert components(nd.candidate_pairs(classes)).count() == classes.count()
+        a_class[size] = sum(rows) / size
+    # Each class once for each of its 65 keys at most, and the pivots; all blocks meeting each other would make 20 times as many.
+    assert max(a_class.values()) < 65 * (1 + 2 * 4 / 100)
+
+
 def test_parts_are_what_hangs_together_within_the_distance():
     rnd = random.Random(3)
     base = [rnd.randrange(256) for _ in range(65)]
