@@ -19,7 +19,7 @@ exactly one state path.  Level by level both sides follow the edges of equal
 letters, two equi-joins with the edge table; a state whose nodes are both ends
 of words is a near pair.  A node has at most one edge a letter and a pair of words one
 path, so that no key of these joins is hot.  After ``ROUNDS`` levels the states
-that are left (long words) are finished by one equi-join on the hash of
+that are left (of long words, a small part) are finished by one equi-join on the hash of
 what remains of both words.  Hashes only propose: each pair is confirmed on the
 words themselves.
 
@@ -46,7 +46,9 @@ from stocktake.llm._rows import groups, stream
 from stocktake.llm._shingles import _place, _unplace, mix
 
 #: Levels that the frontier is followed letter by letter after the edit.
-ROUNDS = 24
+ROUNDS = 10
+#: Rows of a partition of the tables that are joined again and again, so that small ones don't make many tasks.
+ROWS = 200_000
 #: Characters of words that are hashed at once.
 AT_ONCE = 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -130,10 +132,16 @@ def edge_table(words: DataFrame) -> DataFrame:
     return every.groupBy("node", "ch", "child", "depth").agg(F.max("last").alias("last"))
 
 
+def _parts(rows: int) -> int:
+    return rows // ROWS + 1
+
+
 def neighbours(words: DataFrame) -> DataFrame:
     """``a, n_a, b, n_b``: every pair of near words of ``words`` (``word, n``) once, in either order."""
-    named = with_checkpoints(hashed(words.select("word", "n")))
-    edges = with_checkpoints(edge_table(named))
+    n_words = words.count()
+    named = with_checkpoints(hashed(words.select("word", "n").coalesce(_parts(n_words))))
+    # A trie has a few edges for each word.
+    edges = with_checkpoints(edge_table(named).coalesce(_parts(4 * n_words)))
     one, two = (edges.select("node", F.col("ch").alias(f"ch_{s}"), F.col("child").alias(s), F.col("last").alias(f"last_{s}")) for s in ("own", "other"))
     none = F.lit(-1)
     replaced = one.join(two, "node").where("ch_own < ch_other").select("own", "other", none.alias("bar"), (F.col("last_own") & F.col("last_other")).alias("near"))
@@ -141,6 +149,7 @@ def neighbours(words: DataFrame) -> DataFrame:
     ends = edges.where("last").select("child").distinct().withColumn("is_end", F.lit(True))
     inserted = edges.join(ends.withColumnRenamed("child", "node"), "node", "left").select(F.col("node").alias("own"), F.col("child").alias("other"), F.col("ch").alias("bar"), (F.col("last") & F.coalesce("is_end", F.lit(False))).alias("near"))
     states = with_checkpoints(replaced.unionByName(inserted))
+    n = states.count()
     found = [states.where("near").select("own", "other")]
     for level in range(ROUNDS):
         # After so many levels no node is less deep.
@@ -148,10 +157,13 @@ def neighbours(words: DataFrame) -> DataFrame:
         on_own = deep.select(F.col("node").alias("own"), "ch", F.col("child").alias("to_own"), F.col("last").alias("last_own"))
         on_other = deep.select(F.col("node").alias("other"), "ch", F.col("child").alias("to_other"), F.col("last").alias("last_other"))
         moved = states.join(on_own, "own").where("ch <> bar").join(on_other, ["other", "ch"])
-        states = (settled if level % 4 == 0 else with_checkpoints)(moved.select(F.col("to_own").alias("own"), F.col("to_other").alias("other"), none.alias("bar"), (F.col("last_own") & F.col("last_other")).alias("near")))
-        found.append(states.where("near").select("own", "other"))
-        if states.isEmpty():
+        moved = moved.select(F.col("to_own").alias("own"), F.col("to_other").alias("other"), none.alias("bar"), (F.col("last_own") & F.col("last_other")).alias("near"))
+        # Mostly a level has fewer states than the one before.
+        states = (settled if level % 4 == 0 else with_checkpoints)(moved.coalesce(_parts(n)))
+        n = states.count()
+        if not n:
             break
+        found.append(states.where("near").select("own", "other"))
     else:
         # Long words: what is left of both must be equal, and more than nothing.
         rest = _letters(named.where(F.length("word") > ROUNDS), ["child", "tail", "at", "last"], "child long, tail long, at long, last boolean").where("not last")
@@ -168,10 +180,11 @@ def neighbours(words: DataFrame) -> DataFrame:
 
 def roots(forms: DataFrame) -> DataFrame:
     """``word, root`` of ``word, form``, where a form is never the word's own descendant: each step doubles the distance looked ahead."""
-    now = with_checkpoints(forms.select("word", F.col("form").alias("root")))
+    parts = _parts(forms.count())
+    now = with_checkpoints(forms.select("word", F.col("form").alias("root")).coalesce(parts))
     while True:
         ahead = now.select(F.col("word").alias("root"), F.col("root").alias("beyond"))
-        joined = with_checkpoints(now.join(ahead, "root", "left").select("word", F.coalesce("beyond", "root").alias("root"), F.col("beyond").isNotNull().alias("moved")))
+        joined = with_checkpoints(now.join(ahead, "root", "left").select("word", F.coalesce("beyond", "root").alias("root"), F.col("beyond").isNotNull().alias("moved")).coalesce(parts))
         now = joined.select("word", "root")
         if joined.where("moved").isEmpty():
             return now

@@ -184,16 +184,18 @@ def found(df):
     return {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in rows}
 
 
-@pytest.mark.parametrize("rounds", [24, 2])
+@pytest.mark.parametrize("rounds", [10, 2, 400])
 def test_groups(spark, monkeypatch, rounds):
     """Short words over few letters, runs of equal letters, and long ones that only differ late."""
     monkeypatch.setattr(spelling, "ROUNDS", rounds)
+    monkeypatch.setattr(spelling, "ROWS", 500)
     rnd = random.Random(4)
+    size = 60 if rounds > 100 else 300
     words = {"".join(rnd.choice("abÿ") for _ in range(rnd.randint(5, 9))): rnd.randint(3, 60) for _ in range(400)}
     words |= {"x" * k: k for k in range(5, 12)}
-    base = "".join(rnd.choice("acgt") for _ in range(300))
+    base = "".join(rnd.choice("acgt") for _ in range(size))
     for _ in range(25):
-        i = rnd.randrange(300)
+        i = rnd.randrange(size)
         words[rnd.choice((base[:i] + "n" + base[i + 1 :], base[:i] + base[i + 1 :], base[:i] + "n" + base[i:]))] = rnd.randint(3, 9)
     words[base] = 40
     got = found(spelling.grouped(spark.createDataFrame(list(words.items()), "word string, n long")))
