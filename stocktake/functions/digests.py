@@ -1,9 +1,20 @@
-"""Digests that Spark has no built-in for, over binary columns in Arrow batches."""
+"""Digests that Spark has no built-in for.
+
+CRC-64/NVME is linear: the checksum of a whole is the exclusive or of what its
+pieces give, each moved over the bytes that follow it.  So pieces of any cut are
+computed apart and put together by ``bit_xor``.  A move over a number of bytes is
+a 64 x 64 matrix over GF(2), a product of those for powers of two.  A piece
+itself is cut into lanes that advance side by side in numpy and are joined in
+pairs by the same matrices.
+
+BLAKE2b is sequential: a content is read in order, in pieces of bounded size.
+"""
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -12,34 +23,102 @@ from pyspark.sql.types import StringType
 
 #: The reflected polynomial of CRC-64/NVME.
 _POLYNOMIAL = 0x9A6C9329AC4BC9B5
+ONES = 0xFFFFFFFFFFFFFFFF
+#: Bytes of a lane, and lanes that advance together at most.
+LANE, LANES = 512, 8192
 
 
-def _tables() -> list[list[int]]:
-    first = []
-    for b in range(256):
-        c = b
-        for _ in range(8):
-            c = (c >> 1) ^ (_POLYNOMIAL if c & 1 else 0)
-        first.append(c)
+def _tables() -> np.ndarray:
+    """What each byte gives after 1 to 8 bytes more."""
+    first = np.arange(256, dtype=np.uint64)
+    for _ in range(8):
+        first = np.where(first & np.uint64(1), (first >> np.uint64(1)) ^ np.uint64(_POLYNOMIAL), first >> np.uint64(1))
     tables = [first]
     for _ in range(7):
-        tables.append([first[x & 0xFF] ^ (x >> 8) for x in tables[-1]])
-    return tables
+        tables.append(first[tables[-1] & np.uint64(255)] ^ (tables[-1] >> np.uint64(8)))
+    return np.array(tables)
 
 
 _TABLES = _tables()
+_BYTE = np.uint64(255)
+
+
+def _times(columns: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """A matrix (the image of each bit) times some vectors."""
+    out = np.zeros_like(x)
+    for bit in range(64):
+        out ^= np.where(x >> np.uint64(bit) & np.uint64(1), columns[bit], np.uint64(0))
+    return out
+
+
+@lru_cache(maxsize=128)
+def _power(k: int) -> np.ndarray:
+    """The move over 2^k bytes: the images of the 64 bits."""
+    if k == 0:
+        bits = np.uint64(1) << np.arange(64, dtype=np.uint64)
+        return _TABLES[0][bits & _BYTE] ^ (bits >> np.uint64(8))
+    half = _power(k - 1)
+    return _times(half, half)
+
+
+def moved(raw: np.ndarray | int, n: int) -> np.ndarray | int:
+    """Raw checksums moved over ``n`` more zero bytes."""
+    x = np.array([raw], np.uint64) if isinstance(raw, int) else raw
+    k = 0
+    while n >> k:
+        if n >> k & 1:
+            x = _times(_power(k), x)
+        k += 1
+    return int(x[0]) if isinstance(raw, int) else x
+
+
+def _steps(words: np.ndarray) -> np.ndarray:
+    """The raw checksum of each row of 64-bit words."""
+    c = np.zeros(len(words), np.uint64)
+    for i in range(words.shape[1]):
+        c = c ^ words[:, i]
+        c = np.bitwise_xor.reduce([_TABLES[7 - b][c >> np.uint64(8 * b) & _BYTE] for b in range(8)])
+    return c
+
+
+def raw(data: bytes | memoryview) -> int:
+    """The checksum without its first and last inversion: that of no bytes is 0, and leading zeros change nothing."""
+    total, at, size = 0, 0, len(data)
+    while at < size:
+        lanes = min(LANES, (size - at) // LANE)
+        if lanes:
+            lanes = 1 << (lanes.bit_length() - 1)
+            n = lanes * LANE
+            c, each = _steps(np.frombuffer(data, "<u8", n // 8, at).reshape(lanes, LANE // 8)), LANE
+            while len(c) > 1:
+                c, each = moved(c[::2], each) ^ c[1::2], each * 2
+            part = int(c[0])
+        else:
+            n = size - at
+            part, first = 0, _TABLES[0]
+            for b in bytes(data[at:]):
+                part = int(first[(part ^ b) & 255]) ^ part >> 8
+        total, at = moved(total, n) ^ part, at + n
+    return total
+
+
+def piece(data: bytes | memoryview, end: int, size: int) -> int:
+    """What a piece that ends at ``end`` gives to the checksum of a content of ``size`` bytes: all pieces and :func:`frame`, by exclusive or."""
+    return moved(raw(data), size - end)
+
+
+def frame(size: int) -> int:
+    """What the inversions give to the checksum of ``size`` bytes."""
+    return moved(ONES, size) ^ ONES
 
 
 def crc64nvme_value(data: bytes) -> int:
-    """Eight bytes a step."""
-    t, c = _TABLES, 0xFFFFFFFFFFFFFFFF
-    whole = len(data) // 8 * 8
-    for word in np.frombuffer(data, "<u8", whole // 8).tolist():
-        c ^= word
-        c = t[7][c & 255] ^ t[6][c >> 8 & 255] ^ t[5][c >> 16 & 255] ^ t[4][c >> 24 & 255] ^ t[3][c >> 32 & 255] ^ t[2][c >> 40 & 255] ^ t[1][c >> 48 & 255] ^ t[0][c >> 56]
-    for b in data[whole:]:
-        c = t[0][(c ^ b) & 255] ^ (c >> 8)
-    return c ^ 0xFFFFFFFFFFFFFFFF
+    return raw(data) ^ frame(len(data))
+
+
+def encoded(value: int) -> str:
+    """A checksum in base64, most significant byte first."""
+    return base64.b64encode(value.to_bytes(8, "big")).decode()
 
 
 @pandas_udf(StringType())
@@ -50,5 +129,5 @@ def blake2b_256(content: pd.Series) -> pd.Series:
 
 @pandas_udf(StringType())
 def crc64nvme(content: pd.Series) -> pd.Series:
-    """The checksum in base64, most significant byte first; null stays null."""
-    return content.map(lambda b: None if b is None else base64.b64encode(crc64nvme_value(bytes(b)).to_bytes(8, "big")).decode())
+    """The checksum in base64; null stays null."""
+    return content.map(lambda b: None if b is None else encoded(crc64nvme_value(bytes(b))))

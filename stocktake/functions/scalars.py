@@ -58,6 +58,27 @@ def chunk_count(size: Column | str, chunk: int = CHUNK) -> Column:
     return F.ceil(_c(size) / chunk)
 
 
+def chunk_ranges(size: Column | str, context: int = 32, chunk: int = CHUNK, start: Column | int = 0, length: Column | int | None = None) -> Column:
+    """The chunks that hold some bytes of a content, by default all: ``(chunk, start, end, plain_start, plain_length)``.
+
+    ``start`` and ``end`` (exclusive) bound a chunk with its tag in the encrypted object, whose last
+    one is short; ``plain_*`` are the wanted bytes within the chunk.  Bytes beyond the end count for nothing.
+    """
+    n = _c(size)
+    first = F.lit(start).cast("long") if isinstance(start, int) else start.cast("long")
+    end = F.least(n, first + (F.lit(length).cast("long") if isinstance(length, int) else length.cast("long"))) if length is not None else n
+    kind = "array<struct<chunk: bigint, start: bigint, end: bigint, plain_start: bigint, plain_length: bigint>>"
+
+    def one(k: Column) -> Column:
+        at = F.lit(18 + context) + k * (chunk + TAG)
+        own = F.least(F.lit(chunk).cast("long"), n - k * chunk)
+        low, high = F.greatest(first - k * chunk, F.lit(0).cast("long")), F.least(end - k * chunk, own)
+        return F.struct(k.alias("chunk"), at.alias("start"), (at + own + TAG).alias("end"), low.alias("plain_start"), (high - low).alias("plain_length"))
+
+    chunks = F.sequence(F.floor(first / chunk), F.floor((end - 1) / chunk))
+    return F.when((end > first) & (first >= 0), F.transform(chunks, one).cast(kind)).otherwise(F.array().cast(kind))
+
+
 def encrypted_size(size: Column | str, context: int = 32, chunk: int = CHUNK) -> Column:
     """Header of 18 bytes and the context, the bytes themselves, and a tag for each chunk."""
     return (F.lit(18 + context) + _c(size) + chunk_count(size, chunk) * TAG).cast("long")

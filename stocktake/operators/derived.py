@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stocktake.functions import globs, scalars
+from stocktake.functions import globindex, globs, scalars
+from stocktake.sources.lineage import cut
 
 # The shape of the parameters in a derived file's name.
 PARAMS = r"\Ap[12]-[A-Za-z0-9_]+(?:-[a-z]+[0-9A-Za-z_]+)+\z"
@@ -57,27 +60,27 @@ def derived_path(original: Column | str, params: Column, digest: Column, ext: Co
     return F.concat(at, F.lit("/"), scalars.basename(original), F.lit("."), params, F.lit("."), digest, F.lit("."), ext)
 
 
-def _skips(policies: DataFrame) -> DataFrame:
-    return policies.where("action = 'skip'").select("regex")
-
-
 def skipped(sources: DataFrame, policies: DataFrame) -> DataFrame:
     """Sources that a skip policy matches, from their paths alone: they are never probed."""
-    return sources.join(_skips(policies), F.expr("path rlike regex"), "left_semi")
+    return sources.join(globindex.match(sources, policies.where("action = 'skip'"), "name").select("path").distinct(), "path", "left_semi")
+
+
+def generating(policies: DataFrame) -> DataFrame:
+    """``policy, mime_types, params, ext`` of the generating policies."""
+    return policies.where("action = 'generate'").select(F.col("name").alias("policy"), "mime_types", params_segment().alias("params"), extension("output_mime").alias("ext"))
 
 
 def resolve(sources: DataFrame, policies: DataFrame) -> DataFrame:
-    """Every generating policy (with a ``regex`` of its glob) that a probed source (``path, mime_type``) matches: ``path, policy, params, ext``.
+    """Every generating policy that a probed source (``path, mime_type``) matches: ``path, policy, params, ext``.
 
     A source that any skip policy matches has none, so that ``reconcile``
-    makes nothing for it and deletes what there is.  The policy table is
-    edited by hand and joined on a pattern, so that Spark broadcasts it while
-    it is small.
+    makes nothing for it and deletes what there is.  Globs are joined by what
+    is literal in them, all policies at once.
     """
-    sources = sources.join(_skips(policies), F.expr("path rlike regex"), "left_anti")
-    rules = policies.where("action = 'generate'").select("regex", "mime_types", F.col("name").alias("policy"), params_segment().alias("params"), extension("output_mime").alias("ext"))
-    fits = F.expr("path rlike regex") & F.exists("mime_types", lambda m: scalars.mime_matches(m, F.col("mime_type")))
-    return sources.join(rules, fits).select("path", "policy", "params", "ext")
+    hits = globindex.match(sources, policies, "name").join(policies.select(F.col("name").alias("id"), (F.col("action") == "skip").alias("skip")), "id")
+    wanted = hits.groupBy("path").agg(F.bool_or("skip").alias("skip"), F.collect_set("id").alias("ids")).where("not skip")  # a path has as many as there are policies at most
+    rules = wanted.select("path", F.explode("ids").alias("policy")).join(generating(policies), "policy")
+    return sources.join(rules, "path").where(F.exists("mime_types", lambda m: scalars.mime_matches(m, F.col("mime_type")))).select("path", "policy", "params", "ext")
 
 
 def reconcile(sources: DataFrame, resolved: DataFrame, derived: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
@@ -138,3 +141,63 @@ def orphans(derived: DataFrame, sources: DataFrame, policy_globs: list[str], ign
 def summary(steps: DataFrame) -> DataFrame:
     """Derived files in each step of one or more plans."""
     return steps.groupBy("step").agg(F.count(F.lit(1)).alias("files"))
+
+
+def plan(sources: DataFrame, policies: DataFrame, derived: DataFrame, probe: Callable[[DataFrame], DataFrame], ignore: list[str] = (), scope: str | None = None, mode: str = "state") -> DataFrame:
+    """``original_path, policy, path, step`` of a whole tree, in one call.
+
+    ``sources`` are files (``path, hash, representation``; the hash is the
+    inventory's), ``derived`` parsed names.  In this order: derived files
+    themselves, what is out of scope and what an ignore glob names is no source;
+    skip globs take a source's derived files; a source that no policy names is
+    swept; a stub keeps a preview; in mode ``ensure`` a source all of whose
+    files are there is done.  Only what is left is probed: ``probe`` adds
+    ``readable`` and ``mime_type`` to rows with ``path``.  Unreadable sources keep what they have.
+    """
+    if mode not in ("state", "ensure", "cleanup"):
+        raise ValueError(f"no such mode: {mode}")
+    inside = ~F.array_contains(F.split("path", "/"), "_thumbnail") & ~globs.matches_any("path", list(ignore))
+    rows = sources.where(inside & (globs.matches("path", scope) if scope is not None else F.lit(True))).select("path", "hash", "representation")
+    prefix = globs.literal_prefix(scope) if scope is not None else ""
+    derived = derived.where((F.col("path") >= prefix + "/") & (F.col("path") < prefix + "0")) if prefix else derived
+    known = policies.select(F.col("name").alias("id"), F.col("action"))
+    hits = cut(globindex.match(rows, policies, "name").join(known, "id").select("path", F.col("id").alias("policy"), "action"))
+    named = hits.groupBy("path").agg(F.bool_or(F.col("action") == "skip").alias("skip"))
+    tagged = rows.join(named, "path")
+    stub, skip = F.col("representation") == "stub", F.col("skip")
+    wanted = hits.where("action = 'generate'").select("path", "policy").join(generating(policies), "policy")
+    if mode == "ensure":
+        at = derived_path("path", F.col("params"), F.col("hash"), F.col("ext"))
+        expected = tagged.where(F.col("hash").isNotNull() & ~skip & ~stub).select("path", "hash").join(wanted, "path").select("path", "policy", at.alias("file"))
+        there = expected.join(derived.select(F.col("path").alias("file"), F.lit(True).alias("there")).distinct(), "file", "left")
+        done = there.groupBy("path").agg(F.bool_and(F.coalesce("there", F.lit(False))).alias("done"))
+        tagged = tagged.join(done, "path", "left")
+    else:
+        there, tagged = None, tagged.withColumn("done", F.lit(False))
+    lane = F.when(stub, "stub").when(skip, "skip").when(F.coalesce("done", F.lit(False)), "done").otherwise("probe")
+    tagged = cut(tagged.select("path", "hash", lane.alias("lane")))
+    # What the probe does is dear, so that its result is kept.
+    probed = cut(probe(tagged.where("lane = 'probe'").select("path", "hash")).select("path", "hash", F.coalesce("readable", F.lit(False)).alias("readable"), "mime_type"))
+    resolved = probed.where("readable").select("path", "mime_type").join(wanted, "path").where(F.exists("mime_types", lambda m: scalars.mime_matches(m, F.col("mime_type")))).select("path", "policy", "params", "ext")
+    steps = reconcile(probed, resolved, derived, tagged.where("lane = 'skip'"))
+    none = F.lit(None).cast("string")
+    unreadable = probed.where("not readable").select(F.col("path").alias("original_path"), none.alias("policy"), none.alias("path"), F.lit("unreadable").alias("step"))
+    stubs = stub_previews(tagged.where("lane = 'stub'"), derived).select("original_path", none.alias("policy"), "path", "step")
+    swept = derived.join(tagged.select(F.col("path").alias("original_path")), "original_path", "left_anti").select("original_path", "policy", "path", F.lit("delete").alias("step"))
+    out = steps.unionByName(unreadable).unionByName(stubs).unionByName(swept)
+    if there is not None:
+        held = there.join(tagged.where("lane = 'done'").select("path"), "path", "left_semi")
+        out = out.unionByName(held.select(F.col("path").alias("original_path"), "policy", F.col("file").alias("path"), F.lit("up_to_date").alias("step")))
+    return out
+
+
+# The counters, by the steps that they count.
+COUNTERS = {"up_to_date": "up_to_date", "to_generate": "generate", "to_regenerate": "regenerate", "to_delete": "delete", "missing_cache_entry": "missing_cache_entry", "stubbed_original": "stub_without_preview", "unreadable": "unreadable", "errors": "error"}
+
+
+def counters(steps: DataFrame) -> DataFrame:
+    """One row of counters of a whole plan (steps ``error`` are what a run adds), and ``ok`` and the exit status: without errors and stale previews of stubs."""
+    each = [F.count_if(F.col("step") == step).alias(name) for name, step in COUNTERS.items()]
+    stubs = [F.count_distinct(F.when(F.col("step") == "preserved", F.col("original_path"))).alias("stubbed_preserved"), F.count_distinct(F.when(F.col("step") == "stale_preview", F.col("original_path"))).alias("stale_stub_previews")]
+    ok = (F.col("errors") == 0) & (F.col("stale_stub_previews") == 0)
+    return steps.agg(*each, *stubs).withColumn("ok", ok).withColumn("status_code", F.when(ok, 0).otherwise(1).cast("long"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stocktake.functions import globs, scalars
+from stocktake.functions import globindex, globs, scalars
 from stocktake.operators.inventory import distinct_hashes
 
 # The outcomes.
@@ -30,13 +30,12 @@ def path_class(policies: list[tuple[str, str]], default: str, path: Column | str
 
 
 def path_class_joined(paths: DataFrame, policies: DataFrame) -> DataFrame:
-    """The same for policies in a table with a ``regex`` column: ``path, target_class``.
+    """The same for policies in a table (``id, glob, target_class, priority, is_default``): ``path, target_class``.
 
-    The policies, a table that people maintain by hand, are broadcast while
-    they are under ``spark.sql.autoBroadcastJoinThreshold``.
+    Globs meet paths by what is literal in them, an equi-join.
     """
-    rules = policies.where(~F.col("is_default")).select("regex", "target_class", F.struct(F.coalesce("priority", F.lit(-(2**62))), F.col("id")).alias("order"))
-    hits = paths.join(rules, F.expr("path rlike regex")).groupBy("path").agg(F.min_by("target_class", "order").alias("hit"))
+    rules = policies.where(~F.col("is_default")).select("id", "glob", "target_class", F.struct(F.coalesce("priority", F.lit(-(2**62))), F.col("id")).alias("order"))
+    hits = globindex.match(paths, rules).join(rules.drop("glob"), "id").groupBy("path").agg(F.min_by("target_class", "order").alias("hit"))
     default = policies.where("is_default").select(F.col("target_class").alias("fallback"))
     return paths.join(hits, "path", "left").crossJoin(F.broadcast(default)).select("path", F.coalesce("hit", "fallback").alias("target_class"))  # one row
 
@@ -58,8 +57,8 @@ def hash_class(entries: DataFrame, policies: list[tuple[str, str]], default: str
     if scope is not None:
         files = files.join(distinct_hashes(files, scope), "hash", "left_semi")
     if len(policies) > FOLDED:
-        rules = [(i, globs.glob_to_regex(glob), target, False) for i, (glob, target) in enumerate(policies)] + [(len(policies), None, default, True)]
-        table = entries.sparkSession.createDataFrame(rules, "id long, regex string, target_class string, is_default boolean").withColumn("priority", F.col("id"))
+        rules = [(i, glob, target, False) for i, (glob, target) in enumerate(policies)] + [(len(policies), None, default, True)]
+        table = entries.sparkSession.createDataFrame(rules, "id long, glob string, target_class string, is_default boolean").withColumn("priority", F.col("id"))
         files = files.join(path_class_joined(files.select("path").distinct(), table), "path")
     target = F.col("target_class") if len(policies) > FOLDED else path_class(policies, default)
     cold = files.select("hash", scalars.coldness(target).alias("cold"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stocktake.functions import globs, scalars
-from stocktake.operators.inventory import delete, differs, upsert
+from stocktake.operators.inventory import differs
 
 
 def decision(state: Column, local_hash: Column, parent: Column, known: Column, entry_hash: Column, entry_version: Column) -> Column:
@@ -36,23 +36,26 @@ def plan_sync(dirty: DataFrame, entries: DataFrame, objects: DataFrame, commit:
     matrix is asked.  Of the applied files with new content the first by path
     uploads it, the others attach; known content is a duplicate.
     """
-    alone = decide(dirty, entries)
-    gone = alone.where("state = 'deleted' and decision = 'apply'").select("path")
-    live = delete(entries, gone, "path").select(F.col("path").alias("other"), scalars.collision_key("path").alias("key"))
-    rows = alone.withColumn("key", scalars.collision_key("path"))
-    created = rows.where("state = 'created'")
+    c, e = dirty.alias("c"), entries.alias("e")
+    known = F.col("e.path").isNotNull()
+    what = decision(F.col("c.state"), F.col("c.hash"), F.col("c.parent_state_version"), known, F.col("e.hash"), F.col("e.state_version"))
+    both = c.join(e, F.col("c.path") == F.col("e.path"), "full_outer").select(F.coalesce("c.path", "e.path").alias("path"), "c.state", "c.type", "c.hash", "c.size", F.when(F.col("c.path").isNotNull(), what).alias("decision"), F.col("e.state_version").alias("entry_version"), known.alias("entry"))
+    gone = F.coalesce((F.col("state") == "deleted") & (F.col("decision") == "apply"), F.lit(False))
+    live = F.when(F.col("entry") & ~gone, F.col("path"))
     # Directories become visible at once, and so do files of known content; both may stand in the way of later rows.
-    taken = created.select("path", "key").join(live, "key").where("path <> other").select("path").distinct()
-    able = created.where("decision = 'apply'").join(taken, "path", "left_anti")
-    first = able.groupBy("key").agg(F.min("path").alias("claimed"))
-    beaten = created.join(first, "key").where("path > claimed").select("path").union(taken).distinct().withColumn("collides", F.lit(True))
-    decided = rows.join(beaten, "path", "left").withColumn("collides", F.coalesce("collides", F.lit(False)))
-    decided = decided.withColumn("reason", F.when(F.col("collides"), "case_collision").when(F.col("decision") == "conflict", "content"))
-    decided = decided.withColumn("decision", F.when(F.col("collides"), "conflict").otherwise(F.col("decision")))
-    known = objects.select("hash").withColumn("known", F.lit(True))
+    able = F.when((F.col("state") == "created") & (F.col("decision") == "apply"), F.col("path"))
+    # The variants of one path, few rows each.
+    variants = Window.partitionBy(scalars.collision_key("path"))
+    rows = both.withColumns({"least": F.min(live).over(variants), "most": F.max(live).over(variants), "claimed": F.min(able).over(variants)}).where(F.col("state").isNotNull())
+    taken = (F.col("least") != F.col("path")) | (F.col("most") != F.col("path"))
+    # Whatever is able has no live variant, unless that stands in the way of all of them.
+    beaten = F.col("least").isNull() & (F.col("path") > F.col("claimed"))
+    collides = F.coalesce((F.col("state") == "created") & (taken | beaten), F.lit(False))
+    decided = rows.withColumn("reason", F.when(collides, "case_collision").when(F.col("decision") == "conflict", "content")).withColumn("decision", F.when(collides, "conflict").otherwise(F.col("decision")))
     sends = (F.col("decision") == "apply") & (F.col("state") != "deleted") & (F.col("type") == "file")
-    firsts = decided.where(sends).groupBy("hash").agg(F.min("path").alias("owner"))
-    plan = decided.join(known, "hash", "left").join(firsts, "hash", "left")
+    # One row for each content, so that the rows of a frequent one are joined once.
+    contents = decided.where(sends).groupBy("hash").agg(F.min("path").alias("owner")).join(objects.select("hash", F.lit(True).alias("known")), "hash", "left")
+    plan = decided.join(contents, "hash", "left")
     upload = F.when(sends, F.when(F.col("known"), "dedup").when(F.col("path") == F.col("owner"), "upload").otherwise("attach"))
     stamp = F.when(F.col("state") == "deleted", None).when(F.col("decision") == "apply", F.lit(commit)).when(F.col("decision") == "noop", F.col("entry_version"))
     return plan.select("path", "state", "type", "hash", "size", "decision", "reason", upload.alias("upload"), stamp.alias("stamp"))
@@ -73,9 +76,11 @@ def upload_estimate(dirty: DataFrame, objects: DataFrame) -> DataFrame:
 
 def apply_sync(entries: DataFrame, plan: DataFrame) -> DataFrame:
     """The entries after the applied changes."""
-    done = plan.where("decision = 'apply'")
-    put = done.where("state <> 'deleted'").select("path", "type", "hash", F.col("stamp").alias("state_version"), scalars.collision_key("path").alias("normalized_path"))
-    return upsert(delete(entries, done.where("state = 'deleted'"), "path"), put, "path")
+    done = plan.where("decision = 'apply'").select("path", "state", "type", "hash", F.col("stamp").alias("state_version"), scalars.collision_key("path").alias("normalized_path"))
+    e, d = entries.alias("e"), done.alias("d")
+    both = e.join(d, F.col("e.path") == F.col("d.path"), "full_outer").where(~F.coalesce(F.col("d.state") == "deleted", F.lit(False)))
+    put = F.col("d.path").isNotNull()
+    return both.select(*(F.when(put, F.col(f"d.{k}") if k in done.columns else F.lit(None)).otherwise(F.col(f"e.{k}")).alias(k) for k in entries.columns))
 
 
 def reconcile(cache: DataFrame, plan: DataFrame) -> DataFrame:
@@ -100,6 +105,49 @@ def remote_delta(cache: DataFrame, candidate: DataFrame, excluded: DataFrame) ->
     return rows.where(F.col("change").isNotNull()).join(excluded.select("path"), "path", "left_anti")
 
 
+def ancestors(path: Column | str) -> Column:
+    """All folders above a path, the nearest last."""
+    parts = F.split(path, "/")
+    return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).otherwise(F.array().cast("array<string>"))
+
+
+def remote_apply_plan(delta: DataFrame, cache: DataFrame, candidate: DataFrame, stubs: DataFrame) -> DataFrame:
+    """``step, path, change, type, action, hash, state_version``: how each remote change is written, in order of ``step`` and then of any order.
+
+    A new file is written as a stub; a changed one too if it is nothing but a
+    stub now (its path is in ``stubs``), else it is downloaded.  Folders are made before
+    what is in them, parents first, those included that neither side has a row
+    for.  Deletions come deepest first, and a folder is removed only if
+    nothing that stays, of what is excluded from the delta too, is below it;
+    else it is kept.
+    """
+    kinds = cache.select("path", F.col("type").alias("own_type"))
+    rows = delta.join(kinds, "path", "left").join(candidate.select("path", F.col("type").alias("new_type")), "path", "left").join(stubs.select("path").distinct().withColumn("is_stub", F.lit(True)), "path", "left")
+    kind = F.when(F.col("change") == "deleted", F.col("own_type")).otherwise(F.col("new_type"))
+    rows = rows.select("path", "change", kind.alias("type"), "hash", "state_version", F.coalesce("is_stub", F.lit(False)).alias("is_stub"))
+    deleted = rows.where("change = 'deleted'").select("path")
+    stays = cache.select("path").join(deleted, "path", "left_anti").unionByName(rows.where("change <> 'deleted'").select("path"))
+    full = stays.select(F.explode(ancestors("path")).alias("path")).distinct().withColumn("full", F.lit(True))
+    written = rows.where("change <> 'deleted'")
+    folders = written.select(F.explode(ancestors("path")).alias("path")).distinct()
+    implied = folders.join(cache.where("type = 'dir'").select("path"), "path", "left_anti").join(candidate.where("type = 'dir'").select("path"), "path", "left_anti")
+    none = F.lit(None).cast("string")
+    made = implied.select("path", F.lit("implied").alias("change"), F.lit("dir").alias("type"), none.alias("hash"), none.alias("state_version"), F.lit(False).alias("is_stub"))
+    every = rows.unionByName(made).join(full, "path", "left")
+    gone, is_dir = F.col("change") == "deleted", F.col("type") == "dir"
+    action = (
+        F.when(gone & is_dir, F.when(F.col("full"), "keep_dir").otherwise("remove_dir"))
+        .when(gone, "remove")
+        .when(is_dir, "make_dir")
+        .when((F.col("change") == "created") | F.col("is_stub"), "write_stub")
+        .otherwise("download")
+    )
+    depth = F.size(F.split("path", "/"))
+    # Removals by falling depth (below zero), then folders by rising depth, then files.
+    step = F.when(gone, -depth).when(is_dir, depth).otherwise(F.lit(2**31 - 1))
+    return every.select(step.cast("long").alias("step"), "path", "change", "type", action.alias("action"), "hash", "state_version")
+
+
 def ignored_but_synced(delta: DataFrame, ignore: list[str]) -> DataFrame:
     """Created paths that an ignore policy names, with the first such glob."""
     return delta.where("change = 'created'").select("path", globs.first_match("path", ignore).alias("glob")).where(F.col("glob").isNotNull())

@@ -13,6 +13,7 @@ from stocktake.functions import globs, scalars
 from stocktake.functions.digests import blake2b_256, crc64nvme
 from stocktake.operators import changes, checks, derived, gc, inventory, storage, sync
 from stocktake.plans import fixtures as fx
+from stocktake.sources import tree
 from stocktake.sources.store import SnapshotStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,11 +40,7 @@ def _policies(v: DataFrame) -> DataFrame:
 
 
 def _generate(v: DataFrame) -> DataFrame:
-    rows = v.sparkSession.createDataFrame([dict(p) for p in fx.GENERATE], schemas.THUMBNAIL_POLICIES)
-    regex = F.lit(None).cast("string")
-    for p in fx.GENERATE:
-        regex = F.when(F.col("glob") == p["glob"], F.lit(globs.glob_to_regex(p["glob"]))).otherwise(regex)
-    return rows.withColumn("regex", regex)
+    return v.sparkSession.createDataFrame([dict(p) for p in fx.GENERATE], schemas.THUMBNAIL_POLICIES)
 
 
 _entries = fx.with_ctes(fx.V, fx.FOLDERS, fx.ENTRIES)
@@ -297,11 +294,7 @@ def path_class(v):
 
 @query("path_class_joined", SQL["path_class"])
 def path_class_joined(v):
-    rules = _policies(v)
-    regex = F.lit(None).cast("string")
-    for glob, _ in fx.POLICIES:
-        regex = F.when(F.col("glob") == glob, F.lit(globs.glob_to_regex(glob))).otherwise(regex)
-    return storage.path_class_joined(v.select("path"), rules.withColumn("regex", regex))
+    return storage.path_class_joined(v.select("path"), _policies(v))
 
 
 _hash_class = fx.with_ctes(fx.V, fx.FOLDERS, fx.ENTRIES) + f"SELECT hash, {fx.CLASS_NAME.format(f'min({fx.CLASS})')} AS target_class, min({fx.CLASS}) <> max({fx.CLASS}) AS conflicted, count(*) AS n_paths, min({fx.CLASS}) AS cold FROM entries WHERE hash IS NOT NULL GROUP BY hash"
@@ -490,7 +483,7 @@ def derived_resolve(v):
 
 def _with_skips(v):
     skip = v.sparkSession.createDataFrame([{"id": 3, "name": "off", "glob": "*/src1/**", "action": "skip"}], schemas.THUMBNAIL_POLICIES)
-    return _generate(v).unionByName(skip.withColumn("regex", F.lit(globs.glob_to_regex("*/src1/**"))))
+    return _generate(v).unionByName(skip)
 
 
 @query("derived_resolve_skips", fx.with_ctes(fx.V) + f"SELECT * FROM ({_resolved}) WHERE NOT regexp_matches(path, '^[^/]+/src1/.+$')")
@@ -579,6 +572,89 @@ def constraint_violations(v):
     return found.unionByName(schemas.validate_cache(fx.cache(v)))
 
 
+# ---- trees, ranges, whole plans ---------------------------------------------------------------
+
+
+@query("glob_scan_folder", _entries + "SELECT path, hash FROM entries WHERE regexp_matches(path, '^en/src1[0-9]/doc[^/]*[02468]\\.txt$')")
+def glob_scan_folder(v):
+    return inventory.glob_scan(fx.entries(v), "en/src1[0-9]/doc*[02468].txt").select("path", "hash")
+
+
+@query("glob_scan_alternatives", _entries + "SELECT path, hash FROM entries WHERE regexp_matches(path, '^(en|fr)/src(1|2|3)/[^/]+$')")
+def glob_scan_alternatives(v):
+    return inventory.glob_scan(fx.entries(v), "{en,fr}/src{1,2,3}/*").select("path", "hash")
+
+
+@query("ignored_but_synced_at_first", fx.with_ctes(fx.V, fx.FOLDERS, fx.ENTRIES) + f"SELECT path, CASE WHEN regexp_matches(path, '^[^/]+/src1[^/]/[^/]*5\\.txt$') THEN '*/src1?/*5.txt' ELSE 'es/src3/**' END AS glob FROM entries WHERE {fx.IGNORED}")
+def ignored_but_synced_at_first(v):
+    """A machine that has nothing yet gets everything, and is told what an ignore policy names."""
+    nothing = fx.cache(v).where("false")
+    return sync.ignored_but_synced(sync.remote_delta(nothing, fx.entries(v), nothing), fx.IGNORE)
+
+
+@query("listing_fold", fx.with_ctes(fx.V, fx.FOLDERS, fx.RAW) + """SELECT path, CASE WHEN bool_or(dir) THEN 'dir' ELSE 'file' END AS type, CASE WHEN bool_or(dir) OR NOT bool_or(stub) THEN 'real' WHEN bool_or(NOT stub) THEN 'both' ELSE 'stub' END AS representation, arg_min(mtime_ms, stub) AS mtime_ms, arg_min(size, stub) AS size
+FROM (SELECT CASE WHEN type = 'file' AND path LIKE '%.stub' THEN left(path, length(path) - 5) ELSE path END AS path, type = 'dir' AS dir, type = 'file' AND path LIKE '%.stub' AS stub, mtime_ms, size FROM raw WHERE path NOT LIKE '%/.x-tmp-%') GROUP BY path""")
+def listing_fold(v):
+    return tree.fold(fx.raw_tree(v))
+
+
+@query("listing_temporary", fx.with_ctes(fx.V, fx.FOLDERS, fx.RAW) + "SELECT path, size FROM raw WHERE path LIKE '%/.x-tmp-%'")
+def listing_temporary(v):
+    return tree.temporary(fx.raw_tree(v)).select("path", "size")
+
+
+@query("chunk_ranges", fx.with_ctes(fx.V) + """SELECT doc_id, k AS chunk, 50 + k * 1016 AS start, 50 + k * 1016 + least(1000, size - k * 1000) + 16 AS end, greatest(300 - k * 1000, 0) AS plain_start, least(least(size, 2300) - k * 1000, 1000) - greatest(300 - k * 1000, 0) AS plain_length
+FROM (SELECT doc_id, size, unnest(range(0, CAST(ceil(least(size, 2300) / 1000.0) AS BIGINT))) AS k FROM v WHERE size > 300)""")
+def chunk_ranges(v):
+    """The chunks that hold bytes 300 to 2,299 of each content."""
+    return v.select("doc_id", F.explode(scalars.chunk_ranges("size", chunk=1000, start=300, length=2000)).alias("r")).select("doc_id", "r.*")
+
+
+_remote = _both + r""", delta AS (SELECT path, c.type AS own, e.type AS new, CASE WHEN c.path IS NULL THEN 'created' WHEN e.path IS NULL THEN 'deleted' ELSE 'modified' END AS change, e.hash, e.state_version FROM cache c FULL JOIN (SELECT * FROM entries WHERE path NOT LIKE 'en/src1%') e USING (path) WHERE (c.path IS NULL OR e.path IS NULL OR c.hash IS DISTINCT FROM e.hash) AND path NOT IN (SELECT path FROM cache WHERE state <> 'unchanged')),
+stays AS (SELECT path FROM cache WHERE path NOT IN (SELECT path FROM delta WHERE change = 'deleted') UNION SELECT path FROM delta WHERE change <> 'deleted'),
+up AS (SELECT DISTINCT array_to_string(string_split(path, '/')[1:n], '/') AS path FROM (SELECT path, unnest(range(1, len(string_split(path, '/')))) AS n FROM delta WHERE change <> 'deleted'))
+SELECT CASE WHEN change = 'deleted' THEN -len(string_split(path, '/')) ELSE CASE WHEN new = 'dir' THEN len(string_split(path, '/')) ELSE 2147483647 END END AS step, path, change, coalesce(new, own) AS type,
+  CASE WHEN change = 'deleted' THEN 'remove' WHEN new = 'dir' THEN 'make_dir' WHEN change = 'created' OR path IN (SELECT path FROM v WHERE doc_id % 4 = 0) THEN 'write_stub' ELSE 'download' END AS action, hash, state_version FROM delta
+UNION ALL SELECT len(string_split(path, '/')), path, 'implied', 'dir', 'make_dir', NULL, NULL FROM up WHERE path NOT IN (SELECT path FROM entries WHERE type = 'dir' AND path NOT LIKE 'en/src1%')"""
+
+
+@query("remote_apply_plan", _remote)
+def remote_apply_plan(v):
+    cache, candidate = fx.cache(v), fx.entries(v).where("path NOT LIKE 'en/src1%'")
+    return sync.remote_apply_plan(sync.remote_delta(cache, candidate, inventory.dirty(cache)), cache, candidate, v.where("doc_id % 4 = 0").select("path"))
+
+
+def _tree_plan(v):
+    kind = F.when(F.col("doc_id") % 4 == 0, "stub").when(F.col("doc_id") % 4 == 1, "both").otherwise("real")
+    sources = v.where("doc_id % 8 <> 7").select("path", F.when(F.col("doc_id") % 17 != 3, F.col("hash")).alias("hash"), kind.alias("representation"))
+    mime = v.select("path", F.when(F.col("doc_id") % 2 == 0, "text/plain").otherwise("text/html").alias("mime_type"), (F.col("doc_id") % 19 != 4).alias("readable"))
+    return derived.plan(sources, _with_skips(v), derived.parse_names(fx.derived(v)), lambda rows: rows.join(mime, "path"), ignore=fx.IGNORE)
+
+
+_tree = _derived + f""", wanted AS ({_resolved}), s AS (SELECT doc_id, path AS original, CASE WHEN doc_id % 17 <> 3 THEN hash END AS h, CASE WHEN doc_id % 4 = 0 THEN 'stub' WHEN regexp_matches(path, '^[^/]+/src1/.+$') THEN 'skip' ELSE 'probe' END AS lane FROM v WHERE doc_id % 8 <> 7 AND NOT {fx.IGNORED}),
+src AS (SELECT original, h FROM s WHERE lane = 'probe' AND doc_id % 19 <> 4),
+held AS (SELECT p.original, p.policy, p.path, w.path IS NOT NULL AS asked, coalesce(p.has = s.h AND p.params = w.params AND p.ext = w.ext, false) AS exact FROM parsed p JOIN src s ON s.original = p.original LEFT JOIN wanted w ON w.path = p.original AND w.policy = p.policy WHERE s.h IS NOT NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY original, policy ORDER BY exact DESC, path) AS nth FROM held),
+r AS (SELECT s.original, s.h, p.path, coalesce(p.has = s.h, false) AS same FROM s LEFT JOIN parsed p USING (original) WHERE lane = 'stub'), k AS (SELECT *, row_number() OVER (PARTITION BY original ORDER BY same DESC, path) AS nth, bool_or(same) OVER (PARTITION BY original) AS any_same FROM r)
+SELECT original AS original_path, policy, path, CASE WHEN NOT asked OR nth > 1 THEN 'delete' WHEN exact THEN 'up_to_date' ELSE 'regenerate' END AS step FROM ranked
+UNION ALL SELECT s.original, w.policy, regexp_extract(s.original, '^(.*)/[^/]*$', 1) || '/_thumbnail/' || regexp_extract(s.original, '([^/]*)$', 1) || '.' || w.params || '.' || s.h || '.' || w.ext, 'generate' FROM src s JOIN wanted w ON w.path = s.original WHERE s.h IS NOT NULL AND NOT EXISTS (SELECT 1 FROM parsed p WHERE p.original = s.original AND p.policy = w.policy)
+UNION ALL SELECT original, NULL, NULL, 'missing_cache_entry' FROM src WHERE h IS NULL
+UNION ALL SELECT original, NULL, NULL, 'unreadable' FROM s WHERE lane = 'probe' AND doc_id % 19 = 4
+UNION ALL SELECT original, policy, path, 'delete' FROM parsed JOIN s USING (original) WHERE lane = 'skip'
+UNION ALL SELECT original, NULL, CASE WHEN h IS NOT NULL THEN path END, CASE WHEN h IS NULL THEN 'missing_cache_entry' WHEN path IS NULL THEN 'stub_without_preview' WHEN any_same THEN CASE WHEN nth = 1 THEN 'preserved' ELSE 'delete' END ELSE 'stale_preview' END FROM k WHERE h IS NOT NULL OR nth = 1
+UNION ALL SELECT original, policy, path, 'delete' FROM parsed WHERE original NOT IN (SELECT original FROM s)"""
+
+
+@query("derived_tree_plan", _tree)
+def derived_tree_plan(v):
+    return _tree_plan(v)
+
+
+@query("derived_counters", "SELECT *, errors = 0 AND stale_stub_previews = 0 AS ok, CAST(CASE WHEN errors = 0 AND stale_stub_previews = 0 THEN 0 ELSE 1 END AS BIGINT) AS status_code FROM (SELECT " + ", ".join(f"count(*) FILTER (step = '{step}') AS {name}" for name, step in derived.COUNTERS.items()) + f", count(DISTINCT CASE WHEN step = 'preserved' THEN original_path END) AS stubbed_preserved, count(DISTINCT CASE WHEN step = 'stale_preview' THEN original_path END) AS stale_stub_previews FROM ({_tree}))")
+def derived_counters(v):
+    return derived.counters(_tree_plan(v))
+
+
 def _content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     raw = F.col("text").cast("binary")
@@ -591,7 +667,10 @@ QUERIES["content_hash"] = _content_hash
 def _commit_cas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects after garbage collection as a commit of a snapshot store in the shared folder."""
     v = fx.documents(spark, sf_dir)
-    root = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints')}/store-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = f"{shared}/store-{uuid.uuid4().hex}"
     store = SnapshotStore.init(spark, root, {"objects": fx.objects(v), "entries": fx.entries_gc(v)})
     store.mutate(lambda now: {"objects": gc.collect_garbage(now["objects"], now["entries"])[0]})
     return store.read("objects").select("hash", "size")

@@ -79,6 +79,17 @@ def listing(v: DataFrame) -> DataFrame:
     return files.unionByName(folders)
 
 
+def raw_tree(v: DataFrame) -> DataFrame:
+    """``path, type, mtime_ms, size`` of a tree as it lies there: stubs and unfinished files of their own, folders without order."""
+    time = F.col("doc_id") * 1000.0
+    real = v.where("doc_id % 11 <> 0").select("path", F.lit("file").alias("type"), time.alias("mtime_ms"), "size")
+    stub = v.where("doc_id % 11 < 2").select(scalars.stub_path("path").alias("path"), F.lit("file").alias("type"), (time + 0.5).alias("mtime_ms"), F.lit(72).cast("long").alias("size"))
+    unfinished = F.concat(scalars.dirname("path"), F.lit("/.x-tmp-"), F.md5(F.col("hash").cast("binary")))
+    left = v.where("doc_id % 29 = 0").select(unfinished.alias("path"), F.lit("file").alias("type"), time.alias("mtime_ms"), "size")
+    folders = v.select(scalars.dirname("path").alias("path")).distinct().select("path", F.lit("dir").alias("type"), F.lit(0.0).alias("mtime_ms"), F.lit(0).cast("long").alias("size"))
+    return real.unionByName(stub).unionByName(left).unionByName(folders)
+
+
 def mirror(objects: DataFrame) -> DataFrame:
     """Files on a mirror: a third of the objects missing, some of a wrong size or content, and some that no object names."""
     last = F.substring("hash", 32, 1)
@@ -134,6 +145,7 @@ HEADS = (
     "FROM objects WHERE substr(hash, 32, 1) <> '0')"
 )
 LISTING = "listing AS (SELECT path, 'file' AS type, CASE doc_id % 11 WHEN 0 THEN 'stub' WHEN 1 THEN 'both' ELSE 'real' END AS representation, doc_id * 1000 + CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS mtime, size, CASE WHEN doc_id % 13 = 5 THEN md5(hash) ELSE hash END AS hash, md5(CASE WHEN doc_id % 13 = 5 THEN md5(hash) ELSE hash END) AS checksum FROM v WHERE doc_id % 9 <> 4 UNION ALL SELECT path, 'dir', 'real', 0, 0, NULL, NULL FROM folders)"
+RAW = "raw AS (SELECT path, 'file' AS type, doc_id * 1000.0::DOUBLE AS mtime_ms, size FROM v WHERE doc_id % 11 <> 0 UNION ALL SELECT path || '.stub', 'file', doc_id * 1000.0::DOUBLE + 0.5, 72 FROM v WHERE doc_id % 11 < 2 UNION ALL SELECT regexp_replace(path, '(?:^|/)[^/]*$', '') || '/.x-tmp-' || md5(hash), 'file', doc_id * 1000.0::DOUBLE, size FROM v WHERE doc_id % 29 = 0 UNION ALL SELECT path, 'dir', 0::DOUBLE, 0 FROM folders)"
 ENCRYPTED = "(50 + size + CAST(ceil(size / 4194304.0) AS BIGINT) * 16)"
 MIRROR = f"mirror AS (SELECT hash, {ENCRYPTED} + CASE WHEN substr(hash, 32, 1) = '2' THEN 1 ELSE 0 END AS size, CASE WHEN substr(hash, 32, 1) = '3' THEN 'x' ELSE ciphertext_checksum END AS checksum FROM objects WHERE substr(hash, 30, 1) NOT IN ('0', '1', '2', '3', '4') UNION ALL SELECT md5(hash), 1, 'y' FROM objects WHERE substr(hash, 32, 1) = '4')"
 DELETIONS = "deletions AS (SELECT doc_id * 10 + k AS id, path, hash, 'v' || k AS introduced_in_version, 'v' || (k + 1) AS deleted_in_version FROM (SELECT *, unnest(range(0, doc_id % 3 + 1)) AS k FROM v WHERE doc_id % 5 = 0))"

@@ -1,4 +1,7 @@
 import hashlib
+import json
+import os
+import threading
 
 import pytest
 
@@ -22,16 +25,124 @@ def test_store(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         SnapshotStore.attach(spark, str(tmp_path / "none"))
     # Committing the very same snapshot again is no conflict.
-    assert store._child(first) == second
     assert SnapshotStore.attach(spark, root).current() == second
     assert store.commit(first, {"r": rows}, stamp=second) == second and store.read("r").count() == 2
     with pytest.raises(Conflict):
         store.commit(second, {"r": rows}, stamp=first)
-    # An attempt that stopped before the pointer moved can be made again.
+    # An attempt that stopped before it was published can be made again.
     rows.write.parquet(f"{root}/states/v-left/r")
     assert store.commit(second, {"r": rows.union(rows).union(rows)}, stamp="v-left") == "v-left" and store.read("r").count() == 3
 
 
+def test_unchanged_relations_are_shared(spark, tmp_path):
+    root = tmp_path / "store"
+    rows = spark.createDataFrame([(1,)], "x int")
+    store = SnapshotStore.init(spark, str(root), {"a": rows, "b": rows})
+    first = store.current()
+    second = store.mutate(lambda now: {"a": now["a"].union(now["b"])})
+    assert os.listdir(root / "states" / second) == ["a"]
+    assert (store.read("a").count(), store.read("b").count(), store.relations()) == (2, 1, ["a", "b"])
+    assert store._manifest(second)["b"] == store._manifest(first)["b"]
+    third = store.commit(second, {"c": rows}, drop=["a"])
+    assert store.relations() == ["b", "c"] and store.relations(first) == ["a", "b"]
+    with pytest.raises(FileNotFoundError):
+        store.read("a", "no such version")
+    assert store.versions() == [first, second, third]
+
+
+def test_reads_cost_the_same_at_many_versions(spark, tmp_path, monkeypatch):
+    """The log is laid down by hand; what counts is how many files are looked at."""
+    store = SnapshotStore.init(spark, str(tmp_path / "store"), {"r": spark.createDataFrame([(1,)], "x int")})
+    (tmp_path / "store/.newest.crc").unlink()
+    first, looked = store.current(), []
+    exists, read = store._exists, store._read
+    monkeypatch.setattr(store, "_exists", lambda name: looked.append(name) or exists(name))
+    monkeypatch.setattr(store, "_read", lambda name: looked.append(name) or read(name))
+    cost = {}
+    for upto in (300, 10_000):
+        for i in range(len(os.listdir(tmp_path / "store/commits")) + 1, upto + 1):
+            (tmp_path / f"store/commits/{i:012d}").write_text(json.dumps({"stamp": f"s{i}", "parent": first if i == 2 else f"s{i - 1}"}))
+            if i % 100 == 0:
+                (tmp_path / "store/compacted").mkdir(exist_ok=True)
+                (tmp_path / f"store/compacted/{i:012d}").write_text(json.dumps({"stamps": [first, *(f"s{k}" for k in range(2, i + 1))]}))
+        (tmp_path / "store/newest").write_text(json.dumps({"number": upto - 3}))
+        looked.clear()
+        assert store.current() == f"s{upto}"
+        cost[upto] = len(looked)
+        (tmp_path / "store/newest").unlink()
+        looked.clear()
+        assert store.current() == f"s{upto}" and len(looked) <= 40
+        looked.clear()
+        assert len(store.versions()) == upto and len(looked) <= 150
+    assert cost[300] == cost[10_000] <= 8
+    assert store.read("r", first).count() == 1
+
+
+def test_a_torn_commit_is_burnt(spark, tmp_path):
+    root = str(tmp_path / "store")
+    rows = spark.createDataFrame([(1,)], "x int")
+    store = SnapshotStore.init(spark, root, {"r": rows})
+    first = store.current()
+    (tmp_path / "store/commits/000000000002").write_text("")
+    assert store.current() == first and store.read("r").count() == 1
+    second = store.commit(first, {"r": rows.union(rows)})
+    assert SnapshotStore.attach(spark, root).versions() == [first, second] and store.read("r").count() == 2
+    # A hint that can't be read, or that is ahead of the log, does no harm.
+    for hint in ("", '{"number": 900}'):
+        (tmp_path / "store/newest").write_text(hint)
+        assert store.current() == second
+
+
+def test_a_crash_before_publication_leaves_nothing(spark, tmp_path):
+    rows = spark.createDataFrame([(1,)], "x int")
+    store = SnapshotStore.init(spark, str(tmp_path / "store"), {"r": rows})
+    first = store.current()
+
+    def crash(made, name):
+        raise RuntimeError("power")
+
+    with pytest.raises(RuntimeError):
+        SnapshotStore(spark, str(tmp_path / "store"), publish=crash).commit(first, {"r": rows.union(rows)}, stamp="s2")
+    assert store.versions() == [first] and store.read("r").count() == 1
+    assert store.commit(first, {"r": rows.union(rows)}, stamp="s2") == "s2" and store.read("r").count() == 2
+
+
+def test_of_two_writers_one_wins(spark, tmp_path):
+    root, rows = str(tmp_path / "store"), spark.createDataFrame([(1,)], "x int")
+    store = SnapshotStore.init(spark, root, {"r": rows})
+    first, ready, out = store.current(), threading.Barrier(4), []
+
+    def write(k):
+        own = SnapshotStore(spark, root)
+        try:
+            out.append(own.commit(first, {f"r{k}": rows}, before_swap=ready.wait))
+        except Conflict:
+            out.append(None)
+
+    threads = [threading.Thread(target=write, args=(k,)) for k in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(timeout=120)
+    won = [x for x in out if x]
+    assert len(out) == 4 and len(won) == 1 and store.versions() == [first, won[0]]
+
+
+def test_unknown_file_systems_are_refused(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path))
+
+    class Other:
+        def getUri(self):
+            return self
+
+        def getScheme(self):
+            return "ftp"
+
+    store._fs = Other()
+    with pytest.raises(ValueError, match="ftp"):
+        store._publisher()
+
+
 def test_lost_race_is_done_again(spark, tmp_path):
     store = SnapshotStore.init(spark, str(tmp_path / "store"), {"r": spark.createDataFrame([(1,)], "x int")})
     races = [2]
