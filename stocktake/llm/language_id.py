@@ -14,6 +14,11 @@ and shuffled ones): first a temperature, then the threshold under which a text
 is rejected.  At most ``reject_share`` of the rightly named rows stay under it; below
 that it lies half way (of the logarithms) to the scores of the shuffled rows.
 
+What was never learned (other languages and scripts, codes) may fall on any side of the softmax.  So the
+n-grams of the learned rows are remembered by a finer hash, and a text is also rejected
+if it has more unknown ones than the rows kept apart make plausible: over four
+standard deviations, and three, above the share that all but ``reject_share`` of them stay under.
+
 Null texts and texts without a letter get ``und``, score 0, and are rejected.
 Rows without a language are predicted but not learned from.  Without any
 labelled row, every text is ``und``.  Very long texts are taken whole, in
@@ -36,6 +41,8 @@ from stocktake.llm._rows import map_texts, stream
 
 UNKNOWN = "und"
 BITS = 15
+#: Bits of the finer hash, whose first ones are the bucket's.
+FINE = 20
 ORDERS = (2, 3, 4)
 DIMENSIONS = 16
 #: Code points that are hashed at once.
@@ -59,61 +66,77 @@ def code_points(text: str) -> np.ndarray:
 
 def buckets(chars: np.ndarray, n: int) -> np.ndarray:
     """Bucket of the n-gram at each start; ``1 << BITS`` where it holds no letter or spans words."""
+    return fine(chars, n) >> (FINE - BITS)
+
+
+def fine(chars: np.ndarray, n: int) -> np.ndarray:
+    """The same by the finer hash, ``1 << FINE`` instead."""
     count = len(chars) - n + 1
     h = chars[:count] * np.uint32(0x9E3779B1)
     for k in range(1, n):
         h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B) + chars[k : k + count]
     h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
-    out = (h >> np.uint32(32 - BITS)).astype(np.int32)
+    out = (h >> np.uint32(32 - FINE)).astype(np.int32)
     if n == 2:
         wrong = (chars[:count] == 32) & (chars[1:] == 32)
     else:
         wrong = chars[1 : 1 + count] == 32
         for k in range(2, n - 1):
             wrong |= chars[k : k + count] == 32
-    out[wrong] = 1 << BITS
+    out[wrong] = 1 << FINE
     return out
 
 
 @dataclass(frozen=True)
 class Model:
-    """``table``: a row of class scores for each bucket, the last one zero; the last class is no language."""
+    """``table``: a row of class scores for each bucket, the last one zero; the last class is no language.  ``seen``: whether a finer hash was learned."""
 
     languages: tuple[str, ...]
     table: np.ndarray
     bias: np.ndarray
     temperature: float
     threshold: float
+    seen: np.ndarray
+    rate: float
 
-    def sums(self, texts: list[str]) -> Iterator[tuple[np.ndarray, int, bool]]:
-        """For each text: summed class scores, n-grams, whether it has a letter."""
-        known, width, none = letters(), max(ORDERS), 1 << BITS
+    def sums(self, texts: list[str]) -> Iterator[tuple[np.ndarray, int, int, bool]]:
+        """For each text: summed class scores, n-grams, those that weren't learned, whether it has a letter."""
+        known, width, none = letters(), max(ORDERS), 1 << FINE
         piece = max(20_000, min(PIECE, 8_000_000 // max(1, len(self.languages))))
         for text in texts:
             chars = known[np.concatenate(([32], code_points(text), [32]))]
-            total, grams = np.zeros(len(self.bias)), 0
+            total, grams, new = np.zeros(len(self.bias)), 0, 0
             has = bool((chars != 32).any())
             for a in range(0, len(chars) if has else 0, piece):
                 part = chars[a : a + piece + width - 1]
                 for n in ORDERS:
                     if len(part) >= n:
-                        b = buckets(part, n)[:piece]
-                        total += self.table[b].sum(axis=0, dtype=np.float64)
-                        grams += int((b != none).sum())
-            yield total, grams, has
-
-    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        names, scores = [], []
-        for total, grams, has in self.sums(texts):
+                        b = fine(part, n)[:piece]
+                        total += self.table[b >> (FINE - BITS)].sum(axis=0, dtype=np.float64)
+                        own = int((b != none).sum())
+                        grams, new = grams + own, new + own - int(self.seen[b].sum())
+            yield total, grams, new, has
+
+    def strange(self, grams: int, new: int) -> bool:
+        """Whether a text has more unknown n-grams than texts of the learned languages have."""
+        expected = self.rate * grams
+        return new > expected + 4 * expected**0.5 + 3
+
+    def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[bool]]:
+        """Language, score, and whether the text is rejected."""
+        names, scores, rejected = [], [], []
+        for total, grams, new, has in self.sums(texts):
             if not has or not self.languages:
                 names.append(UNKNOWN)
                 scores.append(0.0)
+                rejected.append(True)
                 continue
             p = softmax((total / max(1, grams) + self.bias) / self.temperature)[: len(self.languages)]
             best = int(p.argmax())
             names.append(self.languages[best])
             scores.append(float(p[best]))
-        return names, scores
+            rejected.append(scores[-1] < self.threshold or self.strange(grams, new))
+        return names, scores, rejected
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -129,6 +152,13 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return found, (counts / max(1, counts.sum())).astype(np.float32)
 
 
+def grams_of(text: str) -> np.ndarray:
+    """The finer hashes of all n-grams of a text."""
+    chars = letters()[np.concatenate(([32], code_points(text), [32]))]
+    every = np.concatenate([fine(chars, n) for n in ORDERS if len(chars) >= n] or [np.zeros(0, np.int32)])
+    return every[every < 1 << FINE]
+
+
 def shuffled(text: str, draw: np.random.Generator) -> str:
     """The text with its letters in another order; all else stays in its place."""
     chars = np.array(list(text))
@@ -150,16 +180,25 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 1.0
     """Fit on four fifths of the rows; calibrate on the others."""
     names = tuple(sorted(set(langs)))
     if not names:
-        return Model((), np.zeros(((1 << BITS) + 1, 0), np.float32), np.zeros(0), 1.0, 0.0)
+        return Model((), np.zeros(((1 << BITS) + 1, 0), np.float32), np.zeros(0), 1.0, 0.0, np.zeros((1 << FINE) + 1, bool), 0.0)
     draw = np.random.default_rng(seed)
     number = {name: k for k, name in enumerate(names)}
     classes = len(names) + 1
-    rows = []
+    rows, seen, apart = [], np.zeros((1 << FINE) + 1, bool), []
     for i, (text, lang) in enumerate(zip(texts, langs, strict=True)):
         for x, real in examples(text, draw):
             f = features(x)
             if len(f[0]):
                 rows.append((f, number[lang] if real else len(names), i % 5 == 0))
+            if i % 5 or len(texts) < 5:
+                if real:
+                    seen[grams_of(x)] = True
+            elif real:
+                apart.append(x)
+    seen[-1] = False
+    counts = [(len(g), int(len(g) - seen[g].sum())) for g in map(grams_of, apart)]
+    rates = sorted(new / n for n, new in counts if n >= 100)
+    unknown = max(0.005, rates[min(len(rates) - 1, int((1 - reject_share) * len(rates)))] if rates else 1.0)
     embed = ((draw.random((1 << BITS, DIMENSIONS)) - 0.5) / DIMENSIONS).astype(np.float32)
     weights, bias = np.zeros((DIMENSIONS, classes), np.float32), np.zeros(classes, np.float32)
     fit = [r for r in rows if not r[2]] or rows
@@ -189,12 +228,12 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 1.0
     right, none = np.sort(top[best == y]), top[y == len(names)]
     limit = float(right[int(reject_share * len(right))]) if len(right) else 0.0
     below = float(np.quantile(none, 0.95)) if len(none) else limit
-    return Model(names, table, bias.astype(np.float64), heat, float(np.sqrt(limit * below)) if below < limit else limit)
+    return Model(names, table, bias.astype(np.float64), heat, float(np.sqrt(limit * below)) if below < limit else limit, seen, unknown)
 
 
 def sample(docs: DataFrame, usable: Column, total_rows: int, longest: int, id_col: str, text_col: str, lang_col: str) -> tuple[list[str], list[str]]:
     """About ``total_rows`` labelled rows (20 for each language at least), evenly over the languages, chosen by a hash of the identifier."""
-    labelled = docs.where(usable & F.col(lang_col).isNotNull() & (F.col(lang_col) != ""))
+    labelled = docs.where(usable & F.col(lang_col).isNotNull())
     # One row for each language.
     sizes = {r[0]: r[1] for r in labelled.groupBy(F.col(lang_col).alias("lang")).count().collect()}
     if not sizes:
@@ -220,8 +259,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         own = held.value
 
         def work(rest, texts):
-            names, scores = own.predict([t or "" for t in texts])
-            return [rest[0], names, scores, [n == UNKNOWN or s < own.threshold for n, s in zip(names, scores, strict=True)]]
+            return [rest[0], *own.predict([t or "" for t in texts])]
 
         return work
 
@@ -237,7 +275,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
         for batch in batches:
-            names, scores = own.predict([t or "" for t in batch.column(text_col).to_pylist()])
-            yield batch.filter(pa.array([n != UNKNOWN and s >= own.threshold for n, s in zip(names, scores, strict=True)], pa.bool_()))
+            rejected = own.predict([t or "" for t in batch.column(text_col).to_pylist()])[2]
+            yield batch.filter(pa.array([not r for r in rejected], pa.bool_()))
 
     return stream(docs, run, docs.schema)

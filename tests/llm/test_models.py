@@ -23,6 +23,31 @@ DATA = "/root/testdata/sf0.001"
 
 # ---- language ---------------------------------------------------------------------------------
 
+#: Texts of no learned language: Russian, Chinese, Greek, Italian, Dutch, and codes.
+FOREIGN = (
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+    "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。",
+    "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα.",
+    "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza.",
+    "Alle mensen worden vrij en gelijk in waardigheid en rechten geboren. Zij zijn begiftigd met verstand en geweten.",
+    "QWxsIGh1bWFuIGJlaW5ncyBhcmUgYm9ybiBmcmVlIGFuZCBlcXVhbCBpbiBkaWduaXR5IGFuZCByaWdodHMuIFRoZXkgYXJl",
+    "def train(rows, epochs=4):\n    for k in range(epochs):\n        loss = model.step(rows[k], lr=0.1)\n    return loss",
+)
+
+
+def test_foreign_texts_are_rejected_and_clean_ones_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = language_id.fit(docs, ~held_out)
+    assert model.predict(list(FOREIGN))[2] == [True] * len(FOREIGN)
+    rows = language_id.identify(docs.where(held_out), model)
+    assert rows.where("rejected").count() <= 0.01 * rows.count()
+    # A language that wasn't learned, told by its own n-grams.
+    for lang in ("de", "fr", "es"):
+        other = language_id.fit(docs, ~held_out & (F.col("lang") != lang))
+        own = language_id.identify(docs.where(held_out & (F.col("lang") == lang)), other)
+        assert own.where("rejected").count() >= 0.9 * own.count()
+
 
 def test_language_held_out_accuracy(spark):
     from stocktake.llm.queries import op1_language_id
