@@ -5,7 +5,9 @@ characters is encoded with a public byte-pair vocabulary: prose and ordinary
 identifiers need few tokens for their length, random strings need many.  A run
 with few characters per token is a span of kind ``random``, unless it is a
 digest of a known length, a UUID, a number, or an identifier made of plain
-words.  Runs inside a base span aren't reported again.
+words.  Of a run that is in part made of words, as a path or a query string, the parts
+between separators are looked at instead, so that a key isn't hidden by what surrounds it.
+Runs inside a base span aren't reported again.
 
 Null and empty texts have no spans.  Repeated rows give repeated results; an
 empty table gives an empty result; other columns are ignored.
@@ -15,7 +17,9 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_right
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import tiktoken
@@ -32,7 +36,8 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 MIN_VALUE, MIN_ACCESS = 6, 20
 _KEYWORDS = ("passw", "secret", "token", "api")
 
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_RUN, _PART = re.compile(r"[A-Za-z0-9+/_=-]{20,}"), re.compile(r"[A-Za-z0-9]{20,}")
+_SEPARATOR, _WORD = re.compile(r"[+/_=-]+"), re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{3,}")
 #: Hexadecimal characters of the common digests: MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.
 DIGEST_LENGTHS = frozenset({32, 40, 56, 64, 96, 128})
 _HEX_ONLY = re.compile(r"[0-9a-f]+|[0-9A-F]+")
@@ -49,7 +54,7 @@ def vocabulary(path: str, pattern: str) -> tiktoken.Encoding:
 
 def is_random(run: str, encoding: tiktoken.Encoding, most: float) -> bool:
     """Whether a run holds at most ``most`` characters a token and isn't a known form."""
-    if not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
+    if not any(c.isalpha() for c in run):
         return False
     if _HEX_ONLY.fullmatch(run) and len(run) in DIGEST_LENGTHS or _UUID.fullmatch(run) or _PLAIN_WORDS.fullmatch(run):
         return False
@@ -65,11 +70,20 @@ def spans_of(text: str, encoding: tiktoken.Encoding, most: float) -> list[tuple[
     if "AKIA" in text:
         found += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
-    base = list(found)
+    # A run is inside a base span if one that begins no later ends no earlier.
+    found.sort(key=lambda x: x[1])
+    starts, reach = [x[1] for x in found], list(accumulate((x[2] for x in found), max))
     for m in _RUN.finditer(text):
-        a, b = m.span()
-        if not any(s <= a and b <= e for _, s, e in base) and is_random(m[0], encoding, most):
-            found.append(("random", a, b))
+        plain = sum(len(x) for x in _SEPARATOR.split(m[0]) if _WORD.fullmatch(x))
+        parts = [m] if 3 * plain < len(m[0]) else _PART.finditer(m[0])
+        for p in parts:
+            if not is_random(p[0], encoding, most):
+                continue
+            a = p.start() + (0 if p is m else m.start())
+            b = a + len(p[0])
+            at = bisect_right(starts, a)
+            if not at or reach[at - 1] < b:
+                found.append(("random", a, b))
     order = {k: i for i, k in enumerate((*KINDS, "random"))}
     return sorted(found, key=lambda s: (s[1], order[s[0]]))
 

@@ -1,6 +1,8 @@
 import collections
+import hashlib
 import math
 import re
+import time
 import zlib
 from functools import lru_cache
 
@@ -312,6 +314,56 @@ def test_secrets(spark, odd):
     assert secrets.find_secrets(table(spark, texts).limit(0), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
 
 
+def test_keys_without_digits_and_within_paths():
+    encoding, key = secrets.vocabulary(P.path("byte_bpe_50k.tiktoken"), P.PATTERN), "q9Zx7Lr2Vw8Kp4Tn6Yb3Hd5"
+
+    def of(text):
+        return [text[a:b] for k, a, b in secrets.spans_of(text, encoding, 2.2) if k == "random"]
+
+    assert of("qWzXkPvBnMtRyGhJdFsLcQwZ") == ["qWzXkPvBnMtRyGhJdFsLcQwZ"]
+    assert of(f"see https://host/customers/accounts/archive/information/{key}/download for it") == [key]
+    assert of(f"?session_information_of_the_customer={key}") == [key]
+    for plain in ("customerAccountNumberFinalVersion", "internationalisation", "the_name_of_the_variable", "/usr/share/documents/information/archive", "=" * 40, "1234567890" * 4, "INTERNATIONALISATION"):
+        assert of(plain) == []
+
+
+def test_many_runs_and_base_spans():
+    """Twice as many take about twice as long."""
+    encoding, took = secrets.vocabulary(P.path("byte_bpe_50k.tiktoken"), P.PATTERN), []
+    for n in (4_000, 16_000):
+        text = " ".join(f"token={i:06d} q9Zx7Lr2Vw8Kp4Tn6Y{i:06d}" for i in range(n))
+        began = time.process_time()
+        assert len(secrets.spans_of(text, encoding, 2.2)) == 2 * n
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0]
+
+
+def test_secrets_query(spark):
+    """Base spans by the plain patterns, and the ratio of each further span, text by text."""
+    from stocktake.llm.queries import op8_secrets
+
+    folder = "/root/testdata/sf0.01"
+    encoding = secrets.vocabulary(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    plain = (("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII), lambda m: len(m[2]) >= 6), ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24))
+    rows = op8_secrets(spark, folder).collect()
+    assert {r.doc_id for r in rows} == set(texts)
+    more = 0
+    for r in rows:
+        text = texts[r.doc_id]
+        base = sorted((m.start(), i, m.end(), k) for i, (k, p, good) in enumerate(plain) for m in p.finditer(text) if good(m))
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(b[3] == k for b in base) for k, _, _ in plain)
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{e}" for a, _, e, k in base).encode()).hexdigest()
+        every = [x.split(":") for x in r.spans.split(",")] if r.spans else []
+        assert {(k, int(a), int(e)) for k, a, e in every if k != "random"} == {(k, a, e) for a, _, e, k in base} and len(every) == r.n_spans
+        for k, a, e in every:
+            if k == "random":
+                run = text[int(a) : int(e)]
+                more += 1
+                assert len(run) <= 2.2 * len(encoding.encode_ordinary(run)) and not any(s <= int(a) and int(e) <= x for s, _, x, _ in base)
+    assert sum(r.n_assign + r.n_access + r.n_hex for r in rows) > 5
+
+
 # ---- language model ---------------------------------------------------------------------------
 
 
