@@ -19,8 +19,8 @@ exactly one state path.  Level by level both sides follow the edges of equal
 letters, two equi-joins with the edge table; a state whose nodes are both ends
 of words is a near pair.  A node has at most one edge a letter and a pair of words one
 path, so that no key of these joins is hot.  After ``ROUNDS`` levels the states
-that are left (of long words, a small part) are finished by one equi-join on the hash of
-what remains of both words.  Hashes only propose: each pair is confirmed on the
+that are left (those of words with an early edit and a long rest) are finished by one equi-join on the hash of
+what remains of both words, so that the number of joins doesn't follow the longest word.  Hashes only propose: each pair is confirmed on the
 words themselves.
 
 A word's form is its most frequent near word, if that is at least twice as
@@ -46,7 +46,7 @@ from stocktake.llm._rows import groups, stream
 from stocktake.llm._shingles import _place, _unplace, mix
 
 #: Levels that the frontier is followed letter by letter after the edit.
-ROUNDS = 10
+ROUNDS = 6
 #: Rows of a partition of the tables that are joined again and again, so that small ones don't make many tasks.
 ROWS = 200_000
 #: Characters of words that are hashed at once.
@@ -165,8 +165,8 @@ def neighbours(words: DataFrame) -> DataFrame:
             break
         found.append(states.where("near").select("own", "other"))
     else:
-        # Long words: what is left of both must be equal, and more than nothing.
-        rest = _letters(named.where(F.length("word") > ROUNDS), ["child", "tail", "at", "last"], "child long, tail long, at long, last boolean").where("not last")
+        # What is left of both must be equal, and more than nothing; no node is less deep than the rounds.
+        rest = _letters(named.where(F.length("word") > ROUNDS), ["child", "tail", "at", "last", "depth"], "child long, tail long, at long, last boolean, depth int").where((F.col("depth") >= ROUNDS - 1) & ~F.col("last"))
         mine = states.join(rest.select(F.col("child").alias("own"), "tail", F.col("at").alias("at_own")), "own")
         yours = states.join(rest.select(F.col("child").alias("other"), "tail", F.col("at").alias("at_other")), "other").select("own", "other", "tail", "at_other")
         found.append(mine.join(yours, ["own", "other", "tail"]).select(F.col("at_own").alias("own"), F.col("at_other").alias("other")))
