@@ -174,8 +174,12 @@ def test_storage_policies(spark):
     assert [r.id for r in policies.listed(rows).collect()] == [1, 2, 3]
     assert policies.next_priority(rows).first()[0] == 2 and policies.next_priority(rows.limit(0)).first()[0] == 0
     assert schemas.validate_storage_policies(rows).isEmpty() and schemas.validate_storage_policies(rows.where("id < 3")).count() == 1
-    assert {r.id for r in policies.remove(rows, 3).collect()} == {1, 2, 3} and policies.remove(rows, 1).count() == 2
-    changed = policies.update(rows, 3, {"glob": "x", "target_class": "GLACIER"}).where("id = 3").first()
+    # What is fixed about the default policy is refused, not left out in silence.
+    for refused in (lambda: policies.remove(rows, 3), lambda: policies.update(rows, 3, {"glob": "x"}), lambda: policies.update(rows, 3, {"priority": 1})):
+        with pytest.raises(policies.Refused):
+            refused()
+    assert policies.remove(rows, 1).count() == 2
+    changed = policies.update(rows, 3, {"target_class": "GLACIER"}).where("id = 3").first()
     assert (changed.glob, changed.target_class) == (None, "GLACIER")
     made = policies.create(rows, {"id": None, "glob": "c", "target_class": "GLACIER", "priority": 5, "is_default": False})
     assert made.agg(F.max("id")).first()[0] == 4
