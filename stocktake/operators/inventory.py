@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stocktake.functions import globs, scalars
+from stocktake.sources.lineage import cut
 
 #: Sampled paths for each range of numbered deletions.
 PER_RANGE = 16
@@ -87,25 +88,32 @@ def delete(base: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return base.join(keys.select(key), key, "left_anti")
 
 
-def delete_with_history(entries: DataFrame, paths: DataFrame, version: str, created_at: str, next_id: int = 1) -> tuple[DataFrame, DataFrame]:
-    """The entries that are left, and a history row for each that is gone, numbered by path.
+def numbered(rows: DataFrame, by: list[str], order: str, name: str) -> DataFrame:
+    """``rows`` with their place (from 1) in each group ``by`` in the order of a text column; without groups, in all.
 
-    Deletions are dealt to ranges of paths, between edges from a fixed sample
-    (those of the smallest hashes), so that every attempt has the same ranges.
-    A number is the place within the range after all rows of earlier ranges.
+    Rows are dealt to ranges of ``order``, between edges from a fixed sample
+    (those of the smallest hashes), so that every attempt has the same ranges
+    and a group of any size is numbered by many tasks.  A number is the place
+    within the range after all rows of the group in earlier ranges.  ``rows``
+    is read three times; ties are numbered in any order.
     """
-    gone = lookup(entries, paths, "path")
-    ranges = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sample = gone.select("path").orderBy(F.xxhash64("path"), "path").limit(ranges * PER_RANGE)
-    edges = sample.agg(F.filter(F.sort_array(F.collect_list("path")), lambda p, i: i % PER_RANGE == PER_RANGE - 1).alias("_edges"))
-    ranged = gone.crossJoin(F.broadcast(edges)).withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col("path")))).drop("_edges")  # one row
-    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    before = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows")).select("_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
-    order = Window.partitionBy("_range").orderBy("path")
-    history = ranged.join(before, "_range").select(
-        (F.row_number().over(order) + F.col("_before") + (next_id - 1)).cast("long").alias("id"), "path", "type", "hash",
-        F.col("state_version").alias("introduced_in_version"), F.lit(version).alias("deleted_in_version"), F.lit(created_at).alias("created_at"),
-    )
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sample = rows.select(order).orderBy(F.xxhash64(order), order).limit(ranges * PER_RANGE)
+    edges = sample.agg(F.filter(F.sort_array(F.collect_list(order)), lambda p, i: i % PER_RANGE == PER_RANGE - 1).alias("_edges"))
+    ranged = rows.crossJoin(F.broadcast(edges)).withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col(order)))).drop("_edges")  # one row
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range at most
+    before = ranged.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_rows")).select(*(F.col(c).alias(f"_{c}") for c in by), F.col("_range").alias("_at"), F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    same = F.col("_range") == F.col("_at")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    place = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(order)) + F.col("_before")
+    return ranged.join(before, same).select(*rows.columns, place.cast("long").alias(name))
+
+
+def delete_with_history(entries: DataFrame, paths: DataFrame, version: str, created_at: str, next_id: int = 1) -> tuple[DataFrame, DataFrame]:
+    """The entries that are left, and a history row for each that is gone, numbered by path."""
+    gone = numbered(cut(lookup(entries, paths, "path")), [], "path", "_nth")
+    history = gone.select((F.col("_nth") + (next_id - 1)).alias("id"), "path", "type", "hash", F.col("state_version").alias("introduced_in_version"), F.lit(version).alias("deleted_in_version"), F.lit(created_at).alias("created_at"))
     return delete(entries, paths, "path"), history
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stocktake.functions import globs, scalars
-from stocktake.operators.inventory import differs
+from stocktake.operators.inventory import differs, numbered
 
 
 def decision(state: Column, local_hash: Column, parent: Column, known: Column, entry_hash: Column, entry_version: Column) -> Column:
@@ -154,8 +154,8 @@ def ignored_but_synced(delta: DataFrame, ignore: list[str]) -> DataFrame:
 
 
 def claims(rows: DataFrame) -> DataFrame:
-    """``row_number`` over each content by path: 1 is the one that uploads."""
-    return rows.withColumn("claim", F.row_number().over(Window.partitionBy("hash").orderBy("path")).cast("long"))
+    """The place of each row among those of its content, by path: 1 is the one that uploads."""
+    return numbered(rows, ["hash"], "path", "claim")
 
 
 def remote_summary(delta: DataFrame) -> DataFrame:

@@ -130,6 +130,16 @@ def test_folders_go_last_and_come_first(spark):
     assert {r.path: r.change for r in rows}["new"] == "implied"
 
 
+def test_a_frequent_content_is_numbered_by_many_tasks(spark):
+    rows = spark.range(3000).selectExpr("concat('p', id) path", "CASE WHEN id % 3 < 2 THEN 'hot' WHEN id % 7 = 0 THEN null ELSE concat('h', id % 50) END hash")
+    got, groups = sync.claims(rows).collect(), {}
+    for r in got:
+        groups.setdefault(r.hash, []).append((r.path, r.claim))
+    assert len(got) == 3000 and len(groups["hot"]) == 2000
+    for own in groups.values():
+        assert [c for _, c in sorted(own)] == list(range(1, len(own) + 1))
+
+
 # ---- plans ------------------------------------------------------------------------------------
 
 
