@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stocktake.functions import globs, scalars
 from stocktake.operators.inventory import differs
+from stocktake.sources.lineage import cut
 
 
 def fold_listing(files: DataFrame) -> DataFrame:
@@ -113,3 +114,19 @@ def scan_estimate(listing: DataFrame, cache: DataFrame) -> DataFrame:
     f = listing.alias("fs").join(cache.alias("c"), F.col("fs.path") == F.col("c.path"), "full_outer")
     read = F.coalesce(needs_hash(), F.lit(False))
     return f.agg(F.count(F.lit(1)).alias("paths"), F.count_if(read).alias("files"), F.coalesce(F.sum(F.when(read, F.col("fs.size"))), F.lit(0)).alias("bytes"))
+
+
+def apply_scan(listing: DataFrame, cache: DataFrame, last_version: str, ignore: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """The inventory after a scan, and the collisions (``path, other, source``) whose rows stay as they were: one call for scan, collision test and update."""
+    scanned = cut(scan_changes(listing, cache, last_version, ignore))
+    staged = scanned.where(F.col("outcome").isin("created", "modified", "deleted"))
+    collisions = cut(staged_collisions(staged.select("path", "state"), cache))
+    held = cache.join(collisions.select("path"), "path", "left_semi")
+    fresh = applicable(scanned.where(F.col("state").isNotNull()), collisions).withColumn("normalized_path", scalars.collision_key("path"))
+    columns = [c for c in cache.columns if c in fresh.columns]
+    return held.select(columns).unionByName(fresh.select(columns)), collisions
+
+
+def scan_status(changes: DataFrame, collisions: DataFrame) -> DataFrame:
+    """One row: the counters of a scan, its collisions, and the exit status, 1 if there are any."""
+    return scan_summary(changes).crossJoin(collisions.agg(F.count(F.lit(1)).alias("collisions"))).withColumn("status_code", F.when(F.col("collisions") > 0, 1).otherwise(0).cast("long"))  # one row each

@@ -161,3 +161,13 @@ def temporary_summary(listing: DataFrame) -> DataFrame:
     from stocktake.sources.listing import temporary
 
     return temporary(listing).agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).withColumn("ok", F.col("files") == 0)
+
+
+def sanity_estimate(listing: DataFrame, entries: DataFrame, scope: str | None = None) -> DataFrame:
+    """One row: ``paths`` on either side, and the ``bytes`` that a sanity check has to read: those of real files that are tracked and in scope."""
+    f, e = listing.alias("f"), entries.alias("e")
+    both = f.join(e, F.col("f.path") == F.col("e.path"), "full_outer")
+    read = (F.col("e.type") != "dir") & (F.col("f.representation") == "real")
+    if scope is not None:
+        read = read & globs.matches(F.col("e.path"), scope)
+    return both.agg(F.count(F.lit(1)).alias("paths"), F.coalesce(F.sum(F.when(read, F.col("f.size"))), F.lit(0)).alias("bytes"))

@@ -207,6 +207,24 @@ def scan_summary(v):
     return changes.scan_summary(changes.scan_changes(fx.listing(v), fx.cache(v), "v6", fx.IGNORE))
 
 
+@query("apply_scan", f"SELECT path, state, mtime, hash, parent_state_version FROM ({SQL['scan_changes']}) WHERE state IS NOT NULL")
+def apply_scan(v):
+    after, _ = changes.apply_scan(fx.listing(v), fx.cache(v), "v6", fx.IGNORE)
+    return after.select("path", "state", F.coalesce("mtime", F.lit(-1)).cast("long").alias("mtime"), "hash", "parent_state_version")
+
+
+@query("scan_status", f"SELECT *, CAST(0 AS BIGINT) AS collisions, CAST(0 AS BIGINT) AS status_code FROM ({SQL['scan_summary']})")
+def scan_status(v):
+    cache = fx.cache(v)
+    found = changes.scan_changes(fx.listing(v), cache, "v6", fx.IGNORE)
+    return changes.scan_status(found, changes.staged_collisions(found.where("outcome in ('created', 'modified', 'deleted')"), cache))
+
+
+@query("sanity_estimate", fx.with_ctes(fx.V, fx.FOLDERS, fx.ENTRIES, fx.LISTING) + "SELECT count(*) AS paths, CAST(coalesce(sum(CASE WHEN e.type <> 'dir' AND f.representation = 'real' AND path LIKE 'en/%' THEN f.size END), 0) AS BIGINT) AS bytes FROM listing f FULL JOIN entries e USING (path)")
+def sanity_estimate(v):
+    return checks.sanity_estimate(fx.listing(v), fx.entries(v), "en/**")
+
+
 @query("ignore_filter", fx.with_ctes(fx.V) + f"SELECT path FROM v WHERE NOT {fx.IGNORED}")
 def ignore_filter(v):
     return v.where(~globs.matches_any("path", fx.IGNORE)).select("path")

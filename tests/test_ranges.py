@@ -140,6 +140,21 @@ def test_a_frequent_content_is_numbered_by_many_tasks(spark):
         assert [c for _, c in sorted(own)] == list(range(1, len(own) + 1))
 
 
+def test_a_scan_is_applied_but_for_collisions(spark):
+    from stocktake.operators import changes
+
+    listing = spark.createDataFrame([(p, "file", "real", 5.0, 1, "h") for p in ("A", "a", "b", "Old", "new")], "path string, type string, representation string, mtime_ms double, size long, hash string")
+    cache = spark.createDataFrame([(p, "file", 1, "h0", 1, s, "v1", p.lower()) for p, s in (("b", "unchanged"), ("old", "unchanged"), ("gone", "unchanged"), ("NEW", "unchanged"))], catalogue.schemas.CACHE_ENTRIES)
+    listing = listing.unionByName(listing.where("path = 'b'").withColumn("path", F.lit("NEW")).withColumn("mtime_ms", F.lit(1.0)))
+    after, collisions = changes.apply_scan(listing, cache, "v2")
+    assert sorted((r.path, r.other, r.source) for r in collisions.collect()) == [("A", "a", "batch"), ("a", "A", "batch"), ("new", "NEW", "durable")]
+    got = {r.path: (r.state, r.hash, r.parent_state_version) for r in after.collect()}
+    # "old" is deleted in this batch, so that "Old" may take its place.
+    assert got == {"b": ("modified", "h", "v1"), "Old": ("created", "h", "v2"), "old": ("deleted", None, "v1"), "gone": ("deleted", None, "v1"), "NEW": ("unchanged", "h0", "v1")}
+    status = changes.scan_status(changes.scan_changes(listing, cache, "v2"), collisions).first()
+    assert (status.collisions, status.status_code, status.created) == (3, 1, 4)
+
+
 # ---- plans ------------------------------------------------------------------------------------
 
 
