@@ -13,9 +13,10 @@ may be lost in a copy, windows are also made with names kept as words.
 
 A document is contaminated if consistent matches cover at least half of an
 item's tokens, or ``RUN`` of them in a row.  Items of three to seven tokens are
-one window of their own length; shorter ones are never matched.  A template
+one window of their own length; shorter ones, which any text may hold by chance,
+match whole lines alone.  A template
 must hold at least four plain words, or three in an item of four, or be all
-plain.  Other windows, and items of three tokens, match only with the same
+plain.  Other windows, and items of up to three tokens, match only with the same
 numbers and units, so that copies of them are found and chance templates not.
 
 Matching windows are found on the document's side before the join: the hashes
@@ -43,6 +44,7 @@ from stocktake.llm._rows import free, groups, narrow, stream
 from stocktake.llm._shingles import mix, word_hashes
 
 WIDTH = 8
+#: Tokens that a window anywhere in a text needs.
 SHORTEST = 3
 #: Plain words that a template needs, unless all its tokens are plain.
 PLAIN = 4
@@ -88,7 +90,8 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     The last array says where a name stands, its kind being plain in the
     others' sense, so that both readings can be made.
     """
-    raw = [_NAME.sub(lambda m: m[0] + _MARK, t).lower().encode().translate(_SEPARATE) for t in texts]
+    # A text's own mark becomes its neighbour, in items and documents alike.
+    raw = [_NAME.sub(lambda m: m[0] + _MARK, t.replace(_MARK, "\ue0f2")).lower().encode().translate(_SEPARATE) for t in texts]
     data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
     # The mark of a name is a private-use character right after its first letter.
     mark = np.frombuffer(_MARK.encode(), np.uint8)
@@ -161,7 +164,7 @@ def windows_of(ids: list, texts: list[str], width: int, only: np.ndarray | None,
         before = np.concatenate(([0], np.cumsum(slot)))
         slots = before[width:] - before[:-width]
         good = (slots == 0) | (width - slots >= min(PLAIN, width - 1))
-        if width == SHORTEST:
+        if width <= SHORTEST:
             good[:] = False
         if reading == 1:
             good &= names[width:] > names[:-width]
@@ -184,7 +187,7 @@ def windows_of(ids: list, texts: list[str], width: int, only: np.ndarray | None,
 
 
 def template_table(texts: DataFrame, widths: list[int], only: np.ndarray | None = None, benchmark: bool = False) -> DataFrame:
-    """Windows of all rows (``doc_id``, ``text``); of a benchmark, those under ``WIDTH`` are whole items."""
+    """Windows of all rows (``doc_id``, ``text``); of a benchmark, those under ``WIDTH`` are whole items, and of documents, those under ``SHORTEST`` whole lines."""
     held = None if only is None else texts.sparkSession.sparkContext.broadcast(only)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,14 +195,18 @@ def template_table(texts: DataFrame, widths: list[int], only: np.ndarray | None
             ids, every = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for a, b in groups(every):
                 for width in widths:
-                    yield from windows_of(ids[a:b], every[a:b], width, None if held is None else held.value, benchmark and width < WIDTH)
+                    own, texts_ = ids[a:b], every[a:b]
+                    if lines := not benchmark and width < SHORTEST:
+                        told = [(i, line) for i, t in zip(own, texts_, strict=True) for line in t.split("\n")]
+                        own, texts_ = [i for i, _ in told], [line for _, line in told]
+                    yield from windows_of(own, texts_, width, None if held is None else held.value, lines or benchmark and width < WIDTH)
 
     return stream(texts, run, _WINDOWS_DDL)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least_cover: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", least_run: int = RUN) -> DataFrame:
     """``doc_id, item_id, cover``: the items that a document contains, and the share of their tokens."""
-    widths = [WIDTH, *range(SHORTEST, WIDTH)]
+    widths = [WIDTH, *range(1, WIDTH)]
     items = with_checkpoints(template_table(narrow(benchmark, item_id_col, item_text_col), widths, benchmark=True).withColumnRenamed("id", "item_id"))
     counts = {r[0]: r[1] for r in items.groupBy("width").count().collect()}
     n_windows = sum(counts.values())

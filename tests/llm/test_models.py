@@ -259,6 +259,12 @@ def test_short_and_numeric_items(spark):
     assert sorted((r.doc_id, r.item_id, r.cover) for r in leaks(docs, benchmark).collect()) == [(i, i, 1.0) for i in range(5)]
 
 
+def test_items_of_one_and_two_tokens_are_whole_lines(spark):
+    items = spark.createDataFrame([(1, "tiny"), (2, "12, 34 and"), (3, "Paris France")], "item_id long, text string")
+    docs = table(spark, ["tiny", "before\n\"Tiny.\"\nafter", "a tiny thing", "x\n12 34 AND\ny", "12 35 and", "paris, france", "in Paris France is", "the\ue0f1se are pariS\n"])
+    assert sorted((r.doc_id, r.item_id, r.cover) for r in leaks(docs, items).collect()) == [(0, 1, 1.0), (1, 1, 1.0), (3, 2, 1.0), (5, 3, 1.0)]
+
+
 def test_long_run_of_a_longer_item(spark):
     words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
     docs = table(spark, [" ".join(words[20:70]), " ".join(words[20:69]), " ".join(words[:30] + ["x"] + words[60:90])])
