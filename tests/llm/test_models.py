@@ -444,6 +444,24 @@ def test_scores(spark, odd):
     assert ct.score(rows.limit(0)).count() == 0
 
 
+def test_score_query(spark):
+    """The query's own columns, token by token."""
+    from stocktake.llm.queries import op5_context_tree
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    low = {i: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t)) + [None] for i, t in docs.items()}
+    held_out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in docs}
+    seen = collections.Counter(w for i, ws in low.items() if not held_out[i] for w in ws)
+    n, v = sum(seen.values()), len(seen)
+    rows = op5_context_tree(spark, DATA).collect()
+    assert {r.doc_id for r in rows} == set(docs)
+    for r in rows:
+        ws = low[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held_out[r.doc_id], len(ws), sum(seen[w] > 0 for w in ws), n)
+        assert math.isclose(r.base_score, sum(math.log10((seen[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9)
+        assert r.score < 0 and math.isfinite(r.score)
+
+
 def brute_deep(train, text):
     """The weighting over all levels by its definition, node by node."""
     def path(x):

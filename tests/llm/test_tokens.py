@@ -93,6 +93,18 @@ def test_query(spark):
         assert r.decoded_sha256 == hashlib.sha256(word_library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_count_query(spark):
+    from stocktake.llm.queries import op10_token_counts
+
+    rows = op10_token_counts(spark, "/root/testdata/sf0.001").collect()
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert len(rows) == len(docs)
+    for r in rows:
+        n = len(byte_library.encode(docs[r.doc_id], add_special_tokens=False).ids)
+        assert (r.n_tokens, r.n_bytes, r.over_limit) == (n, len(docs[r.doc_id].encode()), n > 1024)
+    assert {r.over_limit for r in rows} == {True, False}
+
+
 def test_words_go_through_joins(monkeypatch):
     """On a given table: over half of the documents hold words of several leaves, which only concatenation makes."""
     import pyarrow.parquet as pq
