@@ -19,6 +19,8 @@ from stocktake.sources.tree import _local
 
 #: Bytes of a range, and bytes that are read at once.
 RANGE, PIECE = 64 << 20, 4 << 20
+#: Bytes of a file that is read as one text.
+SMALL = 4096
 
 
 def _opener(root: str, filesystem: Callable | None) -> Callable[[str], object]:
@@ -84,3 +86,22 @@ def content_hashes(files: DataFrame, root: str, filesystem: Callable | None = No
 
     files = files.select("path", F.col("size").cast("long").alias("size")).distinct()
     return files.repartition("path").mapInArrow(run, "path string, size long, hash string")
+
+
+def small_texts(files: DataFrame, root: str, filesystem: Callable | None = None) -> DataFrame:
+    """``path, text`` of files of at most ``SMALL`` bytes of UTF-8; the text of others is null, and they aren't read further."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_file = _opener(root, filesystem)
+        for batch in batches:
+            out = []
+            for path in batch.column("path").to_pylist():
+                with open_file(path) as file:
+                    data = file.read(SMALL + 1)
+                try:
+                    out.append(data.decode() if len(data) <= SMALL else None)
+                except UnicodeDecodeError:
+                    out.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(out, pa.string())], names=["path", "text"])
+
+    return files.select("path").distinct().repartition("path").mapInArrow(run, "path string, text string")

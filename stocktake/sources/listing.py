@@ -1,27 +1,24 @@
-"""Inventories of files in place, read with Spark's own file source.
-
-That source leaves out names that begin with a dot or an underscore; where
-those count, give a manifest of the same columns instead.
-"""
+"""Inventories of files in place, hidden names and all (see :mod:`stocktake.sources.tree`)."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stocktake.functions import scalars
-from stocktake.functions.digests import blake2b_256, crc64nvme
-
-# The names of unfinished files.
-TEMPORARY = r"(?:\A|/)\.[a-z0-9]+-tmp-[0-9a-f]{32}(?:\.[^./]+)?\z"
+from stocktake.sources import contents, tree
+from stocktake.sources.tree import TEMPORARY
 
 
-def files(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
+def files(spark: SparkSession, root: str, content: bool = False, filesystem: Callable | None = None) -> DataFrame:
     """``path, type, mtime_ms, size`` of all files under a folder; with ``hash, checksum`` if their content is to be read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
-    rows = found.select(F.substring("path", F.instr("path", base + "/") + len(base) + 1, F.lit(2**31 - 1)).alias("path"), F.lit("file").alias("type"), (F.unix_micros("modificationTime") / 1000).alias("mtime_ms"), F.col("length").alias("size"), *(["content"] if content else []))
-    return rows.withColumn("hash", blake2b_256("content")).withColumn("checksum", crc64nvme("content")).drop("content") if content else rows
+    rows = tree.walk(spark, root, filesystem=filesystem).where("type = 'file'")
+    if not content:
+        return rows
+    hashes, sums = (f(rows, root, filesystem) for f in (contents.content_hashes, contents.checksums))
+    return rows.join(hashes.select("path", "hash"), "path").join(sums.select("path", "checksum"), "path")
 
 
 def temporary(listing: DataFrame) -> DataFrame:
@@ -34,9 +31,10 @@ def settled(listing: DataFrame, exclude: str | None = None) -> DataFrame:
     return rows.where(~F.col("path").startswith(exclude + "/") & (F.col("path") != exclude)) if exclude else rows
 
 
-def stubs(spark: SparkSession, root: str) -> DataFrame:
-    """``path, algorithm, hash`` of the one-line stub files under a folder; the digest is null if malformed."""
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.stub").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.trim(F.regexp_replace("value", r"\s+\z", "")).alias("line"))
+def stubs(spark: SparkSession, root: str, filesystem: Callable | None = None) -> DataFrame:
+    """``path, algorithm, hash`` of the one-line stub files under a folder; both null if malformed, the digest alone if it is none."""
+    found = tree.walk(spark, root, filesystem=filesystem).where((F.col("type") == "file") & F.col("path").endswith(tree.STUB))
+    lines = contents.small_texts(found, root, filesystem).select("path", F.trim(F.regexp_replace("text", r"\s+\z", "")).alias("line"))
     tag = scalars.parse_tagged_hash("line")
     return lines.select("path", tag["algorithm"].alias("algorithm"), F.when(scalars.is_valid_hash(tag["digest"]), tag["digest"]).alias("hash"))
 

@@ -5,6 +5,7 @@ import threading
 
 import pytest
 
+from stocktake.functions import digests
 from stocktake.operators import changes
 from stocktake.sources import listing
 from stocktake.sources.store import Conflict, SnapshotStore
@@ -165,16 +166,19 @@ def test_listing(spark, tmp_path):
     (root / "a.txt").write_bytes(b"hello")
     (root / "d" / "b.txt.stub").write_text("blake2b:" + "0" * 64 + "\n")
     (root / "d" / "c.txt.stub").write_text("nonsense")
-    (root / ".hidden").write_bytes(b"")  # Spark's file source leaves such names out
+    (root / ".hidden").write_bytes(b"")
+    (root / "_big.stub").write_text("blake2b:" + "0" * 5000)
+    (root / "_raw.stub").write_bytes(b"\xff\xfe")
     found = listing.files(spark, str(root), content=True)
     assert {r.path: r.size for r in found.collect()}["a.txt"] == 5
     assert found.where("path = 'a.txt'").first().hash == hashlib.blake2b(b"hello", digest_size=32).hexdigest()
     manifest = spark.createDataFrame([(x,) for x in ("a", "d/.x-tmp-" + "0" * 32, "d/.x-tmp-" + "0" * 32 + ".jpg", "d/b.x-tmp-1", "m/x")], "path string")
     assert listing.temporary(manifest).count() == 2 and {r.path for r in listing.settled(manifest, exclude="m").collect()} == {"a", "d/b.x-tmp-1"}
     folded = changes.fold_listing(listing.settled(listing.files(spark, str(root))))
-    assert {r.path: r.representation for r in folded.collect()} == {"a.txt": "real", "d/b.txt": "stub", "d/c.txt": "stub"}
-    stubs = {r.path.rpartition("/")[2]: r.hash for r in listing.stubs(spark, str(root)).collect()}
-    assert stubs == {"b.txt.stub": "0" * 64, "c.txt.stub": None}
+    assert {r.path: r.representation for r in folded.collect()} == {"a.txt": "real", "d/b.txt": "stub", "d/c.txt": "stub", ".hidden": "real", "_big": "stub", "_raw": "stub"}
+    stubs = {r.path: r.hash for r in listing.stubs(spark, str(root)).collect()}
+    assert stubs == {"d/b.txt.stub": "0" * 64, "d/c.txt.stub": None, "_big.stub": None, "_raw.stub": None}
+    assert {r.path: r.checksum for r in found.collect()}["a.txt"] == digests.encoded(digests.crc64nvme_value(b"hello"))
     assert not listing.is_empty(found)
 
 
