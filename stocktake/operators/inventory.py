@@ -79,8 +79,11 @@ def collision_partner(live: DataFrame, wanted: DataFrame) -> DataFrame:
     return a.join(b, "key").where("path <> other").groupBy("path").agg(F.min("other").alias("other"))
 
 
-def upsert(base: DataFrame, delta: DataFrame, key: str) -> DataFrame:
-    """``base`` with the rows of ``delta`` added or in place of theirs."""
+def upsert(base: DataFrame, delta: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """``base`` with the rows of ``delta`` added or in place of theirs; of rows of one key the last in ``order`` counts, a column of ``delta`` alone."""
+    if order is not None:
+        last = F.max_by(F.struct(*base.columns), order).alias("_last")
+        delta = delta.groupBy(key).agg(last).select("_last.*")
     return base.join(delta.select(key), key, "left_anti").unionByName(delta)
 
 

@@ -210,3 +210,46 @@ def commit_changes(store: SnapshotStore, relation: str, changes: DataFrame) -> s
         return {relation: after}
 
     return store.mutate(change)
+
+
+class PolicyTable:
+    """One policy relation of a store; each change is a commit that is checked as a whole, or raises ``Refused``."""
+
+    def __init__(self, store: SnapshotStore, relation: str) -> None:
+        self.store, self.relation = store, relation
+
+    def list(self) -> DataFrame:
+        rows = self.store.read(self.relation)
+        return listed(rows) if "is_default" in rows.columns else listed_by_id(rows)
+
+    def _commit(self, op: str, policy_id: int | None, fields: dict) -> str:
+        rows = self.store.read(self.relation)
+        if unknown := set(fields) - set(rows.columns):
+            raise Refused([(policy_id, f"no_such_field {name}") for name in sorted(unknown)])
+        row = {"op": op, "set": sorted(fields), "id": policy_id} | fields
+        ddl = "op string, set array<string>, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+        return commit_changes(self.store, self.relation, rows.sparkSession.createDataFrame([row], ddl))
+
+    def create(self, **fields: object) -> str:
+        """A storage policy without a priority goes behind all others."""
+        if self.relation == "storage_policies" and "priority" not in fields:
+            fields["priority"] = next_priority(self.store.read(self.relation).where(~F.col("is_default"))).first()["priority"]
+        return self._commit("create", None, fields)
+
+    def edit(self, policy_id: int, **fields: object) -> str:
+        return self._commit("update", policy_id, fields)
+
+    def delete(self, policy_id: int) -> str:
+        return self._commit("delete", policy_id, {})
+
+
+def ignore_policies(store: SnapshotStore) -> PolicyTable:
+    return PolicyTable(store, "ignore_policies")
+
+
+def storage_policies(store: SnapshotStore) -> PolicyTable:
+    return PolicyTable(store, "storage_policies")
+
+
+def thumbnail_policies(store: SnapshotStore) -> PolicyTable:
+    return PolicyTable(store, "thumbnail_policies")

@@ -79,6 +79,32 @@ def test_nothing_is_written_if_anything_is_wrong(spark, tmp_path):
     assert sorted(tuple(r) for r in store.read("storage_policies").collect()) == [(1, None, "GLACIER", None, True), (2, "a/**", "DEEP_ARCHIVE", 0, False), (3, "b", "GLACIER", 3, False)]
 
 
+def test_policies_by_name(spark, tmp_path):
+    store = SnapshotStore.init(spark, str(tmp_path / "store"), {"ignore_policies": spark.createDataFrame([], schemas.IGNORE_POLICIES), "storage_policies": spark.createDataFrame([(1, None, "STANDARD", None, True)], schemas.STORAGE_POLICIES), "thumbnail_policies": table(spark, [SKIP])})
+    ignore, classes, previews = (f(store) for f in (policies.ignore_policies, policies.storage_policies, policies.thumbnail_policies))
+    ignore.create(glob="*.tmp", created_at="t")
+    ignore.create(glob="*.bak", created_at="t")
+    ignore.edit(1, glob="**/*.tmp")
+    ignore.delete(2)
+    assert [(r.id, r.glob) for r in ignore.list().collect()] == [(1, "**/*.tmp")]
+    classes.create(glob="a/**", target_class="GLACIER")
+    classes.create(glob="b/**", target_class="GLACIER")
+    assert [(r.id, r.priority) for r in classes.list().collect()] == [(2, 0), (3, 1), (1, None)]
+    before = store.current()
+    for wrong in (lambda: ignore.edit(7, glob="x"), lambda: ignore.edit(1, colour="x"), lambda: classes.delete(1), lambda: previews.edit(3, action="generate"), lambda: ignore.create(created_at="t")):
+        with pytest.raises(policies.Refused):
+            wrong()
+    assert store.current() == before
+    previews.edit(3, glob="y/**")
+    assert [tuple(r)[:4] for r in previews.list().collect()] == [(3, "off", "y/**", "skip")]
+
+
+def test_of_repeated_rows_the_last_is_put(spark):
+    base = spark.createDataFrame([("a", 1), ("b", 1)], "path string, n int")
+    delta = spark.createDataFrame([("a", 2, 1), ("a", 3, 2), ("c", 9, 0)], "path string, n int, at int")
+    assert sorted(tuple(r) for r in inventory.upsert(base, delta, "path", "at").collect()) == [("a", 3), ("b", 1), ("c", 9)]
+
+
 def test_upgrades_of_policies(spark):
     old = "id long, glob string, action string, priority long, mime_types array<string>, media_type string, image_width long, image_height long, tile_row_count long, tile_column_count long, tile_size long, jpeg_quality long, created_at string"
     rows = spark.createDataFrame([(1, "**", "generate", 0, ["image/*"], "image", 8, 6, None, None, None, 75, "t"), (2, "v/**", "generate", 1, ["video/*"], "video", None, None, 2, 3, 90, None, "t"), (3, "x/**", "skip", 2, None, None, None, None, None, None, None, None, "t")], old)
