@@ -14,7 +14,10 @@ Vectors that are null, empty, zero, or hold null or non-finite components take
 no part.  Vectors of different length never meet.  Equal distances are ordered
 by the smaller identifier; with fewer candidates than k all are returned.
 Rows of one identifier are candidates of their own, but never for a query of
-the same identifier.  Empty tables give an empty result.
+the same identifier.  Empty tables give an empty result.  Rows that repeat
+identifier and vector share a block, so that a table should not hold one row
+very many times.  Each candidate block is shuffled once for each query block:
+with a fixed share of queries the work is quadratic in rows, as any exact search is.
 """
 
 from __future__ import annotations
