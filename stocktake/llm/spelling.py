@@ -136,6 +136,11 @@ def _parts(rows: int) -> int:
     return rows // ROWS + 1
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """For a join by sorting: the tables grow with the corpus, and small ones, broadcast in every level, fill the driver."""
+    return df.hint("merge")
+
+
 def neighbours(words: DataFrame) -> DataFrame:
     """``a, n_a, b, n_b``: every pair of near words of ``words`` (``word, n``) once, in either order."""
     n_words = words.count()
@@ -144,10 +149,10 @@ def neighbours(words: DataFrame) -> DataFrame:
     edges = with_checkpoints(edge_table(named).coalesce(_parts(4 * n_words)))
     one, two = (edges.select("node", F.col("ch").alias(f"ch_{s}"), F.col("child").alias(s), F.col("last").alias(f"last_{s}")) for s in ("own", "other"))
     none = F.lit(-1)
-    replaced = one.join(two, "node").where("ch_own < ch_other").select("own", "other", none.alias("bar"), (F.col("last_own") & F.col("last_other")).alias("near"))
+    replaced = one.join(_merged(two), "node").where("ch_own < ch_other").select("own", "other", none.alias("bar"), (F.col("last_own") & F.col("last_other")).alias("near"))
     # The node itself is the end of a word if an edge into it says so.
     ends = edges.where("last").select("child").distinct().withColumn("is_end", F.lit(True))
-    inserted = edges.join(ends.withColumnRenamed("child", "node"), "node", "left").select(F.col("node").alias("own"), F.col("child").alias("other"), F.col("ch").alias("bar"), (F.col("last") & F.coalesce("is_end", F.lit(False))).alias("near"))
+    inserted = edges.join(_merged(ends.withColumnRenamed("child", "node")), "node", "left").select(F.col("node").alias("own"), F.col("child").alias("other"), F.col("ch").alias("bar"), (F.col("last") & F.coalesce("is_end", F.lit(False))).alias("near"))
     states = with_checkpoints(replaced.unionByName(inserted))
     n = states.count()
     found = [states.where("near").select("own", "other")]
@@ -156,7 +161,7 @@ def neighbours(words: DataFrame) -> DataFrame:
         deep = edges.where(F.col("depth") >= level)
         on_own = deep.select(F.col("node").alias("own"), "ch", F.col("child").alias("to_own"), F.col("last").alias("last_own"))
         on_other = deep.select(F.col("node").alias("other"), "ch", F.col("child").alias("to_other"), F.col("last").alias("last_other"))
-        moved = states.join(on_own, "own").where("ch <> bar").join(on_other, ["other", "ch"])
+        moved = states.join(_merged(on_own), "own").where("ch <> bar").join(_merged(on_other), ["other", "ch"])
         moved = moved.select(F.col("to_own").alias("own"), F.col("to_other").alias("other"), none.alias("bar"), (F.col("last_own") & F.col("last_other")).alias("near"))
         # Mostly a level has fewer states than the one before.
         states = (settled if level % 4 == 0 else with_checkpoints)(moved.coalesce(_parts(n)))
@@ -167,14 +172,14 @@ def neighbours(words: DataFrame) -> DataFrame:
     else:
         # What is left of both must be equal, and more than nothing; no node is less deep than the rounds.
         rest = _letters(named.where(F.length("word") > ROUNDS), ["child", "tail", "at", "last", "depth"], "child long, tail long, at long, last boolean, depth int").where((F.col("depth") >= ROUNDS - 1) & ~F.col("last"))
-        mine = states.join(rest.select(F.col("child").alias("own"), "tail", F.col("at").alias("at_own")), "own")
-        yours = states.join(rest.select(F.col("child").alias("other"), "tail", F.col("at").alias("at_other")), "other").select("own", "other", "tail", "at_other")
-        found.append(mine.join(yours, ["own", "other", "tail"]).select(F.col("at_own").alias("own"), F.col("at_other").alias("other")))
+        mine = states.join(_merged(rest.select(F.col("child").alias("own"), "tail", F.col("at").alias("at_own"))), "own")
+        yours = states.join(_merged(rest.select(F.col("child").alias("other"), "tail", F.col("at").alias("at_other"))), "other").select("own", "other", "tail", "at_other")
+        found.append(mine.join(_merged(yours), ["own", "other", "tail"]).select(F.col("at_own").alias("own"), F.col("at_other").alias("other")))
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
     left, right = named.select(F.col("at").alias("own"), F.col("word").alias("a"), F.col("n").alias("n_a")), named.select(F.col("at").alias("other"), F.col("word").alias("b"), F.col("n").alias("n_b"))
-    both = pairs.join(left, "own").join(right, "other")
+    both = pairs.join(_merged(left), "own").join(_merged(right), "other")
     return both.where(F.levenshtein("a", "b", 1) == 1).select("a", "n_a", "b", "n_b")
 
 
@@ -184,7 +189,7 @@ def roots(forms: DataFrame) -> DataFrame:
     now = with_checkpoints(forms.select("word", F.col("form").alias("root")).coalesce(parts))
     while True:
         ahead = now.select(F.col("word").alias("root"), F.col("root").alias("beyond"))
-        joined = with_checkpoints(now.join(ahead, "root", "left").select("word", F.coalesce("beyond", "root").alias("root"), F.col("beyond").isNotNull().alias("moved")).coalesce(parts))
+        joined = with_checkpoints(now.join(_merged(ahead), "root", "left").select("word", F.coalesce("beyond", "root").alias("root"), F.col("beyond").isNotNull().alias("moved")).coalesce(parts))
         now = joined.select("word", "root")
         if joined.where("moved").isEmpty():
             return now
@@ -195,10 +200,10 @@ def grouped(words: DataFrame, times: int = 2) -> DataFrame:
     pairs = neighbours(words)
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("near"), F.col("n_b").alias("near_n")).unionByName(pairs.select(F.col("b").alias("word"), F.col("a").alias("near"), F.col("n_a").alias("near_n")))
     best = both.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("near"))).alias("best"))
-    rows = words.select("word", "n").join(best, "word", "left")
+    rows = words.select("word", "n").join(_merged(best), "word", "left")
     good = -F.col("best.less") >= times * F.col("n")
     rows = with_checkpoints(rows.select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(good, F.col("best.near")).alias("form"), F.when(good, -F.col("best.less")).alias("form_n")))
-    out = rows.join(roots(rows.where(F.col("form").isNotNull())), "word", "left")
+    out = rows.join(_merged(roots(rows.where(F.col("form").isNotNull()))), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
