@@ -11,8 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: The identifier of a table's rows, by which they are dealt.
+KEYS = {"documents": "doc_id", "embeddings": "vec_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of fewer splits than there are cores, and so a small one, is dealt over all of them."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in KEYS and rows.rdd.getNumPartitions() < cores:
+        return rows.repartition(cores, KEYS[name])
+    return rows
 
 
 def _is(value: str):
