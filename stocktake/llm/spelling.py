@@ -46,7 +46,7 @@ from stocktake.llm._rows import groups, stream
 from stocktake.llm._shingles import _place, _unplace, mix
 
 #: Levels that the frontier is followed letter by letter after the edit.
-ROUNDS = 6
+ROUNDS = 4
 #: Rows of a partition of the tables that are joined again and again, so that small ones don't make many tasks.
 ROWS = 200_000
 #: Characters of words that are hashed at once.
@@ -153,7 +153,7 @@ def neighbours(words: DataFrame) -> DataFrame:
     # The node itself is the end of a word if an edge into it says so.
     ends = edges.where("last").select("child").distinct().withColumn("is_end", F.lit(True))
     inserted = edges.join(_merged(ends.withColumnRenamed("child", "node")), "node", "left").select(F.col("node").alias("own"), F.col("child").alias("other"), F.col("ch").alias("bar"), (F.col("last") & F.coalesce("is_end", F.lit(False))).alias("near"))
-    states = with_checkpoints(replaced.unionByName(inserted))
+    states = settled(replaced.unionByName(inserted))
     n = states.count()
     found = [states.where("near").select("own", "other")]
     for level in range(ROUNDS):
@@ -163,8 +163,8 @@ def neighbours(words: DataFrame) -> DataFrame:
         on_other = deep.select(F.col("node").alias("other"), "ch", F.col("child").alias("to_other"), F.col("last").alias("last_other"))
         moved = states.join(_merged(on_own), "own").where("ch <> bar").join(_merged(on_other), ["other", "ch"])
         moved = moved.select(F.col("to_own").alias("own"), F.col("to_other").alias("other"), none.alias("bar"), (F.col("last_own") & F.col("last_other")).alias("near"))
-        # Mostly a level has fewer states than the one before.
-        states = (settled if level % 4 == 0 else with_checkpoints)(moved.coalesce(_parts(n)))
+        # Mostly a level has fewer states than the one before.  What the driver holds of a level goes with it.
+        states = settled(moved.coalesce(_parts(n)))
         n = states.count()
         if not n:
             break
@@ -202,7 +202,7 @@ def grouped(words: DataFrame, times: int = 2) -> DataFrame:
     best = both.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("near"))).alias("best"))
     rows = words.select("word", "n").join(_merged(best), "word", "left")
     good = -F.col("best.less") >= times * F.col("n")
-    rows = with_checkpoints(rows.select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(good, F.col("best.near")).alias("form"), F.when(good, -F.col("best.less")).alias("form_n")))
+    rows = settled(rows.select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(good, F.col("best.near")).alias("form"), F.when(good, -F.col("best.less")).alias("form_n")))
     out = rows.join(_merged(roots(rows.where(F.col("form").isNotNull()))), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 

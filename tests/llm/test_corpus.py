@@ -184,7 +184,7 @@ def found(df):
     return {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in rows}
 
 
-@pytest.mark.parametrize("rounds", [6, 2, 400])
+@pytest.mark.parametrize("rounds", [4, 2, 400])
 def test_groups(spark, monkeypatch, rounds):
     """Short words over few letters, runs of equal letters, and long ones that only differ late."""
     monkeypatch.setattr(spelling, "ROUNDS", rounds)
