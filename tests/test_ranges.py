@@ -46,6 +46,29 @@ def test_any_cut_gives_the_same_checksum(data, cuts):
     assert value == bitwise(data)
 
 
+def test_a_batch_is_digested_together(spark, monkeypatch):
+    """Odd values in one column, nulls and slices too; the lanes of many small values advance together."""
+    import pyarrow as pa
+
+    rnd = random.Random(5)
+    values = [None, b"", b"", *(rnd.randbytes(n) for n in (1, 7, 8, 511, 512, 513, 1025, 5000)), None, b"x"]
+    want = [None if v is None else (digests.encoded(bitwise(v)), hashlib.blake2b(v, digest_size=32).hexdigest()) for v in values]
+    for kind in (pa.binary(), pa.large_binary()):
+        for first in (0, 1, 4, len(values) - 1, len(values)):
+            part = pa.array(values, kind).slice(first)
+            got = zip(digests.crc64nvme.func(part).to_pylist(), digests.blake2b_256.func(part).to_pylist())
+            assert [None if c is None and b is None else (c, b) for c, b in got] == want[first:]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v binary").repartition(3)
+    got = rows.select("i", digests.crc64nvme("v").alias("c"), digests.blake2b_256("v").alias("b")).orderBy("i").collect()
+    assert [None if r.c is None and r.b is None else (r.c, r.b) for r in got] == want
+    steps, calls = digests._steps, []
+    monkeypatch.setattr(digests, "_steps", lambda words: calls.append(len(words)) or steps(words))
+    monkeypatch.setattr(digests, "LANES", 1000)
+    many = [rnd.randbytes(600) for _ in range(1200)]
+    assert digests.crc64nvme.func(pa.array(many, pa.binary())).to_pylist() == [digests.encoded(digests.crc64nvme_value(v)) for v in many]
+    assert calls[:3] == [1000, 1000, 400]
+
+
 def test_digests_of_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(contents, "PIECE", 1000)
     rnd, want = random.Random(3), {}
