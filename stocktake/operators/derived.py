@@ -90,28 +90,33 @@ def reconcile(sources: DataFrame, resolved: DataFrame, derived: DataFrame, skipp
     first other is regenerated; without any a new one is generated.  All other
     derived files of these sources are deleted.  Unreadable sources keep what
     they have; sources without a hash are reported.  Skipped sources (``path``)
-    needn't be readable and lose all derived files.
+    needn't be readable and lose all derived files.  Three narrow tables are
+    kept in the folder that ``spark.checkpoint.dir`` names.
     """
-    if skipped is not None:
-        gone = skipped.select("path").distinct()
-        off = gone.join(derived.select(F.col("original_path").alias("path"), "policy", F.col("path").alias("file")), "path").select(F.col("path").alias("original_path"), "policy", F.col("file").alias("path"), F.lit("delete").alias("step"))
-        rest = reconcile(sources.join(gone, "path", "left_anti"), resolved.join(gone, "path", "left_anti"), derived)
-        return rest.unionByName(off)
+    have = cut(derived.select("original_path", "policy", "path", F.col("params").alias("has_params"), F.col("hash").alias("has_hash"), F.col("ext").alias("has_ext")))
     known = sources.where("readable").select(F.col("path").alias("original_path"), F.col("hash").alias("source_hash"))
-    wanted = resolved.withColumnRenamed("path", "original_path")
-    matched = known.join(wanted.select("original_path").distinct(), "original_path", "left_semi")
-    able = known.join(matched.where("source_hash is null").select("original_path"), "original_path", "left_anti")
-    lacking = matched.where("source_hash is null").select("original_path", F.lit(None).cast("string").alias("policy"), F.lit(None).cast("string").alias("path"), F.lit("missing_cache_entry").alias("step"))
-    have = derived.select("original_path", "policy", "path", F.col("params").alias("has_params"), F.col("hash").alias("has_hash"), F.col("ext").alias("has_ext"))
-    rows = able.join(have, "original_path").join(wanted.withColumn("asked", F.lit(True)), ["original_path", "policy"], "left")
-    exact = F.coalesce((F.col("has_hash") == F.col("source_hash")) & (F.col("has_params") == F.col("params")) & (F.col("has_ext") == F.col("ext")), F.lit(False))
+    if skipped is not None:
+        gone = cut(skipped.select(F.col("path").alias("original_path")).distinct())
+        known = known.join(gone, "original_path", "left_anti")
+    # A source has as many as there are policies at most.  What follows has its own tasks, so that none holds all the sorted tables at once.
+    wanted = resolved.groupBy(F.col("path").alias("original_path")).agg(F.collect_list(F.struct("policy", "params", "ext")).alias("wants"))
+    known = cut(known.join(wanted, "original_path", "left"))
+    able = known.where("source_hash is not null or wants is null")
+    none = F.lit(None).cast("string")
+    lacking = known.where("source_hash is null and wants is not null").select("original_path", none.alias("policy"), none.alias("path"), F.lit("missing_cache_entry").alias("step"))
+    want = F.explode_outer(F.filter("wants", lambda w: w["policy"] == F.col("policy")))
+    rows = able.join(have, "original_path").select("original_path", "source_hash", "policy", "path", "has_params", "has_hash", "has_ext", want.alias("want"))
+    exact = F.coalesce((F.col("has_hash") == F.col("source_hash")) & (F.col("has_params") == F.col("want.params")) & (F.col("has_ext") == F.col("want.ext")), F.lit(False))
     order = Window.partitionBy("original_path", "policy").orderBy(F.desc("exact"), "path")
-    ranked = rows.withColumn("exact", exact).withColumn("nth", F.row_number().over(order))
-    step = F.when(F.col("asked").isNull() | (F.col("nth") > 1), "delete").when(F.col("exact"), "up_to_date").otherwise("regenerate")
+    ranked = rows.select("original_path", "policy", "path", F.col("want").isNotNull().alias("asked"), exact.alias("exact")).withColumn("nth", F.row_number().over(order))
+    step = F.when(~F.col("asked") | (F.col("nth") > 1), "delete").when(F.col("exact"), "up_to_date").otherwise("regenerate")
     held = ranked.select("original_path", "policy", "path", step.alias("step"))
-    fresh = able.join(wanted, "original_path").join(have.select("original_path", "policy").distinct(), ["original_path", "policy"], "left_anti")
+    fresh = able.select("original_path", "source_hash", F.inline("wants")).join(have.select("original_path", "policy"), ["original_path", "policy"], "left_anti")
     new = fresh.select("original_path", "policy", derived_path("original_path", F.col("params"), F.col("source_hash"), F.col("ext")).alias("path"), F.lit("generate").alias("step"))
-    return held.unionByName(new).unionByName(lacking)
+    out = held.unionByName(new).unionByName(lacking)
+    if skipped is not None:
+        out = out.unionByName(gone.join(have, "original_path").select("original_path", "policy", "path", F.lit("delete").alias("step")))
+    return out
 
 
 def stub_previews(stubs: DataFrame, derived: DataFrame) -> DataFrame:

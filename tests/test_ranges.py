@@ -193,6 +193,50 @@ def test_a_sync_is_planned_in_few_scans(spark, name, scans):
     assert 0 < _count(got, "FileScan") <= scans
 
 
+def _sorts(df):
+    """The most sorts in one stage of the plan before adaptive execution."""
+    stages, above = {}, []
+    for k, line in enumerate(df._jdf.queryExecution().executedPlan().toString().split("\n")):
+        text = line.lstrip(" :+-")
+        depth = len(line) - len(text)
+        while above and above[-1][0] >= depth:
+            above.pop()
+        own = above[-1][1] if above else 0
+        stages[own] = stages.get(own, 0) + text.startswith("Sort ")
+        above.append((depth, k if "Exchange" in text.split(" ")[0] else own))
+    return max(stages.values())
+
+
+def test_previews_are_planned_with_few_sorted_tables_in_a_task(spark, monkeypatch):
+    """All that a plan joins has the source's path for a key, so that one task would hold it all."""
+    parts, before = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    kept = derived.cut
+    monkeypatch.setattr(derived, "cut", lambda df: parts.append(df) or kept(df))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = catalogue.QUERIES["derived_plan_skips"](spark, DATA)
+        assert [_sorts(x) for x in [*parts, got] if _sorts(x) > 7] == []
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_previews_of_odd_sources(spark):
+    """Sources without a hash, unreadable, without policies or files; files of unknown policies, current twice, of no source."""
+    sources = spark.createDataFrame([("a", "h", True), ("b", None, True), ("c", "h", False), ("d", "h", True), ("e", None, True), ("f", "h", True), ("g", "h", True), ("s", None, False)], "path string, hash string, readable boolean")
+    resolved = spark.createDataFrame([(p, n, f"p2-{n}-ss1", "png") for p in "abcfg" for n in ("x", "y")], "path string, policy string, params string, ext string")
+    names = ["a.p2-x-ss1.h.png", "a.p1-x-ss9.h.png", "a.p2-z-ss1.h.png", "b.p2-x-ss1.h.png", "c.p2-x-ss1.old.png", "d.p2-x-ss1.h.png", "e.p2-x-ss1.h.png", "f.p2-y-ss1.old.png", "f.p2-y-ss1.older.png", "s.p2-x-ss1.h.png", "t.p2-x-ss1.h.png", "u.p2-x-ss1.h.png"]
+    files = derived.parse_names(spark.createDataFrame([("_thumbnail/" + n,) for n in names], "path string"))
+    skipped = spark.createDataFrame([("s",), ("s",), ("t",), ("g",)], "path string")
+    at = "_thumbnail/{}.p2-{}-ss1.h.png".format
+    steps = [("a", "x", at("a", "x"), "up_to_date"), ("a", "x", "_thumbnail/a.p1-x-ss9.h.png", "delete"), ("a", "z", at("a", "z"), "delete"), ("a", "y", at("a", "y"), "generate"), ("b", None, None, "missing_cache_entry")]
+    steps += [("d", "x", at("d", "x"), "delete"), ("e", "x", at("e", "x"), "delete"), ("f", "y", "_thumbnail/f.p2-y-ss1.old.png", "regenerate"), ("f", "y", "_thumbnail/f.p2-y-ss1.older.png", "delete"), ("f", "x", at("f", "x"), "generate")]
+    fresh = [("g", n, at("g", n), "generate") for n in "xy"]
+    gone = [(p, "x", at(p, "x"), "delete") for p in "st"]
+    for rest, more in ((None, fresh), (skipped, gone), (skipped.limit(0), fresh)):
+        got = derived.reconcile(sources, resolved, files, rest)
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, steps + more))
+
+
 def test_only_survivors_are_probed(spark):
     """Ignored, skipped, unnamed, stubbed sources and, when ensuring, finished ones are never probed."""
     policies = spark.createDataFrame([dict(fx.GENERATE[0]) | {"glob": "pics/**", "mime_types": ["image/*"]}, {"id": 9, "name": "off", "glob": "pics/private/**", "action": "skip"}], catalogue.schemas.THUMBNAIL_POLICIES)
